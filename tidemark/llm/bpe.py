@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces whose ids a worker remembers; the memo is emptied beyond that, which only costs time.
-MEMO = 400_000
+MEMO = 800_000
 #: States and their transitions that a worker keeps; beyond that the transducer starts afresh.
-STATES = 120_000
+STATES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -6,6 +6,19 @@ ORACLE_SQL = {
             SELECT doc_id, text, s.shard,
                    substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(s.shard AS VARCHAR)), 1, 13) AS score
             FROM documents CROSS JOIN (SELECT CAST(range AS INTEGER) AS shard FROM range(41)) s
+        ), crc_table AS (
+            SELECT list(c ORDER BY n) AS crc FROM (
+                SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k:
+                    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) r(n))
+        ), spelled AS (
+            SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                          lambda x: CAST('0x' || x AS BIGINT)) AS bytes
+            FROM documents
+        ), sums AS (
+            SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b:
+                       xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+            FROM spelled, crc_table
         ), won AS (
             SELECT doc_id, any_value(text) AS text,
                    arg_max(shard, score || printf('%02d', 40 - shard)) FILTER (WHERE shard < 40) AS shard,
@@ -13,8 +26,8 @@ ORACLE_SQL = {
             FROM contest GROUP BY doc_id
         )
         SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
-               CAST(crc32(coalesce(text, '')) AS BIGINT) AS text_crc32, 'key' AS law, shard,
+               CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
                CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, grown_shard
-        FROM won
+        FROM won JOIN sums USING (doc_id)
     """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, packing, sharding
+from . import bpe, language, lm, packing, sharding, toxicity, vectors
 from .common import table
 
 
@@ -17,11 +17,25 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good."""
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm.score(table(spark, sf_dir, "documents"), good)
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.packed(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -30,6 +44,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language": op2_language,
     "op4_sharding": op4_sharding,
+    "op5_lm_score": op5_lm_score,
+    "op6_vectors": op6_vectors,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op10_bpe": op10_bpe,
 }
