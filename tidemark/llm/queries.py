@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lm, packing, sharding, toxicity, vectors
+from . import bpe, language, lm, minhash, packing, sharding, toxicity, vectors
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"), shards=40)
 
@@ -43,6 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language": op2_language,
+    "op3_minhash": op3_minhash,
     "op4_sharding": op4_sharding,
     "op5_lm_score": op5_lm_score,
     "op6_vectors": op6_vectors,
