@@ -38,7 +38,7 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dense_rank_ids(df: DataFrame, group: list[str], order: list[str], name: str, per_block: int = 65_536) -> DataFrame:
+def dense_rank_ids(df: DataFrame, group: list[str], order: list[str], name: str, per_block: int = 16_384) -> DataFrame:
     """Number the rows of each group from 0 in the given order, without one task per group.
 
     The range of the first order column, an integer, is cut into blocks of about per_block rows. Rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lm, minhash, packing, sharding, toxicity, vectors
+from . import bpe, language, lm, minhash, packing, repeats, sharding, toxicity, vectors
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -53,5 +57,6 @@ QUERIES = {
     "op6_vectors": op6_vectors,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_repeats": op9_repeats,
     "op10_bpe": op10_bpe,
 }
