@@ -285,10 +285,30 @@ def covered(size: int, ranges) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text and spans of every document; spans is null where nothing repeats."""
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rest = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("array<long>").alias("spans"))
-    return texts.join(spans(texts), "doc_id", "left").select("doc_id", "text", "spans").unionByName(rest)
+    """docs with `spans` of every document; spans is null where nothing repeats, and null texts are empty."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    known = rows.where("doc_id is not null")
+    rest = rows.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<long>"))
+    return known.join(spans(known.select("doc_id", "text")), "doc_id", "left").select(*rest.columns).unionByName(rest)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with texts that lack what repeats; a character goes if all its bytes do, so that texts stay valid."""
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+        out = []
+        for text, spans_ in zip(texts, ranges):
+            if spans_ is not None and len(spans_):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")
+                leads = np.flatnonzero((data & 0xC0) != 0x80)
+                whole = np.logical_and.reduceat(covered(len(data), spans_), leads)
+                gone = np.repeat(whole, np.diff(np.append(leads, len(data))))
+                text = data[~gone].tobytes().decode("utf-8", "surrogatepass")
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return with_spans(docs).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans"))).drop("spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -305,4 +325,4 @@ def digests(docs: DataFrame) -> DataFrame:
             n, removed, runs, digest = zip(*out) if out else ((),) * 4
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": np.array(n, "int64"), "n_removed": np.array(removed, "int64"), "n_spans": np.array(runs, "int64"), "kept_sha256": digest})
 
-    return with_spans(docs).mapInPandas(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select("doc_id", "text")).mapInPandas(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
