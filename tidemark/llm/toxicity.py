@@ -139,11 +139,23 @@ def train(sample: Sample, rounds: int = 8, batch: int = 256, rate: float = 0.5,
     return (vectors @ (weights[:, 1] - weights[:, 0])).astype("float32"), float(bias[1] - bias[0])
 
 
+class Numbers(dict):
+    """What each word adds to its window."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.buckets = buckets
+
+    def __missing__(self, word: str) -> float:
+        number = self[word] = float(self.buckets[subwords(word)].mean())
+        return number
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> tuple[np.ndarray, float] | None:
     """A model from the labelled documents that are not held out; a document with several labels counts as toxic if one says so."""
+    # ids has about 2 * most rows at any size of the corpus
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sampled(marks.where(~held_out()).select(F.col("doc_id"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")), "toxic", "doc_id", most)
-    rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id").select("text", "toxic").collect()
     return train(Sample([r.text for r in rows], [r.toxic for r in rows]))
 
 
@@ -153,15 +165,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, memo = shared.value, {}
+        known = shared.value
+        memo = Numbers(known[0]) if known else {}
         for batch in batches:
             out = np.zeros(len(batch))
             for i, value in enumerate(batch):
                 words = WORD.findall(value.lower()) if value and known else None
                 if not words:
                     continue
-                for w in set(words) - memo.keys():
-                    memo[w] = float(known[0][subwords(w)].mean())
                 best = best_windows(np.fromiter(map(memo.__getitem__, words), "float64", len(words))).max() + known[1]
                 out[i] = 1 / (1 + np.exp(-np.clip(best, -500, 500)))
                 if len(memo) > MEMO:
