@@ -1,43 +1,20 @@
-"""Small helpers shared by the corpus operators: table access, durable cut points, ranks."""
+"""Small helpers shared by the corpus operators: table access, ranks, samples; and the cut points of the package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import store
+
+__all__ = ["dense_rank_ids", "sampled", "store", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, read whole through Spark's reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    set_dir = sc._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-
-    Unlike a cached block, the files outlive any executor; they go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dense_rank_ids(df: DataFrame, group: list[str], order: list[str], name: str, per_block: int = 16_384) -> DataFrame:
     """Number the rows of each group from 0 in the given order, without one task per group.
 
