@@ -15,7 +15,9 @@ from .schemas import ALIASES, ENTITY_ORDER, JOB_STATES
 from .sources import entities as E
 
 NOW = dt.datetime(2024, 1, 20)
-_now = F.lit(NOW).cast("timestamp_ntz")
+
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
     fetched = E.collection(spark, sf_dir, entity)
-    return cdc.classify(fetched, E.stored_mapping(fetched, _now), ["pos"])
+    return cdc.classify(fetched, E.stored_mapping(fetched, _now()), ["pos"])
 
 
 def _all_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def _all_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mapping(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
-    return E.stored_mapping(E.collection(spark, sf_dir, entity), _now)
+    return E.stored_mapping(E.collection(spark, sf_dir, entity), _now())
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +98,7 @@ def cdc_sync_all_rollup(spark, sf_dir):
 def cdc_merge_mapping(spark, sf_dir):
     fetched = E.collection(spark, sf_dir, "rental_order")
     stored = E.stored_mapping(fetched, F.lit("2024-01-01").cast("timestamp_ntz"))
-    return cdc.merge_mapping(stored, cdc.classify(fetched, stored, ["pos"]), "pos", _now)
+    return cdc.merge_mapping(stored, cdc.classify(fetched, stored, ["pos"]), "pos", _now())
 
 
 def _repeats(spark, sf_dir):
@@ -121,7 +123,7 @@ def cdc_repeat_ids(spark, sf_dir):
 
 
 def history_append(spark, sf_dir):
-    return cdc.history(_outcomes(spark, sf_dir, "rental_order"), _now, ["pos"]).select("id", "source_id", "external_id", "status", "details", "created_at")
+    return cdc.history(_outcomes(spark, sf_dir, "rental_order"), _now(), ["pos"]).select("id", "source_id", "external_id", "status", "details", "created_at")
 
 
 def dead_letter_append(spark, sf_dir):
@@ -129,7 +131,7 @@ def dead_letter_append(spark, sf_dir):
         F.lit("customer").alias("entity_type"), F.col("doc_id").cast("string").alias("source_id"), F.lit("failed").alias("outcome"),
         F.col("text").alias("error"), F.col("text").alias("payload"), F.col("doc_id").alias("pos"),
     )
-    return cdc.dead_letters(failed, _now, ["pos"])
+    return cdc.dead_letters(failed, _now(), ["pos"])
 
 
 def dead_letter_list(spark, sf_dir):
@@ -179,22 +181,22 @@ def mapping_update(spark, sf_dir):
 def checkpoint_upsert(spark, sf_dir):
     writes = _table(spark, sf_dir, "events").select(F.col("event_type").alias("entity_type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_sync_at"), F.col("event_id").alias("write_order"))
     before = spark.createDataFrame([("click", "1999-01-01 00:00:00", None), ("other", "1999-01-01 00:00:00", None)], "entity_type string, last_sync_at string, updated_at timestamp_ntz")
-    return lookups.put_checkpoints(before, writes, _now)
+    return lookups.put_checkpoints(before, writes, _now())
 
 
 def enqueue_dedup(spark, sf_dir):
     requests = _table(spark, sf_dir, "events").where("event_type = 'click'").select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("entity_type"), F.col("props").alias("payload"))
     queue = _jobs(spark, sf_dir).where("id % 67 = 0")
-    return jobs.enqueue(queue, requests, _now, priority=True, first_id=1).select("id", "entity_type", "payload", "status", "attempts", "max_attempts", "created_at", "scheduled_at")
+    return jobs.enqueue(queue, requests, _now(), priority=True, first_id=1).select("id", "entity_type", "payload", "status", "attempts", "max_attempts", "created_at", "scheduled_at")
 
 
 def claim_next(spark, sf_dir):
-    return jobs.next_job(_jobs(spark, sf_dir), _now)
+    return jobs.next_job(_jobs(spark, sf_dir), _now())
 
 
 def claim_state(spark, sf_dir):
     queue = _jobs(spark, sf_dir)
-    return jobs.metrics(jobs.claim(queue, jobs.next_job(queue, _now), _now))
+    return jobs.metrics(jobs.claim(queue, jobs.next_job(queue, _now()), _now()))
 
 
 def job_transition(spark, sf_dir):
@@ -203,7 +205,7 @@ def job_transition(spark, sf_dir):
         "ok": F.col("id") % 4 == 1, "error": F.concat(F.lit("error "), F.col("id").cast("string")),
         "kind": F.get(kinds, (F.col("id") % 5).cast("int")), "code": F.when(F.col("id") % 2 == 0, 503).otherwise(404),
     })
-    return jobs.transition(run, _now).select("id", "status", "attempts", "error_message", "scheduled_at")
+    return jobs.transition(run, _now()).select("id", "status", "attempts", "error_message", "scheduled_at")
 
 
 def retry_classify(spark, sf_dir):
@@ -309,7 +311,7 @@ def backup_purge(spark, sf_dir):
 
 
 def system_status(spark, sf_dir):
-    one = reports.status(_jobs(spark, sf_dir), _now, True, False, True, False, "12345678")
+    one = reports.status(_jobs(spark, sf_dir), _now(), True, False, True, False, "12345678")
     return one.select("status", "middleware_version", "system_health.scheduler_status", "system_health.license_status", "queue_metrics.current_queue", "queue_metrics.pending_jobs", "timestamp")
 
 

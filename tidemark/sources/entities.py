@@ -18,7 +18,9 @@ def unwrapped(raw: DataFrame, text: str = "body") -> DataFrame:
     A body that is an object without data, or whose data is null, is an error, except the empty object, which
     has no items. Bodies that are no JSON are errors too.
     """
-    body = F.parse_json(F.col(text))
+    parsed = F.try_parse_json(F.col(text))
+    no_json = F.raise_error(F.lit("response is no JSON")).cast("variant")
+    body = F.when(parsed.isNull() & F.col(text).isNotNull(), no_json).otherwise(parsed)
     kind = F.schema_of_variant(F.col("_body"))
     inner = F.try_variant_get(F.col("_body"), "$.data", "variant")
     is_object = kind.startswith("OBJECT")

@@ -120,3 +120,9 @@ def external_id(entity: str, response: str, source_id: str) -> str:
     got = json.loads(response)
     names = ("id", "external_id") if entity == "customer" else ("id",)
     return str(next((got[n] for n in names if got.get(n)), source_id))
+
+
+def register(spark) -> None:
+    """Make the format known to a session, with filters pushed down to the server."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RestEntitySource)
