@@ -6,10 +6,15 @@ documents; words in fewer than RARE of them share the greatest idf, so the lexic
 holds at most (distinct words per document) / RARE entries, however large the corpus.
 
 Improved consistent weighted sampling draws BANDS x ROWS samples of each set; two sets agree in a sample
-with probability equal to their weighted Jaccard similarity. The samples are banded. In each bucket every
-document is first verified against the least; verified links give components, and where a bucket still
-holds several components, all pairs across them are verified as well. So no link of a bucket between
-components is lost, while a large group of copies takes one comparison for each member, not all pairs.
+with probability equal to their weighted Jaccard similarity. Documents that share a band and agree in AGREE
+of all samples are candidates: of pairs as similar as asked, sampling finds 99.98 in 100 by their bands, and
+three in 100,000 agree in too few samples.
+
+In each bucket every document is first verified against the least; verified links give components. Where a
+bucket still holds several components, the pairs across them are verified too: in small buckets by a join,
+in those of more than SMALL documents as matrices, in blocks of about BLOCK documents, of which a task
+returns a spanning forest of the links, not the pairs. So a large group of near copies costs neither a row
+for each pair nor one task, and no link between components is lost.
 
 Equal texts are one class without sampling. Null texts, texts without a word and rows without a doc_id
 are alike nothing (but equal texts without a word are equal). Texts of fewer than five words have one
@@ -24,7 +29,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
@@ -39,6 +45,10 @@ RARE = 0.001
 #: Distinct words that a worker remembers.
 MEMO = 400_000
 TABLE_BITS = 14
+#: Samples that candidates must agree in.
+AGREE = BANDS * ROWS // 2
+#: Documents of a bucket whose pairs are joined; of a block beyond that; and features that are multiplied at a time.
+SMALL, BLOCK, FEATURES = 24, 768, 1024
 _U = np.uint64
 
 
@@ -53,7 +63,7 @@ class Words(dict):
     """Number of each word seen, with its 64-bit hash and weight by number."""
 
     def __init__(self, lexicon: tuple[np.ndarray, np.ndarray, float] | None = None):
-        self.lexicon = lexicon
+        self.idf, self.most = (dict(zip(lexicon[0].tolist(), lexicon[1].tolist())), lexicon[2]) if lexicon else (None, 0.0)
         self.reset()
 
     def reset(self) -> None:
@@ -64,12 +74,9 @@ class Words(dict):
         number = self[word] = len(self)
         if number == len(self.hash):
             self.hash, self.weight = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.weight))
-        key = np.uint64(int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
-        self.hash[number] = key
-        if self.lexicon is not None:
-            known, idf, most = self.lexicon
-            at = int(np.searchsorted(known, key))
-            self.weight[number] = idf[at] if at < len(known) and known[at] == key else most
+        self.hash[number] = key = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if self.idf is not None:
+            self.weight[number] = self.idf.get(key, self.most)
         return number
 
     def of(self, text: str | None) -> np.ndarray:
@@ -167,7 +174,7 @@ def banded(samples: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """doc_id, the two halves of the text's 128-bit hash, total weight and band keys of every document."""
+    """doc_id, the two halves of the text's 128-bit hash, total weight, band keys and samples of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,6 +182,7 @@ def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float]) -> Da
         for batch in batches:
             n = len(batch)
             bands: list = [[]] * n
+            samples: list = [[]] * n
             total, names = np.zeros(n), np.zeros((n, 2), "int64")
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -182,8 +190,9 @@ def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float]) -> Da
                 if held:
                     sizes = np.array([len(k) for _, k, _ in held])
                     keys, weights = (np.concatenate([x[j] for x in held]) for j in (1, 2))
-                    for (i, _, w), b in zip(held, banded(drawn(keys, weights, np.cumsum(sizes) - sizes, tables))):
-                        bands[i], total[i] = b, w.sum(dtype="float64")
+                    found = drawn(keys, weights, np.cumsum(sizes) - sizes, tables)
+                    for (i, _, w), b, x in zip(held, banded(found), found.astype("uint32").view("int32")):
+                        bands[i], samples[i], total[i] = b, x, w.sum(dtype="float64")
                     held.clear()
 
             waiting = 0
@@ -201,10 +210,10 @@ def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float]) -> Da
             flush()
             missing = batch["text"].isna().to_numpy()
             h1, h2 = (pd.Series(names[:, j]).astype("Int64").mask(missing) for j in (0, 1))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "h1": h1, "h2": h2, "total": total, "bands": bands})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "h1": h1, "h2": h2, "total": total, "bands": bands, "samples": samples})
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(
-        rows, "doc_id long, h1 long, h2 long, total double, bands array<long>"
+        rows, "doc_id long, h1 long, h2 long, total double, bands array<long>, samples array<int>"
     )
 
 
@@ -238,36 +247,151 @@ def verified(pairs: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndar
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(kept, "a long, b long")
 
 
+def agreeing(a: Column, b: Column) -> Column:
+    """Whether two arrays of samples agree in AGREE places."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+
+
+def forest(ids_a: np.ndarray, ids_b: np.ndarray, linked: np.ndarray, joined: dict[int, int]) -> list[tuple[int, int]]:
+    """Links that join what is not joined yet; joined is changed."""
+
+    def top(x: int) -> int:
+        while joined.setdefault(x, x) != x:
+            joined[x] = joined[joined[x]]
+            x = joined[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(linked.any(1)):
+        a = int(ids_a[i])
+        for b in ids_b[linked[i]].tolist():
+            one, other = top(a), top(b)
+            if one != other:
+                joined[max(one, other)] = min(one, other)
+                out.append((a, b))
+    return out
+
+
+def halves(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks that a task compares; the same one twice inside a block."""
+    one, other = part["b1"].iloc[0], part["b2"].iloc[0]
+    return part[part["block"] == one], part[part["block"] == other]
+
+
+def worth_comparing(part: pd.DataFrame) -> pd.DataFrame:
+    """key and doc_id of the documents that agree in AGREE samples with one of another component."""
+    a, b = halves(part)
+    if not len(a) or not len(b):
+        return pd.DataFrame({"key": [], "doc_id": []}).astype("int64")
+    x, y = np.stack(a["samples"].to_numpy()), np.stack(b["samples"].to_numpy())
+    same = np.zeros((len(a), len(b)), "uint8")
+    for k in range(x.shape[1]):
+        same += x[:, k, None] == y[None, :, k]
+    near = (same >= AGREE) & (a["component"].to_numpy()[:, None] != b["component"].to_numpy()[None, :])
+    ids = np.unique(np.concatenate([a["doc_id"].to_numpy()[near.any(1)], b["doc_id"].to_numpy()[near.any(0)]]))
+    return pd.DataFrame({"key": np.full(len(ids), part["key"].iloc[0]), "doc_id": ids})
+
+
+def shared_weight(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of the lesser weights of each two sets, as a product of matrices.
+
+    A shingle with several weights counts once for each step between them, in every set that reaches the step.
+    """
+    n = len(sets)
+    out = np.zeros((n, n))
+    sizes = [len(k) for k, _ in sets]
+    if not sum(sizes):
+        return out
+    key, weight = (np.concatenate([x[i] for x in sets]) for i in (0, 1))
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((weight, key))
+    key, weight, owner = key[order], weight[order].astype("float64"), owner[order]
+    new_key = np.append(True, key[1:] != key[:-1])
+    new_step = new_key | np.append(True, weight[1:] != weight[:-1])
+    step = np.cumsum(new_step) - 1  # number of each entry's step; the steps of a key follow each other
+    first = step[np.maximum.accumulate(np.where(new_key, np.arange(len(key)), 0))]
+    low = np.where(new_key[new_step], 0.0, np.append(0.0, weight[new_step][:-1]))
+    height = weight[new_step] - low
+    reach = step - first + 1
+    at = np.repeat(np.arange(len(key)), reach)
+    feature = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(reach) - reach, reach)
+    holder = owner[at]
+    common = np.bincount(feature) > 1
+    number = np.cumsum(common) - 1
+    kept = common[feature]
+    feature, holder, height = number[feature[kept]], holder[kept], height[common]
+    by = np.argsort(feature, kind="stable")
+    feature, holder = feature[by], holder[by]
+    for low_f in range(0, len(height), FEATURES):
+        i, j = np.searchsorted(feature, (low_f, low_f + FEATURES))
+        marks = np.zeros((n, min(FEATURES, len(height) - low_f)))
+        marks[holder[i:j], feature[i:j] - low_f] = 1
+        out += (marks * height[low_f : low_f + FEATURES]) @ marks.T
+    return out
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """rows (key, doc_id, ...) dealt out for comparing each two blocks of a key: block, b1 and b2."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    return (
+        rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("_blocks")).cast("int"))
+        .withColumn("_mate", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("b1", F.least("block", "_mate")).withColumn("b2", F.greatest("block", "_mate")).drop("_blocks", "_mate")
+    )
+
+
+def linked_in_blocks(members: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float], similar: float) -> DataFrame:
+    """Links (a, b) across components among members (key, doc_id, component, samples) of large buckets."""
+    asked = store(blocked(members).groupBy("key", "b1", "b2").applyInPandas(worth_comparing, "key long, doc_id long").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def compared(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = halves(part)
+        both = a if part["b1"].iloc[0] == part["b2"].iloc[0] else pd.concat([a, b])
+        memo = Words(shared.value)
+        sets = [memo.shingles(t) for t in both["text"]]
+        total = np.array([w.sum(dtype="float64") for _, w in sets])
+        least = shared_weight(sets)
+        ids, component = both["doc_id"].to_numpy(), both["component"].to_numpy()
+        linked = (least >= similar * (total[:, None] + total[None, :] - least) - 1e-9) & (component[:, None] != component[None, :])
+        return pd.DataFrame(forest(ids, ids, linked, {}), columns=["a", "b"]).astype("int64")
+
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    rows = blocked(asked.join(members.select("key", "doc_id", "component"), ["key", "doc_id"])).join(texts, "doc_id")
+    return rows.groupBy("key", "b1", "b2").applyInPandas(compared, "a long, b long")
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept of every document."""
     words = lexicon(docs)
     sketches = store(sketched(docs, words))
     alike = store(
         sketches.where("h1 is not null").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("total").alias("total"), F.min("bands").alias("bands"))
-    )
-    buckets = alike.select("doc_id", "total", F.explode("bands").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "total")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
+        .agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("total", "bands", "samples")])
+    )
+    buckets = alike.select("doc_id", F.explode("bands").alias("key"))
+    heads = buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = store(buckets.join(heads, "key"))
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (similar - 1e-6)
+    sketch = alike.select("doc_id", "total", "samples")
+    other = sketch.select(F.col("doc_id").alias("a"), F.col("total").alias("total_a"), F.col("samples").alias("samples_a"))
+    near = (F.least("total", "total_a") >= F.greatest("total", "total_a") * (similar - 1e-6)) & agreeing(F.col("samples"), F.col("samples_a"))
     stars = store(
-        members.where(F.col("doc_id") != F.col("head.doc_id")).where(fits(F.col("total"), F.col("head.total")))
-        .select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    )
+        members.where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), "doc_id").distinct()
+        .join(other, "a").join(sketch, "doc_id").where(near).select("a", F.col("doc_id").alias("b"))
+    )
     edges = store(verified(stars, docs, words, similar))
     parts = components(edges)
-    labelled = members.select("key", "doc_id", "total").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "total", F.coalesce("component", "doc_id").alias("component")
-    )
-    split = labelled.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-    mixed_buckets = store(labelled.join(split, "key"))
-    other = mixed_buckets.select("key", F.col("doc_id").alias("b"), F.col("total").alias("total_b"), F.col("component").alias("component_b"))
+    labelled = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = labelled.where("n > 2").groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
+    unsettled = store(labelled.join(split, "key").join(sketch, "doc_id").select("key", "doc_id", "n", "component", "total", "samples"))
+    few = unsettled.where(F.col("n") <= SMALL)
+    mate = few.select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "component", "total", "samples")])
     across = (
-        mixed_buckets.withColumnRenamed("doc_id", "a").join(other, "key")
-        .where("a < b and component <> component_b").where(fits(F.col("total"), F.col("total_b"))).select("a", "b").distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = store(verified(across, docs, words, similar))
+        few.join(mate, (few["key"] == mate["key"]) & (F.col("doc_id_a") < F.col("doc_id")) & (F.col("component_a") != F.col("component")) & near)
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    )
+    many = unsettled.where(F.col("n") > SMALL).select("key", "doc_id", "component", "samples")
+    more = store(verified(across, docs, words, similar).unionByName(linked_in_blocks(many, docs, words, similar)))
     every = components(edges.unionByName(more)) if more.take(1) else parts
     return (
         sketches.select("doc_id", "h1", "h2").join(alike.select("h1", "h2", F.col("doc_id").alias("first")), ["h1", "h2"], "left")
