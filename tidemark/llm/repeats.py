@@ -40,6 +40,7 @@ SECTION = 1 << 22
 HOT = 20_000
 #: A range of bytes is one number: its start and, in the low bits, its length.
 SPAN_BITS = 20
+SPANS = "_repeated_spans"
 _U = np.uint64
 
 
@@ -285,11 +286,11 @@ def covered(size: int, ranges) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `spans` of every document; spans is null where nothing repeats, and null texts are empty."""
+    """docs with the spans of every document (column SPANS): null where nothing repeats. Null texts are empty."""
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     known = rows.where("doc_id is not null")
-    rest = rows.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<long>"))
-    return known.join(spans(known.select("doc_id", "text")), "doc_id", "left").select(*rest.columns).unionByName(rest)
+    rest = rows.where("doc_id is null").withColumn(SPANS, F.lit(None).cast("array<long>"))
+    return known.join(spans(known.select("doc_id", "text")).withColumnRenamed("spans", SPANS), "doc_id", "left").select(*rest.columns).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return with_spans(docs).withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left("text", "spans"))).drop("spans")
+    return with_spans(docs).withColumn("text", F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(left("text", SPANS))).drop(SPANS)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -317,7 +318,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, ranges in zip(batch["text"], batch["spans"]):
+            for text, ranges in zip(batch["text"], batch[SPANS]):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")
                 gone = covered(len(data), ranges)
                 runs = int((np.diff(np.concatenate([[0], gone.view("int8")])) == 1).sum())
