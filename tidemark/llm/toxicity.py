@@ -38,6 +38,8 @@ WINDOW = 8
 #: Labelled documents of either class that the model learns from, at most (about).
 DOCS = 3000
 THRESHOLD = 0.3
+#: Share of a word's subwords that training sees at a time, so that a part of a word must do.
+KEEP = 0.4
 #: Distinct words whose number a worker remembers.
 MEMO = 300_000
 
@@ -88,12 +90,18 @@ def best_windows(scores: np.ndarray) -> np.ndarray:
     return (total[k:] - total[:-k]) / k
 
 
-def train(sample: Sample, rounds: int = 8, batch: int = 256, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float] | None:
-    """(number that each bucket adds, bias), or None without both classes."""
+def train(sample: Sample, rounds: int = 8, batch: int = 256, steps: int = 500, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float] | None:
+    """(number that each bucket adds, bias), or None without both classes.
+
+    Small samples take smaller batches and more rounds, so that there are about `steps` updates at least.
+    """
     if len(set(sample.labels.tolist())) < 2:
         return None
+    batch = min(batch, max(16, len(sample.texts) // 20))
+    favour = min(8.0, max(1.0, (sample.labels == 0).sum() / (sample.labels == 1).sum()) ** 0.5)  # of the rarer class
+    rounds = max(rounds, -(-steps * batch // (2 * len(sample.texts))))
     draw = np.random.default_rng(seed)
-    vectors = draw.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype("float32") / DIMENSIONS
+    vectors = draw.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype("float32") / 64
     weights, bias = np.zeros((DIMENSIONS, 2), "float32"), np.zeros(2, "float32")
     weights[:, 1] = draw.normal(0, 0.5, DIMENSIONS)
     weights[:, 0] = -weights[:, 1]
@@ -116,6 +124,9 @@ def train(sample: Sample, rounds: int = 8, batch: int = 256, rate: float = 0.5,
             y = np.array([chosen[i][1] for i in some])
             window = np.repeat(np.arange(len(some)), size)
             bucket, of = sample.parts(words)
+            kept = draw.random(len(of)) < KEEP  # the others count as subwords that nobody knows
+            kept[np.append(True, window[of][1:] != window[of][:-1])] = True  # no window without any
+            bucket, of = bucket[kept], of[kept]
             share = (1 / sample.size[words] / size[window]).astype("float32")[of]
             row = window[of]
             starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))])[:-1]
@@ -125,6 +136,7 @@ def train(sample: Sample, rounds: int = 8, batch: int = 256, rate: float = 0.5,
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
+            p *= np.where(y == 1, favour, 1)[:, None]
             step = p @ weights.T
             grad_w, grad_b = mean.T @ p / len(y), p.mean(0)
             square_w += grad_w**2
