@@ -25,7 +25,7 @@ from .common import store
 
 COMMON, RARE = 0.3, 0.004
 #: Random sublexicons: bits that a term's hash must have unset, and how many sublexicons of that share.
-SHARES = ((0, 1), (1, 1), (2, 2), (3, 4), (4, 6), (5, 6), (6, 6), (7, 6))
+SHARES = ((0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 5), (8, 5))
 #: Documents of one run that are put in order together.
 RUN = 2048
 
@@ -43,8 +43,8 @@ def lexicon(docs: DataFrame, common: float = COMMON, rare: float = RARE) -> list
     return sorted(r.term for r in counts.where((F.col("n") >= total * rare) & (F.col("n") <= max(1.0, total * common))).select("term").collect())
 
 
-def hashes(text: Column, band: list[int]) -> Column:
-    """One hash for each sublexicon; null where the text has none of its terms."""
+def hashes(words: str, band: list[int]) -> Column:
+    """One hash for each sublexicon, from a column of terms; null where the text has none of its terms."""
 
     def holds(at: int, bits: int):
         return lambda t: F.shiftrightunsigned(t, at).bitwiseAND(F.lit((1 << bits) - 1)) == 0
@@ -52,10 +52,11 @@ def hashes(text: Column, band: list[int]) -> Column:
     lots = [bits for bits, many in SHARES for _ in range(many)]
 
     def each(kept: Column) -> Column:
-        some = [F.filter(kept, holds(2 * i % 58, bits)) if bits else kept for i, bits in enumerate(lots)]
+        some = [F.filter(kept, holds(23 * i % 56, bits)) if bits else kept for i, bits in enumerate(lots)]
         return F.array(*[F.when(F.size(x) > 0, F.hash(F.lit(i), x)) for i, x in enumerate(some)])
 
-    kept = F.array_sort(F.filter(terms(text), lambda t: t.isin(band)))
+    known = ", ".join(f"{t}L" if t > -(2**63) else f"{t + 1}L - 1L" for t in band) or "NULL"
+    kept = F.array_sort(F.expr(f"filter({words}, t -> t IN ({known}))"))  # as SQL text, for a call for each term takes long
     return F.transform(F.array(kept), each)[0]  # the inner function sees the sorted terms as one value
 
 
@@ -113,9 +114,9 @@ def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document."""
     band = lexicon(docs)
     marked = store(
-        edited(docs).select(
+        edited(docs).withColumns({"_own": terms(F.col("text")), "_changed": terms(F.col("edited"))}).select(
             "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-            hashes(F.col("text"), band).alias("own"), hashes(F.col("edited"), band).alias("changed"), "_tie",
+            hashes("_own", band).alias("own"), hashes("_changed", band).alias("changed"), "_tie",
         )
     )
     return with_next(marked, ["own"], "_tie").select(
