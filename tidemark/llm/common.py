@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import store
 
-__all__ = ["dense_rank_ids", "sampled", "store", "table"]
+__all__ = ["blocks", "dense_rank_ids", "sampled", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def blocks(df: DataFrame, key: str, size: int) -> Column:
+    """A number for each row that rises with an integer column, about `size` rows having the same; nulls have -1.
+
+    Doubles hold any range of keys without overflow, and rounding them keeps the order.
+    """
+    spread = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
+    if not spread.n:
+        return F.lit(-1).cast("long")
+    width = max(1.0, (spread.hi - spread.lo + 1) * size / spread.n)
+    place = F.floor((F.col(key).cast("double") - F.lit(float(spread.lo))) / F.lit(width))
+    return F.coalesce(place, F.lit(-1)).cast("long")
+
+
 def dense_rank_ids(df: DataFrame, group: list[str], order: list[str], name: str, per_block: int = 16_384) -> DataFrame:
     """Number the rows of each group from 0 in the given order, without one task per group.
 
@@ -22,11 +35,7 @@ def dense_rank_ids(df: DataFrame, group: list[str], order: list[str], name: str,
     are numbered inside (group, block); the blocks' sizes, one row each, are summed up in front of them.
     Rows whose first order value is null come first. Ties get distinct numbers.
     """
-    first = order[0]
-    spread = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count(first).alias("n")).first()
-    width = max(1, (spread.hi - spread.lo + 1) * per_block // spread.n) if spread.n else 1
-    block = F.coalesce(F.floor((F.col(first) - F.lit(spread.lo or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = df.withColumn("_block", block)
+    rows = df.withColumn("_block", blocks(df, order[0], per_block))
     inside = Window.partitionBy(*group, "_block").orderBy(*order)
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

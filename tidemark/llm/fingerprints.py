@@ -21,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import blocks, store
 
 COMMON, RARE = 0.3, 0.004
 #: Random sublexicons: bits that a term's hash must have unset, and how many sublexicons of that share.
-SHARES = ((0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 5), (8, 5))
+SHARES = ((0, 1), (1, 1), (2, 2), (3, 4), (4, 6), (5, 8), (6, 10), (7, 8), (8, 8))
 #: Documents of one run that are put in order together.
-RUN = 2048
+RUN = 512
 
 
 def terms(text: Column) -> Column:
@@ -78,13 +78,10 @@ def with_next(rows: DataFrame, columns: list[str], tie: str, name: str = "next")
     Rows are put in order inside runs of the doc_id's range; a run's last row takes its neighbour from the
     table of first rows, one for each run, whose own order is found in the same way. Null doc_ids come last.
     """
-    spread = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    width = max(1, (spread.hi - spread.lo + 1) * RUN // spread.n) if spread.hi is not None else 1
-    run = F.coalesce(F.floor((F.col("doc_id") - F.lit(spread.lo or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    placed, this = rows.withColumn("_run", run), F.struct("doc_id", *columns)
+    placed, this = rows.withColumn("_run", blocks(rows, "doc_id", RUN)), F.struct("doc_id", *columns)
     order = Window.partitionBy("_run").orderBy(F.desc_nulls_last("doc_id"), tie)
     runs = placed.select("_run").distinct()
-    if spread.n > RUN * RUN:
+    if rows.count() > RUN * RUN:
         above = with_next(runs.select(F.col("_run").alias("doc_id"), F.lit(0).alias("_tie")), [], "_tie")
         follows = above.select(F.col("doc_id").alias("_from"), F.col("next.doc_id").alias("_to"))
     else:
