@@ -53,8 +53,9 @@ def dense_rank_ids(df: DataFrame, group: list[str], order: list[str], name: str,
 def sampled(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """About `most` rows of each value of `by` (all, where there are fewer), chosen by a hash of `key`.
 
-    The same rows are chosen on every run; the sizes per value are one small table.
+    The same rows are chosen on every run. The values of `by` must be few (languages, labels): their sizes
+    are broadcast, and the rows are not shuffled.
     """
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003)
-    return rows.join(sizes, by).where(share * F.col("_size") < F.lit(most)).drop("_size")
+    return rows.join(F.broadcast(sizes), by).where(share * F.col("_size") < F.lit(most)).drop("_size")

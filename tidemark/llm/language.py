@@ -33,7 +33,7 @@ TOP = 400
 #: Documents of each language that its profile is learned from, at most (about).
 DOCS = 1500
 #: Distinct words whose n-grams a worker remembers.
-MEMO = 200_000
+MEMO = 350_000
 
 
 def grams(word: str) -> list[str]:
@@ -75,34 +75,40 @@ def learn(rows: DataFrame, docs: int = DOCS, top: int = TOP) -> dict[str, list[s
     return profiles
 
 
+class Grams(dict):
+    """Number of each n-gram seen, with its rank in all profiles and its place among equally frequent ones by number."""
+
+    def __init__(self, places: list[dict[str, int]], top: int):
+        self.places, self.top = places, top
+        self.rank = np.empty((1024, len(places)), "int32")
+        self.order = np.empty(1024, "uint64")
+
+    def __missing__(self, gram: str) -> int:
+        number = self[gram] = len(self)
+        if number == len(self.order):
+            self.rank = np.concatenate([self.rank, np.empty_like(self.rank)])
+            self.order = np.concatenate([self.order, np.empty_like(self.order)])
+        self.rank[number] = [place.get(gram, self.top) for place in self.places]
+        self.order[number] = ordinal(gram)
+        return number
+
+
 class Ranker:
     """Out-of-place distances of texts to a set of profiles, with what a worker remembers between texts."""
 
     def __init__(self, profiles: dict[str, list[str]], top: int):
         self.names, self.top = sorted(profiles), top
-        self.place = {name: {gram: i for i, gram in enumerate(profiles[name])} for name in self.names}
+        self.places = [{gram: i for i, gram in enumerate(profiles[name])} for name in self.names]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.grams = Grams(self.places, self.top)
         self.words: dict[str, np.ndarray] = {}
-        self.rank = np.empty((1024, len(self.names)), "int32")
-        self.order = np.empty(1024, "uint64")
 
     def of_word(self, word: str) -> np.ndarray:
-        """Numbers of a word's n-grams; new n-grams get a row with their ranks in all profiles."""
-        out = []
-        for gram in grams(word):
-            number = self.number.get(gram)
-            if number is None:
-                number = self.number[gram] = len(self.number)
-                if number == len(self.order):
-                    self.rank = np.concatenate([self.rank, np.empty_like(self.rank)])
-                    self.order = np.concatenate([self.order, np.empty_like(self.order)])
-                self.rank[number] = [self.place[name].get(gram, self.top) for name in self.names]
-                self.order[number] = ordinal(gram)
-            out.append(number)
-        ids = self.words[word] = np.array(out, "int32")
+        """Numbers of a word's n-grams."""
+        found = grams(word)
+        ids = self.words[word] = np.fromiter(map(self.grams.__getitem__, found), "int32", len(found))
         return ids
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -116,9 +122,10 @@ class Ranker:
         times = np.repeat(np.fromiter(words.values(), "int64", len(ids)), sizes)
         found, where = np.unique(np.concatenate(ids), return_inverse=True)
         count = np.bincount(where, times)
-        best = found[np.lexsort((self.order[found], -count))[: self.top]]
-        off = np.abs(np.minimum(self.rank[best], self.top) - np.arange(len(best))[:, None])
-        off[self.rank[best] >= self.top] = self.top
+        best = found[np.lexsort((self.grams.order[found], -count))[: self.top]]
+        rank = self.grams.rank[best]
+        off = np.abs(rank - np.arange(len(best))[:, None])
+        off[rank >= self.top] = self.top
         far = off.sum(0)
         order = np.argsort(far, kind="stable")
         first, second = far[order[0]], far[order[1]] if len(order) > 1 else len(best) * self.top
