@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,10 +71,13 @@ class Sample:
                 self.texts.append(np.array(ids, "int32"))
                 self.labels.append(label)
         self.labels = np.array(self.labels, "int64")
-        bags = [subwords(w) for w in number]
-        self.size = np.array([len(b) for b in bags], "int64")
-        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1].astype("int64")
-        self.bucket = np.concatenate([np.array(b, "int32") for b in bags]) if bags else np.empty(0, "int32")
+        buckets, sizes = array("i"), array("i")
+        for word in number:
+            found = subwords(word)
+            buckets.extend(found)
+            sizes.append(len(found))
+        self.size, self.bucket = np.array(sizes, "int64"), np.array(buckets, "int32")
+        self.start = np.cumsum(self.size) - self.size
 
     def parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of these words one after another, and which of the words each is of."""
@@ -167,8 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> tuple[np.ndar
     # ids has about 2 * most rows at any size of the corpus
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sampled(marks.where(~held_out()).select(F.col("doc_id"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")), "toxic", "doc_id", most)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id").select("text", "toxic").collect()
-    return train(Sample([r.text for r in rows], [r.toxic for r in rows]))
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").select("text", "toxic").toPandas()
+    return train(Sample(rows["text"].tolist(), rows["toxic"].tolist()))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "text", into: str = "score") -> DataFrame:
