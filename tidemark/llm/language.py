@@ -14,7 +14,6 @@ with a null language or null text teach nothing. Without any profile everything
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -42,9 +41,10 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1) if n > 1 or marked[i] != "_"]
 
 
-def ordinal(gram: str) -> int:
-    """A number that orders equally frequent n-grams alike on every worker."""
-    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+def ordinal(gram: str) -> tuple[int, int]:
+    """Two numbers that order equally frequent n-grams as their code points do."""
+    points = [ord(c) for c in gram] + [0] * (max(LENGTHS) - len(gram))
+    return points[0] << 42 | points[1] << 21 | points[2], points[3]
 
 
 def learn(rows: DataFrame, docs: int = DOCS, top: int = TOP) -> dict[str, list[str]]:
@@ -81,7 +81,7 @@ class Grams(dict):
     def __init__(self, places: list[dict[str, int]], top: int):
         self.places, self.top = places, top
         self.rank = np.empty((1024, len(places)), "int32")
-        self.order = np.empty(1024, "uint64")
+        self.order = np.empty((1024, 2), "int64")
 
     def __missing__(self, gram: str) -> int:
         number = self[gram] = len(self)
@@ -122,14 +122,15 @@ class Ranker:
         times = np.repeat(np.fromiter(words.values(), "int64", len(ids)), sizes)
         found, where = np.unique(np.concatenate(ids), return_inverse=True)
         count = np.bincount(where, times)
-        best = found[np.lexsort((self.grams.order[found], -count))[: self.top]]
+        order = self.grams.order[found]
+        best = found[np.lexsort((order[:, 1], order[:, 0], -count))[: self.top]]
         rank = self.grams.rank[best]
         off = np.abs(rank - np.arange(len(best))[:, None])
         off[rank >= self.top] = self.top
         far = off.sum(0)
-        order = np.argsort(far, kind="stable")
-        first, second = far[order[0]], far[order[1]] if len(order) > 1 else len(best) * self.top
-        return self.names[order[0]], float(1 - first / second) if second else 0.0
+        near = np.argsort(far, kind="stable")
+        first, second = far[near[0]], far[near[1]] if len(near) > 1 else len(best) * self.top
+        return self.names[near[0]], float(1 - first / second) if second else 0.0
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[str]], top: int = TOP, text: str = "text", into: str = "language") -> DataFrame:

@@ -30,4 +30,84 @@ ORACLE_SQL = {
                CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, grown_shard
         FROM won JOIN sums USING (doc_id)
     """,
+    "op3_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+        ), docs AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+        df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM words) GROUP BY word),
+        idf AS (SELECT word, CASE WHEN df >= greatest(2, 0.001 * n) THEN least(ln(n / df) + 1, ln(1000) + 1) ELSE ln(1000) + 1 END AS idf FROM df, docs),
+        tokens AS (SELECT doc_id, i, ws[i] AS word, len(ws) AS n FROM (SELECT doc_id, ws, CAST(unnest(range(1, len(ws) + 1)) AS BIGINT) AS i FROM words)),
+        spans AS (
+            SELECT doc_id, n, i, list(word) OVER f AS shingle, avg(idf) OVER f AS weight FROM tokens JOIN idf USING (word)
+            WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+        ), sets AS (
+            SELECT doc_id, shingle, count(*) * any_value(weight) AS w FROM spans WHERE i <= greatest(1, n - 4) GROUP BY doc_id, shingle
+        ), total AS (SELECT doc_id, sum(w) AS t FROM sets GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS s FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        near AS (
+            SELECT a, b FROM shared JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b WHERE s >= 0.8 * (x.t + y.t - s)
+            UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id
+        ), links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+        SELECT doc_id, min(other) AS class_id, min(other) = doc_id AS kept FROM reach GROUP BY doc_id
+    """,
+    "op6_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+        ), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, min(other) = e.vec_id AS kept
+        FROM embeddings e JOIN reach USING (vec_id) LEFT JOIN counts USING (vec_id) GROUP BY e.vec_id
+    """,
+    "op9_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        starts AS (SELECT doc_id, h, CAST(unnest(range(n - 99)) AS BIGINT) AS s FROM d WHERE n >= 100),
+        windows AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS w FROM starts),
+        again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM windows) WHERE k > 1),
+        marked AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS fresh FROM again),
+        runs AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+        gone AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, run),
+        kept AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM gone
+                 UNION ALL SELECT doc_id, max(b), NULL FROM gone GROUP BY doc_id),
+        cut AS (SELECT k.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f) AS h FROM kept k JOIN d USING (doc_id) GROUP BY k.doc_id),
+        sums AS (SELECT doc_id, count(*) AS spans, CAST(sum(b - a) AS BIGINT) AS removed FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(cut.h, d.h))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN sums USING (doc_id)
+    """,
+    "op2_language": r"""
+        WITH crc_table AS (
+            SELECT list(c ORDER BY n) AS crc FROM (
+                SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) r(n))
+        ), d AS (
+            SELECT doc_id, text, lang, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                       list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                       lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 3 = 1 AS held_out
+            FROM documents, crc_table
+        ), words AS (
+            SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS word FROM d) GROUP BY 1, 2
+        ), spelled AS (
+            SELECT word, substr('_' || word || '_', CAST(i AS INTEGER) + 1, k) AS g
+            FROM (SELECT word, k, unnest(range(length(word) + 3 - k)) AS i FROM (SELECT DISTINCT word FROM words), (VALUES (1), (2), (3), (4)) t(k))
+        ), grams AS (
+            SELECT doc_id, g, sum(n * m) AS c FROM words JOIN (SELECT word, g, count(*) AS m FROM spelled WHERE g <> '_' GROUP BY 1, 2) USING (word) GROUP BY 1, 2
+        ), profiles AS (
+            SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY c DESC, g) AS place
+            FROM (SELECT lang, g, sum(c) AS c FROM grams JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2) QUALIFY place <= 400
+        ), own AS (
+            SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, g) AS place FROM grams QUALIFY place <= 400
+        ), far AS (
+            SELECT doc_id, l.lang, CAST(sum(coalesce(abs(o.place - p.place), 400)) AS BIGINT) AS away
+            FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = o.g GROUP BY 1, 2
+        ), best AS (
+            SELECT doc_id, first(lang ORDER BY away, lang) AS lang_pred, list(away ORDER BY away) AS sums FROM far GROUP BY doc_id
+        )
+        SELECT d.doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(1 - sums[1] / sums[2], 0) AS score
+        FROM d LEFT JOIN best USING (doc_id)
+    """,
 }
