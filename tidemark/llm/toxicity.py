@@ -23,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,11 @@ def subwords(word: str) -> list[int]:
     ]
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; one that is repeated at once counts once, for saying it again makes it no worse."""
+    return [word for word, _ in groupby(WORD.findall(text.lower()))]
+
+
 def held_out(key: str = "doc_id"):
     """Whether a row may not be learned from: its crc32 modulo 4 is 2."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -66,7 +72,7 @@ class Sample:
         number: dict[str, int] = {}
         self.texts, self.labels = [], []
         for text, label in zip(texts, labels):
-            ids = [number.setdefault(w, len(number)) for w in WORD.findall(text.lower())]
+            ids = [number.setdefault(w, len(number)) for w in words_of(text)]
             if ids:
                 self.texts.append(np.array(ids, "int32"))
                 self.labels.append(label)
@@ -186,7 +192,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "
         for batch in batches:
             out = np.zeros(len(batch))
             for i, value in enumerate(batch):
-                words = WORD.findall(value.lower()) if value and known else None
+                words = words_of(value) if value and known else None
                 if not words:
                     continue
                 best = best_windows(np.fromiter(map(memo.__getitem__, words), "float64", len(words))).max() + known[1]
