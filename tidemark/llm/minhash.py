@@ -370,7 +370,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("total", "bands", "samples")])
     )
     buckets = alike.select("doc_id", F.explode("bands").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that the join after it can split the largest buckets
+    heads = store(buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = store(buckets.join(heads, "key"))
     sketch = alike.select("doc_id", "total", "samples")
     other = sketch.select(F.col("doc_id").alias("a"), F.col("total").alias("total_a"), F.col("samples").alias("samples_a"))

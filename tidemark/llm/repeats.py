@@ -233,7 +233,8 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id and spans, the ranges of bytes to remove, of every document with such; docs has doc_id and text, neither null."""
     found = store(sorted_out(occurrences(docs)))
     firsts = found.where("anchor is not null")
-    many = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
+    # stored, so that the join knows its size, and can split the most frequent anchors if it shuffles
+    many = store(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot))
     asked = (
         firsts.join(many, "anchor", "left")
         .groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor", F.col("_n").isNotNull().alias("hot"))).alias("asked"))

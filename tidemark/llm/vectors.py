@@ -126,7 +126,8 @@ def links(rows: DataFrame, cosine: float = COSINE, shared: int = SHARED) -> Data
     lists = store(
         described(rows, points(rows)).select("vec_id", "label", "embedding", "near", F.explode("near").alias("point"))
     )
-    sizes = lists.groupBy("label", "point").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # stored, so that the join knows its size, and can split the longest lists if it shuffles
+    sizes = store(lists.groupBy("label", "point").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     spread = (
         lists.join(sizes, ["label", "point"])
         .withColumn("block", F.pmod(F.xxhash64("vec_id", "point"), F.col("blocks")).cast("int"))
