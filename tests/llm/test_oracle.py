@@ -1,0 +1,30 @@
+"""Corpus queries that SQL can express give the SQL's rows, and all run over the whole tables."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from compare import duck_rows, spark_rows  # noqa: E402
+
+from tidemark.llm import oracle, queries  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+def test_same_rows(spark, small, name):
+    df = queries.QUERIES[name](spark, small)
+    columns, want = duck_rows(small, oracle.ORACLE_SQL[name])
+    assert sorted(df.columns) == columns
+    assert spark_rows(df) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.ORACLE_SQL)))
+def test_every_document(spark, small, name):
+    ids = {r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in queries.QUERIES[name](spark, small).select("doc_id").collect()} == ids
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
