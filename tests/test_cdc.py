@@ -60,6 +60,8 @@ def test_like_a_loop(spark, seed):
     want, state = one_by_one(records, stored)
     outcomes = cdc.classify(fetched, mapping, ["pos"])
     assert [r.outcome for r in outcomes.orderBy("pos").collect()] == want
+    spread = cdc.classify_spread(fetched, mapping, "pos", rows=17)
+    assert [r.outcome for r in spread.orderBy("pos").collect()] == want
     merged = {r.source_id: r for r in cdc.merge_mapping(mapping, outcomes, "pos", now()).collect()}
     assert set(merged) == set(state)
     for k, v in state.items():

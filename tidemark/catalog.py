@@ -122,6 +122,16 @@ def cdc_repeat_ids(spark, sf_dir):
     return out.groupBy("source_id").agg(F.count(F.lit(1)).alias("processed"), *[F.count_if(F.col("outcome") == o).alias(o) for o in cdc.OUTCOMES])
 
 
+def cdc_hot_ids(spark, sf_dir):
+    """Events as versions of a few records, each of which comes very often."""
+    rows = _table(spark, sf_dir, "events").select(
+        F.lit("kind").alias("entity_type"), F.col("event_type").alias("source_id"), F.col("event_id").alias("pos"),
+        H.typed_hash(F.floor(F.col("value") / 40).cast("string")).alias("hash"), (F.col("event_id") % 13 != 0).alias("ok"),
+    )
+    stored = spark.createDataFrame([("kind", "click", "x", "old", "synced"), ("kind", "view", "", "old", "synced")], "entity_type string, source_id string, external_id string, last_hash string, status string")
+    return cdc.classify_spread(rows, stored, "pos", rows=1000).select("source_id", "pos", "outcome")
+
+
 def history_append(spark, sf_dir):
     return cdc.history(_outcomes(spark, sf_dir, "rental_order"), _now(), ["pos"]).select("id", "source_id", "external_id", "status", "details", "created_at")
 
@@ -324,7 +334,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_customers, scan_orders_by_status, scan_updated_after, order_lines_nested, order_lines_flat, unwrap_payload, payload_hash,
-        cdc_classify, cdc_stats, cdc_sync_all_rollup, cdc_merge_mapping, cdc_repeat_ids, history_append, dead_letter_append, dead_letter_list,
+        cdc_classify, cdc_stats, cdc_sync_all_rollup, cdc_merge_mapping, cdc_repeat_ids, cdc_hot_ids, history_append, dead_letter_append, dead_letter_list,
         dead_letter_clear, lookup_forward, lookup_reverse, duplicate_test, mapping_exists, mapping_find, mapping_delete, mapping_update,
         checkpoint_upsert, enqueue_dedup, claim_next, claim_state, job_transition, retry_classify, backoff_schedule, requeue_failed,
         queue_metrics, status_metrics, recent_jobs, active_violations, alias_route, iso_date_format, xml_envelope, license_check, fingerprint,

@@ -33,6 +33,38 @@ def classify(fetched: DataFrame, stored: DataFrame, order: list[str | Column], e
     )
 
 
+def classify_spread(fetched: DataFrame, stored: DataFrame, position: str = "pos", rows: int = 1_000_000) -> DataFrame:
+    """What classify gives, for fetches in which single records come millions of times.
+
+    position, an integer that orders the whole fetch, is cut into blocks of `rows`. Within (record, block)
+    windows do the work; what a block hands on, its last good hash and whether it wrote, is one row for each
+    record and block, which is carried over the blocks and joined back. No task gets all rows of a record.
+    """
+    key = ["entity_type", "source_id"]
+    block = [*key, "_block"]
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*block).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    known = stored.select(*key, F.col("external_id").alias("_external"), F.when(F.col("status") == "synced", S.truthy("last_hash")).alias("_stored"))
+    placed = fetched.withColumn("_block", F.floor(F.col(position) / rows))
+    good = F.when(F.col("ok"), F.col("hash"))
+    hashes = (
+        placed.groupBy(*block).agg(F.max_by(good, F.when(F.col("ok"), F.col(position))).alias("_last"))
+        .withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last").join(known, key, "left")
+    )
+    same = F.coalesce(F.col("hash") == F.col("_prev"), F.lit(False))
+    written = (
+        placed.join(hashes, block)
+        .withColumn("_prev", F.coalesce(F.last(good, ignorenulls=True).over(earlier), "_carried", "_stored")).withColumn("_wrote", F.col("ok") & ~same)
+    )
+    wrote = written.groupBy(*block).agg(F.max("_wrote").alias("_any")).withColumn("_before", F.max("_any").over(before)).drop("_any")
+    exists = S.truthy("_external").isNotNull() | F.coalesce("_before", F.lit(False)) | F.coalesce(F.max("_wrote").over(earlier), F.lit(False))
+    return (
+        written.join(wrote, block)
+        .withColumn("outcome", F.when(same, "skipped").when(~F.col("ok"), "failed").when(exists, "updated").otherwise("created"))
+        .drop("_block", "_carried", "_external", "_stored", "_prev", "_wrote", "_before")
+    )
+
+
 def merge_mapping(stored: DataFrame, outcomes: DataFrame, position: str | Column, now: Column) -> DataFrame:
     """The mapping after the outcomes (with new_external_id): one row for each key.
 

@@ -90,6 +90,11 @@ SQL = {
                 THEN 'updated' ELSE 'created' END AS outcome FROM w
         )
         SELECT source_id, count(*) AS processed, {_COUNTS}, count(*) FILTER (outcome = 'skipped') AS skipped FROM o GROUP BY source_id""",
+    "cdc_hot_ids": """
+        WITH r AS (SELECT event_type AS source_id, event_id AS pos, event_id % 13 <> 0 AS ok, CAST(floor(value / 40) AS BIGINT) AS v FROM events),
+        p AS (SELECT *, last_value(CASE WHEN ok THEN v END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
+        w AS (SELECT *, bool_or(ok AND v IS DISTINCT FROM prev) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wrote FROM p)
+        SELECT source_id, pos, CASE WHEN v = prev THEN 'skipped' WHEN NOT ok THEN 'failed' WHEN source_id = 'click' OR wrote THEN 'updated' ELSE 'created' END AS outcome FROM w""",
     "history_append": f"""
         SELECT row_number() OVER (ORDER BY key) AS id, source_id,
                CASE WHEN outcome = 'failed' THEN NULL WHEN key % 5 <> 0 THEN 'x-' || source_id ELSE source_id END AS external_id,
