@@ -31,11 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import forget, store
 
 LENGTH = 100
 GRAM = 32
 SECTION = 1 << 22
+#: Characters of text that a task cuts into segments at a time.
+PORTION = 8_000_000
 #: Different contexts of one anchor that a single task compares, at most.
 HOT = 20_000
 #: A range of bytes is one number: its start and, in the low bits, its length.
@@ -83,6 +85,14 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def portions(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows with about PORTION characters at a time (or one text)."""
+    for batch in batches:
+        part = batch["text"].str.len().cumsum().to_numpy() // PORTION
+        for _, some in batch.groupby(part, sort=False):
+            yield some
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """The segments of all texts: where each starts and ends, its anchor, and what its batch knows of it.
 
@@ -91,7 +101,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        forget()
+        for batch in portions(batches):
             parts = [(d, *segments(np.frombuffer(t.encode("utf-8", "surrogatepass"), "u1"))) for d, t in zip(batch["doc_id"], batch["text"])]
             anchor, whole, start, windows = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
             doc = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
