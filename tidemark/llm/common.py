@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import store
 
-__all__ = ["blocks", "dense_rank_ids", "sampled", "store", "table"]
+__all__ = ["blocks", "dense_rank_ids", "forget", "per_worker", "sampled", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +59,22 @@ def sampled(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003)
     return rows.join(F.broadcast(sizes), by).where(share * F.col("_size") < F.lit(most)).drop("_size")
+
+
+_kept: dict = {}
+
+
+def per_worker(token: str, make):
+    """What this Python worker made under the token, if that was the last one asked for; else it is made now.
+
+    Memos so outlive a task. They only save time, and one at a time bounds their memory.
+    """
+    if token not in _kept:
+        _kept.clear()
+        _kept[token] = make()
+    return _kept[token]
+
+
+def forget() -> None:
+    """Give the last memo up, before work that needs the memory."""
+    _kept.clear()

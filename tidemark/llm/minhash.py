@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import per_worker, store
 from .graph import components
 
 WORD = re.compile(r"\w+")
@@ -62,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Number of each word seen, with its 64-bit hash and weight by number."""
 
-    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray, float] | None = None):
+    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray, float, str] | None = None):
         self.idf, self.most = (dict(zip(lexicon[0].tolist(), lexicon[1].tolist())), lexicon[2]) if lexicon else (None, 0.0)
         self.reset()
 
@@ -100,8 +101,13 @@ class Words(dict):
         return key, weight[first] / n * times.astype("float32")
 
 
-def lexicon(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes of the words in at least RARE of the documents in order, their idf, and the idf of all others."""
+def remembered(lexicon: tuple[np.ndarray, np.ndarray, float, str]) -> Words:
+    """The worker's memo of words under this lexicon."""
+    return per_worker(lexicon[3], lambda: Words(lexicon))
+
+
+def lexicon(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float, str]:
+    """Hashes of the words in at least RARE of the documents in order, their idf, the idf of all others, and a name."""
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, total, texts = Words(), np.zeros(1 << 16, "int64"), 0
@@ -132,7 +138,7 @@ def lexicon(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     key = rows["word"].to_numpy("int64").view("uint64")
     order = np.argsort(key)
     most = float(np.log(1 / RARE) + 1)
-    return key[order], (np.log(max(n, 1) / rows["n"].to_numpy("float64")[order]) + 1).clip(max=most).astype("float32"), most
+    return key[order], (np.log(max(n, 1) / rows["n"].to_numpy("float64")[order]) + 1).clip(max=most).astype("float32"), most, uuid.uuid4().hex
 
 
 def sampler(seed: int = 11) -> tuple[np.ndarray, ...]:
@@ -173,12 +179,12 @@ def banded(samples: np.ndarray) -> np.ndarray:
     return key.view("int64")
 
 
-def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float, str]) -> DataFrame:
     """doc_id, the two halves of the text's 128-bit hash, total weight, band keys and samples of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, tables = Words(shared.value), sampler()
+        memo, tables = remembered(shared.value), sampler()
         for batch in batches:
             n = len(batch)
             bands: list = [[]] * n
@@ -227,7 +233,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (a[1].sum(dtype="float64") + b[1].sum(dtype="float64") - shared))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float], similar: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float, str], similar: float) -> DataFrame:
     """Those pairs (a, b) whose texts are at least as similar as asked."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -235,7 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndar
     with_both = with_b.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
 
     def kept(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, last, mine = Words(shared.value), None, None
+        memo, last, mine = remembered(shared.value), None, None
         for batch in batches:
             keep = []
             for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"]):
@@ -340,7 +346,7 @@ def blocked(rows: DataFrame) -> DataFrame:
     )
 
 
-def linked_in_blocks(members: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float], similar: float) -> DataFrame:
+def linked_in_blocks(members: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float, str], similar: float) -> DataFrame:
     """Links (a, b) across components among members (key, doc_id, component, samples) of large buckets."""
     asked = store(blocked(members).groupBy("key", "b1", "b2").applyInPandas(worth_comparing, "key long, doc_id long").distinct())
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -348,7 +354,7 @@ def linked_in_blocks(members: DataFrame, docs: DataFrame, words: tuple[np.ndarra
     def compared(part: pd.DataFrame) -> pd.DataFrame:
         a, b = halves(part)
         both = a if part["b1"].iloc[0] == part["b2"].iloc[0] else pd.concat([a, b])
-        memo = Words(shared.value)
+        memo = remembered(shared.value)
         sets = [memo.shingles(t) for t in both["text"]]
         total = np.array([w.sum(dtype="float64") for _, w in sets])
         least = shared_weight(sets)
