@@ -39,7 +39,10 @@ MEMO = 350_000
 def grams(word: str) -> list[str]:
     """The n-grams of one word with a mark at either end."""
     marked = f"_{word}_"
-    return [marked[i : i + n] for n in LENGTHS for i in range(len(marked) - n + 1) if n > 1 or marked[i] != "_"]
+    out = list(word)  # a mark alone says nothing
+    for n in LENGTHS[1:]:
+        out += [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    return out
 
 
 def ordinal(gram: str) -> tuple[int, int]:
@@ -94,6 +97,18 @@ class Grams(dict):
         return number
 
 
+class Spelled(dict):
+    """Numbers of the n-grams of each word seen."""
+
+    def __init__(self, numbers: Grams):
+        self.numbers = numbers
+
+    def __missing__(self, word: str) -> np.ndarray:
+        found = grams(word)
+        ids = self[word] = np.fromiter(map(self.numbers.__getitem__, found), "int32", len(found))
+        return ids
+
+
 class Ranker:
     """Out-of-place distances of texts to a set of profiles, with what a worker remembers between texts."""
 
@@ -104,13 +119,7 @@ class Ranker:
 
     def forget(self) -> None:
         self.grams = Grams(self.places, self.top)
-        self.words: dict[str, np.ndarray] = {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        """Numbers of a word's n-grams."""
-        found = grams(word)
-        ids = self.words[word] = np.fromiter(map(self.grams.__getitem__, found), "int32", len(found))
-        return ids
+        self.words = Spelled(self.grams)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(WORD.findall(text.lower())) if text and self.names else None
@@ -118,11 +127,20 @@ class Ranker:
             return "und", 0.0
         if len(self.words) > MEMO:
             self.forget()
-        ids = [self.words[w] if w in self.words else self.of_word(w) for w in words]
+        ids = list(map(self.words.__getitem__, words))
         sizes = np.fromiter(map(len, ids), "int64", len(ids))
         times = np.repeat(np.fromiter(words.values(), "int64", len(ids)), sizes)
-        found, where = np.unique(np.concatenate(ids), return_inverse=True)
-        count = np.bincount(where, times)
+        together = np.concatenate(ids)
+        if 8 * len(together) > len(self.grams):  # counting in place beats sorting
+            every = np.bincount(together, times)
+            found = np.flatnonzero(every)
+            count = every[found]
+        else:
+            found, where = np.unique(together, return_inverse=True)
+            count = np.bincount(where, times)
+        if len(found) > self.top:  # leave out what can't be among the first
+            enough = count >= np.partition(count, -self.top)[-self.top]
+            found, count = found[enough], count[enough]
         order = self.grams.order[found]
         best = found[np.lexsort((order[:, 1], order[:, 0], -count))[: self.top]]
         rank = self.grams.rank[best]
