@@ -15,7 +15,6 @@ with a null language or null text teach nothing. Without any profile everything
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_worker, sampled
+from .common import sampled
 
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (1, 2, 3, 4)
@@ -33,7 +32,7 @@ TOP = 400
 #: Documents of each language that its profile is learned from, at most (about).
 DOCS = 1500
 #: Distinct words whose n-grams a worker remembers.
-MEMO = 350_000
+MEMO = 200_000
 
 
 def grams(word: str) -> list[str]:
@@ -155,11 +154,9 @@ class Ranker:
 def identify(docs: DataFrame, profiles: dict[str, list[str]], top: int = TOP, text: str = "text", into: str = "language") -> DataFrame:
     """docs with a struct column of lang_pred and score."""
 
-    token = uuid.uuid4().hex
-
     @F.pandas_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ranker = per_worker(token, lambda: Ranker(profiles, top))
+        ranker = Ranker(profiles, top)
         for batch in batches:
             yield pd.DataFrame([ranker.predict(t) for t in batch], columns=["lang_pred", "score"])
 

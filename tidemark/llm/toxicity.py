@@ -20,7 +20,6 @@ texts, and those without a letter, have score 0.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, sampled
+from .common import sampled
 
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (3, 4, 5, 6)
@@ -44,7 +43,7 @@ THRESHOLD = 0.3
 #: Share of a word's subwords that training sees at a time, so that a part of a word must do.
 KEEP = 0.4
 #: Distinct words whose number a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def subwords(word: str) -> list[int]:
@@ -186,12 +185,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "
     """docs with the probability of being toxic of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
 
-    token = uuid.uuid4().hex
-
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = shared.value
-        memo = per_worker(token, lambda: Numbers(known[0])) if known else {}
+        memo = Numbers(known[0]) if known else {}
         for batch in batches:
             out = np.zeros(len(batch))
             for i, value in enumerate(batch):
