@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -210,6 +211,27 @@ def test_repeats_of_hot_anchors(docs, texts):
     assert plain == hot and plain
 
 
+def test_repeats_of_one_hot_passage(spark, monkeypatch):
+    """A passage between ever new neighbours goes to no suffix sort as a group beyond `hot`."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=300))
+    items = [(i, "".join(rng.choices("ijklmnop ", k=150)) + passage + "".join(rng.choices("qrstuvwx ", k=150))) for i in range(60)]
+    inner = repeats.repeated
+
+    def bounded(part):
+        assert not len(part) or part.groupby("key").size().max() <= 5
+        return inner(part)
+
+    cloudpickle.register_pickle_by_value(repeats)
+    try:
+        monkeypatch.setattr(repeats, "repeated", bounded)
+        rows = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: repeats.covered(600, r.spans).tobytes() for r in repeats.spans(rows, hot=5).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(repeats)
+    assert got == {doc: gone.tobytes() for doc, (_, gone) in removed(items).items() if gone.any()} and len(got) == 59
+
+
 def test_repeats_in_sections(docs, texts, monkeypatch):
     monkeypatch.setattr(repeats, "SECTION", 300)
     data = np.frombuffer((texts[-1] * 2).encode(), "u1")

@@ -15,7 +15,8 @@ LENGTH bytes or more join equal windows, of which only the first start stays.
 Segments that are equal as a whole need no sorting: they are combined by a 64-bit hash beside their anchor,
 first within each batch of texts and then by anchor, and only the first of equals goes on, and that only
 where its anchor has other contexts too. So a passage in very many texts reaches its task once for each
-different context. An anchor with more than HOT contexts is dealt out further, by each window's own bytes.
+different context. The windows of an anchor with more than HOT contexts are not sorted: each is known by a
+128-bit hash, the first of equals is kept within each batch and then by hash, and the others repeat it.
 
 Null texts are empty. Texts shorter than LENGTH never change. A doc_id that repeats with the same text
 counts as one text; without a doc_id a text neither changes nor serves as a first occurrence.
@@ -239,16 +240,56 @@ def repeated(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "span": (start << SPAN_BITS) + (end - begin) + LENGTH - 1})
 
 
+def windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of the segments asked for: the first of equals in a batch by its 128-bit hash, all others as spans without."""
+    for batch in portions(batches):
+        digests, docs, starts, segment = [], [], [], []
+        for doc_id, text, asked in zip(batch["doc_id"], batch["text"], batch["asked"]):
+            data = text.encode("utf-8", "surrogatepass")
+            for span in asked:
+                start, size = span >> SPAN_BITS, span & ((1 << SPAN_BITS) - 1)
+                at = np.arange(start, start + size - LENGTH + 1)
+                digests += [hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in at.tolist()]
+                docs.append(np.full(len(at), doc_id))
+                starts.append(at)
+                segment.append(np.full(len(at), len(segment)))
+        if not digests:
+            continue
+        high, low = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
+        doc, start, segment = np.concatenate(docs), np.concatenate(starts), np.concatenate(segment)
+        order = np.lexsort((start, doc, low, high))
+        first = np.append(True, (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0))
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        yield pd.DataFrame({"high": high[order[first]], "low": low[order[first]], "doc_id": doc[order[first]], "span": (start[order[first]] << SPAN_BITS) + LENGTH})
+        again = np.zeros(len(doc), bool)
+        again[order] = (doc[order] != doc[head]) | (start[order] != start[head])
+        again = np.flatnonzero(again)  # in the order of the segments
+        fresh = np.append(True, (np.diff(again) != 1) | (np.diff(segment[again]) != 0))[: len(again)]
+        begin = np.flatnonzero(fresh)
+        runs = np.diff(np.append(begin, len(again)))
+        none = pd.array([None] * len(begin), "Int64")
+        yield pd.DataFrame({"high": none, "low": none, "doc_id": doc[again[begin]], "span": (start[again[begin]] << SPAN_BITS) + runs + LENGTH - 1})
+
+
+def hot_spans(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id and span of what repeats in segments of anchors with very many contexts; no task holds the equals of a window."""
+    asked = firsts.groupBy("doc_id").agg(F.collect_list("span").alias("asked"))
+    pieces = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
+    found = store(pieces.mapInPandas(windows, "high long, low long, doc_id long, span long"))
+    place = F.struct("doc_id", "span")
+    # stored, so that the join knows its size, and can split the windows that most batches have
+    least = store(found.where("high is not null").groupBy("high", "low").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first < _last").drop("_last"))
+    later = found.join(least, ["high", "low"]).where(place > F.col("_first"))
+    return found.where("high is null").select("doc_id", "span").unionByName(later.select("doc_id", "span"))
+
+
 def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id and spans, the ranges of bytes to remove, of every document with such; docs has doc_id and text, neither null."""
     found = store(sorted_out(occurrences(docs)))
     firsts = found.where("anchor is not null")
     # stored, so that the join knows its size, and can split the most frequent anchors if it shuffles
     many = store(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot))
-    asked = (
-        firsts.join(many, "anchor", "left")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor", F.col("_n").isNotNull().alias("hot"))).alias("asked"))
-    )
+    asked = firsts.join(many, "anchor", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("asked"))
 
     def taken(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -257,12 +298,7 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 data = text.encode("utf-8", "surrogatepass")
                 for one in wanted:
                     start, size = one["span"] >> SPAN_BITS, one["span"] & ((1 << SPAN_BITS) - 1)
-                    if not one["hot"]:
-                        out.append((one["anchor"], doc_id, start, data[start : start + size]))
-                        continue
-                    for at in range(start, start + size - LENGTH + 1):
-                        piece = data[at : at + LENGTH]
-                        out.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), doc_id, at, piece))
+                    out.append((one["anchor"], doc_id, start, data[start : start + size]))
             yield pd.DataFrame(out, columns=["key", "doc_id", "start", "bytes"])
 
     def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,6 +318,8 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     pieces = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInPandas(taken, "key long, doc_id long, start long, bytes binary")
     partial = pieces.repartition("key").sortWithinPartitions("key").mapInPandas(compared, "doc_id long, span long")
     whole = found.where("anchor is null").select("doc_id", "span")
+    if not many.isEmpty():
+        whole = whole.unionByName(hot_spans(docs, firsts.join(many, "anchor", "left_semi")))
     return whole.unionByName(partial).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
