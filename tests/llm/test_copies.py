@@ -232,6 +232,20 @@ def test_repeats_of_one_hot_passage(spark, monkeypatch):
     assert got == {doc: gone.tobytes() for doc, (_, gone) in removed(items).items() if gone.any()} and len(got) == 59
 
 
+@pytest.mark.parametrize("hot", [1, repeats.HOT])
+def test_repeats_of_repeated_rows(spark, hot):
+    """A row that occurs twice is cut like one: what it says first stays."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=300))
+    items = [(i, "".join(rng.choices("ijklmnop ", k=150)) + passage + "".join(rng.choices("qrstuvwx ", k=150))) for i in range(6)]
+    want = {doc: gone.tobytes() for doc, (_, gone) in removed(items).items() if gone.any()}
+    rows = spark.createDataFrame([items[0], *items, items[3], items[0]], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: repeats.covered(600, r.spans).tobytes() for r in repeats.spans(rows, hot=hot).collect()} == want
+    kept = {doc: hashlib.sha256(bytes(np.frombuffer(data, "u1")[~gone])).hexdigest() for doc, (data, gone) in removed(items).items()}
+    got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in repeats.digests(rows).collect())
+    assert got == sorted((i, sum(want.get(i, b"")), kept[i]) for i in (0, *range(6), 3, 0))
+
+
 def test_repeats_in_sections(docs, texts, monkeypatch):
     monkeypatch.setattr(repeats, "SECTION", 300)
     data = np.frombuffer((texts[-1] * 2).encode(), "u1")

@@ -218,8 +218,11 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray, most: int) -> np.nda
 
 
 def repeated(part: pd.DataFrame) -> pd.DataFrame:
-    """doc_id and span of the windows in these segments (doc_id, start, bytes) that start earlier in another."""
-    part = part.sort_values(["doc_id", "start"])
+    """doc_id and span of the windows in these segments (doc_id, start, bytes) that start earlier in another.
+
+    The same bytes of the same place, from copies of a row, are one segment.
+    """
+    part = part.sort_values(["doc_id", "start"]).drop_duplicates(["doc_id", "start", "bytes"])
     size = part["bytes"].str.len().to_numpy() + 1
     text = np.frombuffer(b"\0".join(part["bytes"]) + b"\0", "u1")
     ends = np.cumsum(size)
@@ -292,9 +295,13 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     asked = firsts.join(many, "anchor", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("asked"))
 
     def taken(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for batch in batches:
             out = []
             for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["asked"]):
+                if (doc_id, text) == last:  # joined by doc_id, copies of a row mostly follow each other
+                    continue
+                last = doc_id, text
                 data = text.encode("utf-8", "surrogatepass")
                 for one in wanted:
                     start, size = one["span"] >> SPAN_BITS, one["span"] & ((1 << SPAN_BITS) - 1)
