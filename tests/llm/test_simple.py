@@ -178,6 +178,38 @@ def test_lm_by_hand(docs, texts):
     assert all(r.n_tokens == 0 and r.score == 0 for r in got.values() if r.doc_id in [i * 3 + 1 for i, t in enumerate(texts) if not t])
 
 
+def test_lm_of_many_characters(spark):
+    """Every character counts as itself, however many there are; rows that occur twice are scored like others."""
+    rng = random.Random(4)
+    texts = ["".join(chr(0x4E00 + min(rng.randrange(900), rng.randrange(900))) if rng.random() < 0.8 else rng.choice("abc ") for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    items = [*enumerate(texts), (3, texts[3])]
+    rows = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    tri = {i: list(zip([0, 0, *map(ord, t)], [0, *map(ord, t)], map(ord, t))) for i, t in enumerate(texts)}
+    base = len(set("".join(texts)))
+    assert base > 300
+
+    def losses(side):
+        orders = [Counter() for _ in range(5)]
+        for i, _ in items:
+            for a, b, c in tri[i] if i % 4 == side or (side and i % 4) else ():
+                for counts, key in zip(orders, ((a, b, c), (a, b), (b, c), b, c)):
+                    counts[key] += 1
+        three, ab, two, one, last = orders
+        part = lambda n, whole: n / whole if whole else 1 / base
+        total = sum(last.values())
+        return {
+            i: sum(-math.log(0.6 * part(three[a, b, c], ab[a, b]) + 0.25 * part(two[b, c], one[b]) + 0.1 * part(last[c], total) + 0.05 / base) for a, b, c in x) / len(x)
+            for i, x in tri.items()
+        }
+
+    near, far = losses(0), losses(1)
+    got = lm.score(rows, rows.where("doc_id % 4 = 0")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in items)
+    for r in got:
+        assert r.n_tokens == len(texts[r.doc_id])
+        assert math.isclose(r.target_loss, near[r.doc_id], rel_tol=1e-4) and math.isclose(r.background_loss, far[r.doc_id], rel_tol=1e-4)
+
+
 def test_lm_tells_languages_apart(real):
     french = real.where("lang = 'fr'")
     rows = lm.score(real, french).join(real.select("doc_id", "lang"), "doc_id").where("n_tokens > 50").collect()

@@ -1,13 +1,15 @@
 """Cross-entropy difference under matched language models (operator 5).
 
-Two character trigram models, of the target documents and of all others, share one vocabulary: the
-SYMBOLS most frequent characters of the whole corpus in lower case, one symbol for all the rest and one
-for the start of a text. Both are smoothed alike, by interpolating the three orders and the uniform
+Two character trigram models, of the target documents and of all others, share one vocabulary: all
+characters of the whole corpus in lower case, and a symbol for the start of a text. Both are smoothed alike, by interpolating the three orders and the uniform
 distribution, so only their counts differ. A document's score is its mean loss per token (in nats) under
 the target model less that under the background model: the lower, the closer to the target.
 
-Counts cover all documents whole. A task counts into a dense table, whose size the vocabulary fixes, and
-emits its non-zero cells; these are added up by cell. The tables of losses are as bounded.
+Counts cover all documents whole. Trigrams of the SYMBOLS most frequent characters are counted in a dense
+table, and their losses are broadcast. All others grow with the corpus: they are a Spark table by trigram,
+added up in each chunk of texts and then by trigram, and their losses are joined to the distinct ones of
+each document. What is kept of single characters is bounded by Unicode. The uniform distribution is over
+all characters that occur, SYMBOLS + 1 at least.
 
 Null and empty texts have no token, losses and score 0. Without target (or background) documents that
 model is uniform. A null doc_id is never a target.
@@ -19,9 +21,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
+#: Characters whose trigrams are counted in a dense table; the others' are in a Spark table.
 SYMBOLS = 126
 START, REST = 0, 1
 WEIGHTS = (0.6, 0.25, 0.1, 0.05)
@@ -33,8 +38,8 @@ def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def vocabulary(texts: DataFrame, symbols: int = SYMBOLS) -> np.ndarray:
-    """Symbol by code point. Equally frequent characters go by code point."""
+def characters(texts: DataFrame) -> np.ndarray:
+    """How often each code point occurs."""
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0x110000, "int64")
@@ -45,23 +50,42 @@ def vocabulary(texts: DataFrame, symbols: int = SYMBOLS) -> np.ndarray:
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"point": hit, "n": total[hit]})
 
-    counts = texts.select("text").mapInPandas(counted, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    best = [r.point for r in counts.orderBy(F.desc("n"), "point").limit(symbols).collect()]
+    counts = texts.select("text").mapInPandas(counted, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(0x110000, "int64")
+    out[counts["point"]] = counts["n"]
+    return out
+
+
+def most_frequent(counts: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    """Symbol by code point: REST for all but the most frequent. Equally frequent characters go by code point."""
+    best = np.argsort(-counts, kind="stable")[: min(symbols, np.count_nonzero(counts))]
     of = np.full(0x110000, REST, "uint8")
     of[best] = np.arange(2, 2 + len(best))
     return of
 
 
-def numbered(texts: Iterable[str | None], of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Trigram numbers and the text that each is of, some texts at a time."""
+def vocabulary(texts: DataFrame, symbols: int = SYMBOLS) -> np.ndarray:
+    return most_frequent(characters(texts), symbols)
+
+
+def numbered(texts: Iterable[str | None], of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Trigram numbers and the text that each is of, some texts at a time; and the same for those with REST, by code points.
+
+    A trigram of code points has 21 bits for each, counted from 1; 0 is the start of a text.
+    """
     base = SYMBOLS + 2
+    symbol = np.append(np.uint8(START), of)
 
-    def flush(some: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        symbols = np.concatenate([x for _, points in some for x in (np.zeros(2, "uint8"), of[points])]).astype("int32")
+    def flush(some: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        point = np.concatenate([x for _, points in some for x in (np.zeros(2, "<u4"), points + np.uint32(1))])
+        symbols = symbol[point].astype("int32")
         owner = np.repeat([i for i, _ in some], [2 + len(p) for _, p in some])
         cell = (symbols[:-2] * base + symbols[1:-1]) * base + symbols[2:]
         real = symbols[2:] != START
-        return cell[real], owner[2:][real]
+        odd = symbols == REST
+        odd = np.flatnonzero(real & (odd[:-2] | odd[1:-1] | odd[2:]))
+        wide = (point[odd].astype("int64") << 42) | (point[odd + 1].astype("int64") << 21) | point[odd + 2]
+        return cell[real], owner[2:][real], wide, owner[2:][odd]
 
     held, size = [], 0
     for i, text in enumerate(texts):
@@ -76,8 +100,8 @@ def numbered(texts: Iterable[str | None], of: np.ndarray) -> Iterator[tuple[np.n
         yield flush(held)
 
 
-def trigrams(texts: DataFrame, of: np.ndarray) -> np.ndarray:
-    """Counts of (background, target) by trigram, from columns text and target."""
+def trigrams(texts: DataFrame, of: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """Counts of (background, target) by trigram, from columns text and target: the dense ones, and a table of those with REST."""
     cells = (SYMBOLS + 2) ** 3
     shared = texts.sparkSession.sparkContext.broadcast(of)
 
@@ -85,32 +109,75 @@ def trigrams(texts: DataFrame, of: np.ndarray) -> np.ndarray:
         total = np.zeros((2, cells), "int64")
         for batch in batches:
             for side in (0, 1):
-                for cell, _ in numbered(batch["text"][batch["target"] == bool(side)], shared.value):
+                for cell, _, wide, _ in numbered(batch["text"][batch["target"] == bool(side)], shared.value):
                     total[side] += np.bincount(cell, minlength=cells)
+                    found, n = np.unique(wide, return_counts=True)
+                    yield pd.DataFrame({"cell": ~found, "background": n * (1 - side), "target": n * side})
         hit = np.flatnonzero(total.any(0))
         yield pd.DataFrame({"cell": hit, "background": total[0][hit], "target": total[1][hit]})
 
-    rows = (
+    both = store(
         texts.select("text", "target").mapInPandas(counted, "cell long, background long, target long")
-        .groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toPandas()
+        .groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     )
+    rows = both.where("cell >= 0").toPandas()
     out = np.zeros((2, cells))
     out[0][rows["cell"]], out[1][rows["cell"]] = rows["background"], rows["target"]
-    return out
+    return out, both.where("cell < 0").select(F.bitwise_not("cell").alias("cell"), "background", "target")
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """The loss of every trigram's last symbol, in nats."""
+def losses(counts: np.ndarray, outcomes: int = SYMBOLS + 1) -> np.ndarray:
+    """The loss of every trigram's last symbol, in nats; 0 for trigrams with REST, which `wide_losses` has."""
     base = SYMBOLS + 2
     three = counts.reshape(base, base, base)
     two, one = three.sum(0), three.sum((0, 1))
 
     def given(table: np.ndarray) -> np.ndarray:
         whole = table.sum(-1, keepdims=True)
-        return np.divide(table, whole, out=np.full(table.shape, 1 / (base - 1)), where=whole > 0)
+        return np.divide(table, whole, out=np.full(table.shape, 1 / outcomes), where=whole > 0)
 
     a, b, c, d = WEIGHTS
-    return -np.log(a * given(three) + b * given(two)[None] + c * given(one)[None, None] + d / (base - 1)).astype("float32").ravel()
+    out = -np.log(a * given(three) + b * given(two)[None] + c * given(one)[None, None] + d / outcomes).astype("float32")
+    out[REST], out[:, REST], out[:, :, REST] = 0, 0, 0
+    return out.ravel()
+
+
+def wide_losses(wide: DataFrame, counts: np.ndarray, of: np.ndarray, outcomes: int) -> DataFrame:
+    """cell, far and near: background and target loss of every trigram with REST.
+
+    Sums over a context with REST are of this table alone; those over a context without are in the dense counts.
+    """
+    base, sides = SYMBOLS + 2, ("background", "target")
+    part = wide.withColumns({"ab": F.shiftright("cell", 21), "bc": F.col("cell").bitwiseAND((1 << 42) - 1)})
+    for by in ("ab", "bc"):
+        part = part.withColumns({f"{by}_{side}": F.sum(side).over(Window.partitionBy(by)) for side in sides})
+    alone = {}
+    for name, at in (("b", 21), ("c", 0)):
+        found = wide.groupBy(F.shiftright("cell", at).bitwiseAND((1 << 21) - 1).alias("point")).agg(*[F.sum(s).alias(s) for s in sides]).toPandas()
+        alone[name] = np.zeros((2, 0x110001))
+        alone[name][:, found["point"]] = found[list(sides)].to_numpy("float64").T
+    dense = counts.reshape(2, base, base, base)
+    shared = wide.sparkSession.sparkContext.broadcast((of, dense.sum(3), dense.sum(1), alone))
+
+    def priced(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, pairs, lasts, alone = shared.value
+        symbol = np.append(np.uint8(START), of)
+        for batch in batches:
+            cell, out = batch["cell"].to_numpy(), []
+            b, c = (cell >> 21) & ((1 << 21) - 1), cell & ((1 << 21) - 1)
+            x, y, z = symbol[cell >> 42], symbol[b], symbol[c]
+            for i, side in enumerate(sides):
+                two = lasts[i]
+                before = np.where((x == REST) | (y == REST), batch[f"ab_{side}"], pairs[i][x, y])
+                last = np.where((y == REST) | (z == REST), batch[f"bc_{side}"], two[y, z])
+                middle = np.where(y == REST, alone["b"][i][b], two.sum(1)[y])
+                single = np.where(z == REST, alone["c"][i][c], two.sum(0)[z])
+                given = [np.divide(n, whole, out=np.full(len(batch), 1 / outcomes), where=whole > 0) for n, whole in
+                         ((batch[side].to_numpy("float64"), before), (last, middle), (single, np.full(len(batch), two.sum())))]
+                out.append(-np.log(sum(w * g for w, g in zip(WEIGHTS, given)) + WEIGHTS[3] / outcomes))
+            yield pd.DataFrame({"cell": cell, "far": out[0], "near": out[1]})
+
+    return part.mapInPandas(priced, "cell long, far double, near double")
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -118,22 +185,35 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     # the targets grow with the corpus: a shuffled join at every size, never a broadcast
     chosen = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True)).hint("merge")
     texts = docs.where("text is not null").select("doc_id", "text")
-    of = vocabulary(texts)
-    counts = trigrams(texts.join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), of)
-    shared = docs.sparkSession.sparkContext.broadcast((of, losses(counts[1]), losses(counts[0])))
+    found = characters(texts)
+    of, outcomes = most_frequent(found), max(SYMBOLS + 1, np.count_nonzero(found))
+    counts, wide = trigrams(texts.join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), of)
+    shared = docs.sparkSession.sparkContext.broadcast((of, losses(counts[1], outcomes), losses(counts[0], outcomes)))
 
-    @F.pandas_udf("n_tokens long, target_loss double, background_loss double")
+    @F.pandas_udf("n_tokens long, near double, far double, cells array<long>, times array<long>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of, near, far = shared.value
         for batch in batches:
             n, a, b = (np.zeros(len(batch)) for _ in range(3))
-            for cell, owner in numbered(batch, of):
+            cells, times = [np.zeros(0, "int64")] * len(batch), [np.zeros(0, "int64")] * len(batch)
+            for cell, owner, wide, whose in numbered(batch, of):
                 n += np.bincount(owner, minlength=len(batch))
                 a += np.bincount(owner, near[cell], len(batch))
                 b += np.bincount(owner, far[cell], len(batch))
-            most = np.maximum(n, 1)
-            yield pd.DataFrame({"n_tokens": n.astype("int64"), "target_loss": a / most, "background_loss": b / most})
-
-    return docs.select("doc_id", scored("text").alias("_x")).select("doc_id", "_x.*").withColumn(
+                edge = np.flatnonzero(np.append(True, whose[1:] != whose[:-1])[: len(whose)])
+                for i, j in zip(edge, np.append(edge[1:], len(whose))):
+                    cells[whose[i]], times[whose[i]] = np.unique(wide[i:j], return_counts=True)
+            yield pd.DataFrame({"n_tokens": n.astype("int64"), "near": a, "far": b, "cells": cells, "times": times})
+
+    rows = docs.select("doc_id", scored("text").alias("_x")).select("doc_id", "_x.*")
+    if np.count_nonzero(found) > SYMBOLS:
+        # stored with their numbers, so that both uses have the same; the losses, so that the join can split frequent trigrams
+        rows = store(rows.withColumn("_row", F.monotonically_increasing_id()))
+        priced = store(wide_losses(wide, counts, of, outcomes))
+        each = rows.select("_row", F.explode(F.arrays_zip("cells", "times")).alias("_c")).select("_row", F.col("_c.cells").alias("cell"), F.col("_c.times").alias("n"))
+        more = each.join(priced, "cell").groupBy("_row").agg(F.sum(F.col("n") * F.col("near")).alias("_near"), F.sum(F.col("n") * F.col("far")).alias("_far"))
+        rows = rows.join(more, "_row", "left").withColumns({x: F.col(x) + F.coalesce(f"_{x}", F.lit(0.0)) for x in ("near", "far")})
+    most = F.greatest("n_tokens", F.lit(1))
+    return rows.select("doc_id", "n_tokens", (F.col("near") / most).alias("target_loss"), (F.col("far") / most).alias("background_loss")).withColumn(
         "score", F.col("target_loss") - F.col("background_loss")
     )
