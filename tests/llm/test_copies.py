@@ -206,46 +206,88 @@ def test_repeats(docs, texts):
 
 def test_repeats_of_hot_anchors(docs, texts):
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = known.withColumn(repeats.COPY, F.xxhash64("text"))
     plain = {r.doc_id: repeats.covered(40_000, r.spans).tobytes() for r in repeats.spans(known).collect()}
-    hot = {r.doc_id: repeats.covered(40_000, r.spans).tobytes() for r in repeats.spans(known, hot=1).collect()}
+    hot = {r.doc_id: repeats.covered(40_000, r.spans).tobytes() for r in repeats.spans(known, group=1).collect()}
     assert plain == hot and plain
 
 
 def test_repeats_of_one_hot_passage(spark, monkeypatch):
-    """A passage between ever new neighbours goes to no suffix sort as a group beyond `hot`."""
+    """A passage between ever new neighbours goes to no suffix sort as a group far beyond the size asked for."""
     rng = random.Random(8)
     passage = "".join(rng.choices("abcdefgh ", k=300))
     items = [(i, "".join(rng.choices("ijklmnop ", k=150)) + passage + "".join(rng.choices("qrstuvwx ", k=150))) for i in range(60)]
-    inner = repeats.repeated
+    inner = repeats.sorted_windows
 
     def bounded(part):
-        assert not len(part) or part.groupby("key").size().max() <= 5
+        assert part.groupby(["key", "salt"]).size().max() <= 15
         return inner(part)
 
     cloudpickle.register_pickle_by_value(repeats)
     try:
-        monkeypatch.setattr(repeats, "repeated", bounded)
-        rows = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
-        got = {r.doc_id: repeats.covered(600, r.spans).tobytes() for r in repeats.spans(rows, hot=5).collect()}
+        monkeypatch.setattr(repeats, "sorted_windows", bounded)
+        rows = spark.createDataFrame(items, "doc_id long, text string").repartition(30).withColumn(repeats.COPY, F.xxhash64("text"))
+        got = {r.doc_id: repeats.covered(600, r.spans).tobytes() for r in repeats.spans(rows, group=5).collect()}
     finally:
         cloudpickle.unregister_pickle_by_value(repeats)
     assert got == {doc: gone.tobytes() for doc, (_, gone) in removed(items).items() if gone.any()} and len(got) == 59
 
 
-@pytest.mark.parametrize("hot", [1, repeats.HOT])
-def test_repeats_of_repeated_rows(spark, hot):
+@pytest.mark.parametrize("group", [1, repeats.GROUP])
+def test_repeats_of_repeated_rows(spark, group):
     """A row that occurs twice is cut like one: what it says first stays."""
     rng = random.Random(9)
     passage = "".join(rng.choices("abcdefgh ", k=300))
     items = [(i, "".join(rng.choices("ijklmnop ", k=150)) + passage + "".join(rng.choices("qrstuvwx ", k=150))) for i in range(6)]
     want = {doc: gone.tobytes() for doc, (_, gone) in removed(items).items() if gone.any()}
     rows = spark.createDataFrame([items[0], *items, items[3], items[0]], "doc_id long, text string").repartition(4)
-    assert {r.doc_id: repeats.covered(600, r.spans).tobytes() for r in repeats.spans(rows, hot=hot).collect()} == want
+    spans = repeats.spans(rows.withColumn(repeats.COPY, F.xxhash64("text")), group=group)
+    assert {r.doc_id: repeats.covered(600, r.spans).tobytes() for r in spans.collect()} == want
     kept = {doc: hashlib.sha256(bytes(np.frombuffer(data, "u1")[~gone])).hexdigest() for doc, (data, gone) in removed(items).items()}
     got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in repeats.digests(rows).collect())
     assert got == sorted((i, sum(want.get(i, b"")), kept[i]) for i in (0, *range(6), 3, 0))
 
 
+def test_repeats_of_a_doc_id_with_two_texts(spark):
+    """Texts that share a doc_id are cut each by itself, and the one with the lesser hash is the earlier."""
+    rng = random.Random(10)
+    p, q, shared = ("".join(rng.choices("abcdefgh ", k=419)) for _ in range(3))
+    items = [(0, p), (1, p), (1, q), (2, "x" + q), (3, shared + p[:50]), (3, "y" + shared)]
+    rows = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    order = {(r.doc_id, r.text): r.h for r in rows.withColumn("h", F.xxhash64("text")).collect()}
+    ranked = sorted(items, key=lambda x: (x[0], order[x]))
+    gone = {ranked[i]: sum(g) for i, (_, g) in removed([(i, t) for i, (_, t) in enumerate(ranked)]).items()}
+    assert gone[1, q] == 0 and gone[1, p] == 419 and gone[2, "x" + q] == 419
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in repeats.digests(rows).collect()]
+    assert sorted(got) == sorted((d, len(t), gone[d, t]) for d, t in items)
+
+
+def test_repeats_of_a_window_in_very_many_contexts(spark):
+    """100,000 texts hold one passage between neighbours of their own; it stays in the first of them alone."""
+    n, passage = 100_000, "the same words in every single one of these texts, " * 2 + "which is a little more than one hundred bytes"
+    rows = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.md5(F.col("id").cast("string").cast("binary")), F.lit(passage), F.md5((-F.col("id")).cast("string").cast("binary"))).alias("text"))
+    got = {r.doc_id: r.n_removed for r in repeats.digests(rows).select("doc_id", "n_removed").collect()}
+    left, right, want = set(), set(), {}
+    for i in range(n):  # how far its neighbours on either side are those of an earlier text
+        before, after = hashlib.md5(str(i).encode()).hexdigest(), hashlib.md5(str(-i).encode()).hexdigest()
+        far = max((k for k in range(1, 20) if before[-k:] in left), default=0) + max((k for k in range(1, 20) if after[:k] in right), default=0)
+        want[i] = len(passage) + far if i else 0
+        left.update(before[-k:] for k in range(1, 20))
+        right.update(after[:k] for k in range(1, 20))
+    assert got == want
+
+
+def test_repeats_of_a_long_text(spark):
+    """A text longer than a section, with a passage said again at its end and over a section's border."""
+    rng = random.Random(12)
+    start = "".join(rng.choices("abcdefghijklmnop ", k=200_000))
+    text = start * 21 + start[:5000] + "é" + start[1000:2000]
+    (row,) = repeats.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    # the first start stays, and the 99 bytes that lead from its end to the second are windows of their own once
+    assert len(text.encode()) > repeats.SECTION and row.n_bytes == len(text.encode())
+    assert row.n_removed == 20 * 200_000 + 5000 + 1000 and row.n_spans == 2
+
+
 def test_repeats_in_sections(docs, texts, monkeypatch):
     monkeypatch.setattr(repeats, "SECTION", 300)
     data = np.frombuffer((texts[-1] * 2).encode(), "u1")

@@ -8,18 +8,19 @@ anchor, its GRAM-byte string of least hash; equal windows have equal anchors at
 cut into segments, each the run of windows with one anchor, and segments whose anchor occurs once in the
 corpus cannot repeat. The others travel to the task of their anchor with just the bytes of their windows.
 
-There a suffix array is built by two-stage sorting: the suffixes smaller than their successor are sorted
+Segments with the same anchor and bytes are collapsed to the first of them, compared byte by byte, within
+each portion of texts and then at their anchor; all others repeat it whole. Of the distinct segments of an
+anchor a suffix array is built by two-stage sorting: the suffixes smaller than their successor are sorted
 directly, all others are induced from these by scanning the buckets once. Neighbours' common prefixes of
 LENGTH bytes or more join equal windows, of which only the first start stays.
 
-Segments that are equal as a whole need no sorting: they are combined by a 64-bit hash beside their anchor,
-first within each batch of texts and then by anchor, and only the first of equals goes on, and that only
-where its anchor has other contexts too. So a passage in very many texts reaches its task once for each
-different context. The windows of an anchor with more than HOT contexts are not sorted: each is known by a
-128-bit hash, the first of equals is kept within each batch and then by hash, and the others repeat it.
+An anchor with more than GROUP segments is salted by document, so that no task holds more than about GROUP
+of them. Each task settles its own; the windows that are the first of their kind in their task are then
+grouped by their bytes, and all but the first of these repeat it too.
 
 Null texts are empty. Texts shorter than LENGTH never change. A doc_id that repeats with the same text
-counts as one text; without a doc_id a text neither changes nor serves as a first occurrence.
+counts as one text; with different texts it stands for several, of which the one with the lesser 64-bit
+hash (xxhash64) counts as earlier. Without a doc_id a text neither changes nor serves as a first occurrence.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
@@ -39,11 +40,13 @@ GRAM = 32
 SECTION = 1 << 22
 #: Characters of text that a task cuts into segments at a time.
 PORTION = 8_000_000
-#: Different contexts of one anchor that a single task compares, at most.
-HOT = 20_000
+#: Characters of text that a task takes repeated segments from at a time.
+TAKEN = 2_000_000
+#: Segments of one anchor that a single task sorts, about.
+GROUP = 8192
 #: A range of bytes is one number: its start and, in the low bits, its length.
 SPAN_BITS = 20
-SPANS = "_repeated_spans"
+SPANS, COPY = "_repeated_spans", "_repeated_copy"
 _U = np.uint64
 
 
@@ -86,60 +89,58 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def portions(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same rows with about PORTION characters at a time (or one text)."""
+def portions(batches: Iterable[pd.DataFrame], size: int = PORTION) -> Iterator[pd.DataFrame]:
+    """The same rows with about `size` characters at a time (or one text)."""
     for batch in batches:
-        part = batch["text"].str.len().cumsum().to_numpy() // PORTION
+        part = batch["text"].str.len().cumsum().to_numpy() // size
         for _, some in batch.groupby(part, sort=False):
             yield some
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """The segments of all texts: where each starts and ends, its anchor, and what its batch knows of it.
+def raw(text: str) -> np.ndarray:
+    """The UTF-8 bytes of a text."""
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")
+
+
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Which of these differ from the one before (the first does)."""
+    return np.append(True, values[1:] != values[:-1])[: len(values)]
 
-    known: 1 where an equal segment starts earlier in the batch; several: whether the batch has other contexts
-    of the anchor. Of these one goes on under the anchor, the others under a key of their own contents.
-    """
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """anchor and n of the anchors that occur more than once; n is about how many segments of it tasks will send."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in portions(batches):
-            parts = [(d, *segments(np.frombuffer(t.encode("utf-8", "surrogatepass"), "u1"))) for d, t in zip(batch["doc_id"], batch["text"])]
-            anchor, whole, start, windows = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
-            doc = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-            order = np.lexsort((start, doc, whole, anchor))
-            anchor, whole, start, windows, doc = (x[order] for x in (anchor, whole, start, windows, doc))
-            new_anchor = np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]
-            new_class = new_anchor | np.append(True, whole[1:] != whole[:-1])[: len(anchor)]
-            head = np.maximum.accumulate(np.where(new_class, np.arange(len(anchor)), 0))
-            same_place = (doc == doc[head]) & (start == start[head])
-            group = np.cumsum(new_anchor) - 1
-            several = (np.bincount(group[new_class]) > 1)[group] if len(group) else new_class
-            own = mixed(anchor ^ (whole * _U(0x9E3779B97F4A7C15)))
-            alone = mixed(own ^ mixed(doc.astype("uint64") + mixed(start.astype("uint64"))))
-            known = ~new_class & ~same_place
-            out = pd.DataFrame({
-                "key": np.where(known, alone, np.where(new_anchor, anchor, own)).view("int64"), "anchor": anchor.view("int64"),
-                "whole": whole.view("int64"), "doc_id": doc, "span": (start << SPAN_BITS) + windows + LENGTH - 1,
-                "known": known, "several": several,
-            })
-            yield out[new_class | known]
+            parts = [segments(raw(t)) for t in batch["text"]]
+            anchor, whole = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            if not len(anchor):
+                continue
+            order = np.lexsort((whole, anchor))
+            anchor, whole = anchor[order], whole[order]
+            new = starts_of(anchor)
+            at = np.flatnonzero(new)
+            different = np.add.reduceat((new | starts_of(whole)).astype("int64"), at)
+            times = np.diff(np.append(at, len(anchor)))
+            yield pd.DataFrame({"anchor": anchor[at].view("int64"), "n": np.maximum(different, np.minimum(times, 2))})
 
-    return docs.mapInPandas(
-        rows, "key long, anchor long, whole long, doc_id long, span long, known boolean, several boolean"
-    )
+    return docs.select("text").mapInPandas(rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def sorted_out(found: DataFrame) -> DataFrame:
-    """doc_id and span of segments that repeat as a whole (anchor null), and of first ones with other contexts (their anchor)."""
-    of_key = Window.partitionBy("key")
-    of_class = Window.partitionBy("key", "whole").orderBy("doc_id", "span")
-    place = F.struct("doc_id", "span")
-    marked = (
-        found.withColumn("_first", F.first(place).over(of_class))
-        .withColumn("_several", F.max("several").over(of_key) | (F.min("whole").over(of_key) != F.max("whole").over(of_key)))
-    )
-    again = F.col("known") | (place > F.col("_first"))
-    return marked.where(again | F.col("_several")).select("doc_id", "span", F.when(~again, F.col("anchor")).alias("anchor")).distinct()
+def occurrences(docs: DataFrame) -> DataFrame:
+    """The segments of all texts: where each starts and ends, and its anchor."""
+
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in portions(batches):
+            parts = [segments(raw(t)) for t in batch["text"]]
+            anchor, _, start, windows = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            sizes = [len(p[0]) for p in parts]
+            yield pd.DataFrame({
+                "doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes), "copy": np.repeat(batch[COPY].to_numpy(), sizes),
+                "anchor": anchor.view("int64"), "span": (start << SPAN_BITS) + windows + LENGTH - 1,
+            })
+
+    return docs.select("doc_id", COPY, "text").mapInPandas(rows, "doc_id long, copy long, anchor long, span long")
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -217,12 +218,11 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray, most: int) -> np.nda
     return out
 
 
-def repeated(part: pd.DataFrame) -> pd.DataFrame:
-    """doc_id and span of the windows in these segments (doc_id, start, bytes) that start earlier in another.
+def sorted_windows(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The joined bytes of these segments, which windows start earlier too, and the segments' starts in the bytes.
 
-    The same bytes of the same place, from copies of a row, are one segment.
+    The segments stand in the order of their places, so that of equal windows the one with the least start is first.
     """
-    part = part.sort_values(["doc_id", "start"]).drop_duplicates(["doc_id", "start", "bytes"])
     size = part["bytes"].str.len().to_numpy() + 1
     text = np.frombuffer(b"\0".join(part["bytes"]) + b"\0", "u1")
     ends = np.cumsum(size)
@@ -234,100 +234,96 @@ def repeated(part: pd.DataFrame) -> pd.DataFrame:
     prefix = common_prefixes(text, order, LENGTH)
     head = np.flatnonzero(prefix < LENGTH)
     first = np.minimum.reduceat(order, head) if len(order) else order
-    again = np.zeros(len(text) + 1, bool)
+    again = np.zeros(len(text), bool)
     again[order] = order != np.repeat(first, np.diff(np.append(head, len(order))))
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype("int8")])))
-    begin, end = edge[::2], edge[1::2]
-    row = np.searchsorted(ends, begin, side="right")
-    start = part["start"].to_numpy()[row] + begin - (ends - size)[row]
-    return pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "span": (start << SPAN_BITS) + (end - begin) + LENGTH - 1})
-
-
-def windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of the segments asked for: the first of equals in a batch by its 128-bit hash, all others as spans without."""
-    for batch in portions(batches):
-        digests, docs, starts, segment = [], [], [], []
-        for doc_id, text, asked in zip(batch["doc_id"], batch["text"], batch["asked"]):
+    return text, again, ends - size
+
+
+def repeated(part: pd.DataFrame) -> pd.DataFrame:
+    """doc_id, copy and span of what repeats in these segments (key, salts, doc_id, copy, span, bytes).
+
+    Segments without bytes are known to repeat. A segment with several salts also gives each of its windows
+    that nothing here repeats, for its anchor has segments elsewhere.
+    """
+    known = part[part["bytes"].isna()]
+    part = part[part["bytes"].notna()].sort_values(["doc_id", "copy", "span"]).drop_duplicates(["doc_id", "copy", "span"])
+    same = part.duplicated(["key", "bytes"])
+    out = [x[["doc_id", "copy", "span"]].assign(window=None) for x in (known, part[same])]
+    part = part[~same]
+    part = part[part.duplicated("key", keep=False) | (part["salts"] > 1)]  # a lone segment has nothing to repeat
+    if len(part):
+        text, again, begins = sorted_windows(part)
+        doc, copy, start = part["doc_id"].to_numpy(), part["copy"].to_numpy(), part["span"].to_numpy() >> SPAN_BITS
+
+        def placed(at: np.ndarray, size: np.ndarray | int, window: list[bytes] | None = None) -> pd.DataFrame:
+            row = np.searchsorted(begins, at, side="right") - 1
+            return pd.DataFrame({"doc_id": doc[row], "copy": copy[row], "span": ((start[row] + at - begins[row]) << SPAN_BITS) + size}).assign(window=window)
+
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype("int8"), [0]])))
+        out.append(placed(edge[::2], edge[1::2] - edge[::2] + LENGTH - 1))
+        salted = np.flatnonzero(part["salts"].to_numpy() > 1)
+        sizes = np.diff(np.append(begins, len(text)))[salted] - LENGTH  # windows of each
+        at = np.repeat(begins[salted], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at, data = at[~again[at]], text.tobytes()
+        out.append(placed(at, LENGTH, [data[i : i + LENGTH] for i in at.tolist()]))
+    return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
+
+
+def taken(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of the segments asked for, once for those with equal bytes in a portion of texts; the others have null."""
+    for batch in portions(batches, TAKEN):
+        held, least = [], {}
+        for doc, copy, text, spans_, anchors_, salts in zip(*(batch[c] for c in ("doc_id", COPY, "text", "spans", "anchors", "salts"))):
             data = text.encode("utf-8", "surrogatepass")
-            for span in asked:
-                start, size = span >> SPAN_BITS, span & ((1 << SPAN_BITS) - 1)
-                at = np.arange(start, start + size - LENGTH + 1)
-                digests += [hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in at.tolist()]
-                docs.append(np.full(len(at), doc_id))
-                starts.append(at)
-                segment.append(np.full(len(at), len(segment)))
-        if not digests:
+            for span, anchor, many in zip(spans_.tolist(), anchors_.tolist(), salts.tolist()):
+                start = span >> SPAN_BITS
+                one, place = (anchor, data[start : start + (span & ((1 << SPAN_BITS) - 1))]), (doc, copy, span)
+                held.append((one, place, many))
+                if least.setdefault(one, place) > place:
+                    least[one] = place
+        out, sent = [], set()
+        for one, place, many in held:
+            if least[one] < place:  # known to repeat: it goes anywhere
+                out.append((hash(place) & 0x7FFFFFFFFFFFFFFF, 0, 1, *place, None))
+            elif place not in sent:
+                sent.add(place)
+                out.append((one[0], place[1] % many, many, *place, one[1]))
+        yield pd.DataFrame(out, columns=["key", "salt", "salts", "doc_id", "copy", "span", "bytes"])
+
+
+def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What repeats among segments in the order of key and salt; a group may go on in the next batch."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
             continue
-        high, low = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T
-        doc, start, segment = np.concatenate(docs), np.concatenate(starts), np.concatenate(segment)
-        order = np.lexsort((start, doc, low, high))
-        first = np.append(True, (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0))
-        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        yield pd.DataFrame({"high": high[order[first]], "low": low[order[first]], "doc_id": doc[order[first]], "span": (start[order[first]] << SPAN_BITS) + LENGTH})
-        again = np.zeros(len(doc), bool)
-        again[order] = (doc[order] != doc[head]) | (start[order] != start[head])
-        again = np.flatnonzero(again)  # in the order of the segments
-        fresh = np.append(True, (np.diff(again) != 1) | (np.diff(segment[again]) != 0))[: len(again)]
-        begin = np.flatnonzero(fresh)
-        runs = np.diff(np.append(begin, len(again)))
-        none = pd.array([None] * len(begin), "Int64")
-        yield pd.DataFrame({"high": none, "low": none, "doc_id": doc[again[begin]], "span": (start[again[begin]] << SPAN_BITS) + runs + LENGTH - 1})
-
-
-def hot_spans(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc_id and span of what repeats in segments of anchors with very many contexts; no task holds the equals of a window."""
-    asked = firsts.groupBy("doc_id").agg(F.collect_list("span").alias("asked"))
-    pieces = docs.join(asked, "doc_id").select("doc_id", "text", "asked")
-    found = store(pieces.mapInPandas(windows, "high long, low long, doc_id long, span long"))
-    place = F.struct("doc_id", "span")
-    # stored, so that the join knows its size, and can split the windows that most batches have
-    least = store(found.where("high is not null").groupBy("high", "low").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first < _last").drop("_last"))
-    later = found.join(least, ["high", "low"]).where(place > F.col("_first"))
-    return found.where("high is null").select("doc_id", "span").unionByName(later.select("doc_id", "span"))
-
-
-def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id and spans, the ranges of bytes to remove, of every document with such; docs has doc_id and text, neither null."""
-    found = store(sorted_out(occurrences(docs)))
-    firsts = found.where("anchor is not null")
-    # stored, so that the join knows its size, and can split the most frequent anchors if it shuffles
-    many = store(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot))
-    asked = firsts.join(many, "anchor", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("span", "anchor")).alias("asked"))
-
-    def taken(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for batch in batches:
-            out = []
-            for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["asked"]):
-                if (doc_id, text) == last:  # joined by doc_id, copies of a row mostly follow each other
-                    continue
-                last = doc_id, text
-                data = text.encode("utf-8", "surrogatepass")
-                for one in wanted:
-                    start, size = one["span"] >> SPAN_BITS, one["span"] & ((1 << SPAN_BITS) - 1)
-                    out.append((one["anchor"], doc_id, start, data[start : start + size]))
-            yield pd.DataFrame(out, columns=["key", "doc_id", "start", "bytes"])
-
-    def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:  # ordered by key; the last key may go on in the next batch
-            if not len(batch):
-                continue
-            if batch["key"].iloc[0] != batch["key"].iloc[-1]:
-                cut = int((batch["key"] != batch["key"].iloc[-1]).sum())
-                yield repeated(pd.concat([*held, batch.iloc[:cut]]))
-                held = [batch.iloc[cut:]]
-            else:
-                held.append(batch)
-        if held:
-            yield repeated(pd.concat(held))
-
-    pieces = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInPandas(taken, "key long, doc_id long, start long, bytes binary")
-    partial = pieces.repartition("key").sortWithinPartitions("key").mapInPandas(compared, "doc_id long, span long")
-    whole = found.where("anchor is null").select("doc_id", "span")
-    if not many.isEmpty():
-        whole = whole.unionByName(hot_spans(docs, firsts.join(many, "anchor", "left_semi")))
-    return whole.unionByName(partial).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+        group = list(zip(batch["key"], batch["salt"]))
+        cut = group.index(group[-1])
+        if cut or (held and (held[0]["key"].iloc[0], held[0]["salt"].iloc[0]) != group[0]):
+            yield repeated(pd.concat([*held, batch.iloc[:cut]]))
+            held = []
+        held.append(batch.iloc[cut:])
+    if held:
+        yield repeated(pd.concat(held))
+
+
+def spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, copy and spans, the ranges of bytes to remove, of every text with such; docs has doc_id, COPY and text, none null."""
+    many = store(anchors(docs))  # stored, so that the join knows its size, and can split the most frequent anchors if it shuffles
+    asked = store(
+        occurrences(docs).join(many, "anchor").groupBy("doc_id", "copy")
+        .agg(F.collect_list(F.struct("span", "anchor", F.ceil(F.col("n") / group).cast("int").alias("salts"))).alias("_asked"))
+        .select("doc_id", F.col("copy").alias(COPY), F.col("_asked.span").alias("spans"), F.col("_asked.anchor").alias("anchors"), F.col("_asked.salts").alias("salts"))
+    )
+    pieces = docs.join(asked, ["doc_id", COPY]).mapInPandas(taken, "key long, salt int, salts int, doc_id long, copy long, span long, bytes binary")
+    found = pieces.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(compared, "doc_id long, copy long, span long, window binary")
+    if not many.where(F.col("n") > group).isEmpty():
+        found = store(found)
+        windows, place = found.where("window is not null"), F.struct("doc_id", "copy", "span")
+        first = store(windows.groupBy("window").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+        later = windows.join(first, "window").where(place > F.col("_first"))
+        found = found.where("window is null").unionByName(later.select(*found.columns))
+    return found.groupBy("doc_id", "copy").agg(F.collect_list("span").alias("spans"))
 
 
 def covered(size: int, ranges) -> np.ndarray:
@@ -344,9 +340,10 @@ def covered(size: int, ranges) -> np.ndarray:
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs with the spans of every document (column SPANS): null where nothing repeats. Null texts are empty."""
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    known = rows.where("doc_id is not null")
+    known = rows.where("doc_id is not null").withColumn(COPY, F.xxhash64("text"))
     rest = rows.where("doc_id is null").withColumn(SPANS, F.lit(None).cast("array<long>"))
-    return known.join(spans(known.select("doc_id", "text")).withColumnRenamed("spans", SPANS), "doc_id", "left").select(*rest.columns).unionByName(rest)
+    found = spans(known.select("doc_id", COPY, "text")).select("doc_id", F.col("copy").alias(COPY), F.col("spans").alias(SPANS))
+    return known.join(found, ["doc_id", COPY], "left").select(*rest.columns).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
