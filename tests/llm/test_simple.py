@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import language, lm, packing, sharding, toxicity
-from tidemark.llm.common import dense_rank_ids
+from tidemark.llm.common import dense_rank_ids, runs
 
 DATA = "/root/testdata/sf0.01"
 JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -56,6 +57,21 @@ def test_language_odd(odd, empty, docs):
     assert none == {"und"}
 
 
+def test_language_of_numbers(spark, real):
+    """Signs of numbers are no letters."""
+    rows = spark.createDataFrame([(7000001, "½ ² ① Ⅷ 12 ٣"), (7000002, "Ⅷ le chat"), (7000003, "_ - …")], "doc_id long, text string")
+    profiles = language.learn(real.where(~language.held_out()))
+    got = {r.doc_id: r.language.lang_pred for r in language.identify(rows, profiles).collect()}
+    assert got[7000001] == got[7000003] == "und" != got[7000002]
+    assert [language.WORD.findall(t) for t in ("a½b", "x_y", "一二", "é1ß")] == [["a", "b"], ["x", "y"], ["一二"], ["é", "ß"]]
+
+
+def test_language_ties():
+    """Equal distances go to the first name."""
+    ranker = language.Ranker({"b": ["x", "y"], "a": ["x", "y"]}, 400)
+    assert ranker.predict("x y") == ("a", 0.0) and ranker.predict(None) == ("und", 0.0)
+
+
 def test_shards(real):
     rows = sharding.placed(real).collect()
     by = defaultdict(list)
@@ -87,16 +103,26 @@ def test_shards_odd(odd, empty):
 def test_ranks(spark):
     rows = spark.createDataFrame([(i % 3, (i * 7919) % 5000 if i % 50 else None) for i in range(1000)], "g int, k long")
     by = defaultdict(list)
-    for r in dense_rank_ids(rows, ["g"], ["k"], "n", per_block=10).collect():
+    for r in dense_rank_ids(rows, ["g"], ["k"], "n", per_run=10).collect():
         by[r.g].append((r.n, -1 if r.k is None else r.k))
     for some in by.values():
         some.sort()
         assert [n for n, _ in some] == list(range(len(some))) and [k for _, k in some] == sorted(k for _, k in some)
 
 
+@pytest.mark.parametrize("keys", [[*range(5000), 2**62, -(2**62)], [None] * 4000 + [5] * 4000 + list(range(100))])
+def test_runs_are_even(spark, keys):
+    """Neither far-off keys nor many equal or missing ones make a run large."""
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3).withColumn("tie", F.monotonically_increasing_id())
+    found = rows.withColumn("run", runs(rows, ["k", "tie"], 100)).collect()
+    sizes = Counter(r.run for r in found)
+    assert max(sizes.values()) <= 300 and len(sizes) > len(keys) / 300
+    found.sort(key=lambda r: (r.k is not None, r.k or 0, r.tie))
+    assert [r.run for r in found] == sorted(r.run for r in found)
+
+
 def tokens(text):
     tool = Tokenizer.from_file(JSON)
-    tool.encode_special_tokens = True
     return [*tool.encode(text or "", add_special_tokens=False).ids, 0]
 
 

@@ -4,15 +4,15 @@ A document's terms are its distinct runs of letters and digits in lower case. Ke
 document frequency lies in a band: terms in more than COMMON of the documents say nothing, those in fewer
 than RARE are too odd to last. The distinct terms that are left are sorted (by a 64-bit hash of each) and
 hashed once for each of several randomised sublexicons, which hold a random share of the lexicon each:
-first the whole band, then shares from a half downwards, so that texts which differ in many terms still
+first the whole band (of a text without a term in it: all its terms), then shares from a half downwards, so that texts which differ in many terms still
 agree in some. The likeness of two fingerprints is the share of sublexicons in which they agree, of those
 that keep a term of either.
 
 The lexicon holds at most (distinct terms per document) / RARE entries, however large the corpus, so it
 goes into the plan as one set and no term is ever shuffled with its document.
 
-Null texts are empty. Texts without a term in the band have an empty fingerprint, and two of these are
-alike (1.0). Equal texts have equal fingerprints. Rows that share a doc_id are independent documents, in
+Null texts are empty. Texts without a term in the band have only the first hash, so they are like others
+with the same terms alone; texts without any term have an empty fingerprint, and two of these are alike (1.0). Equal texts have equal fingerprints. Rows that share a doc_id are independent documents, in
 the order of their texts' hashes among each other. An empty table gives an empty result.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, store
+from .common import runs, store
 
 COMMON, RARE = 0.3, 0.004
 #: Random sublexicons: bits that a term's hash must have unset, and how many sublexicons of that share.
@@ -52,7 +52,8 @@ def hashes(words: str, band: list[int]) -> Column:
     lots = [bits for bits, many in SHARES for _ in range(many)]
 
     def each(kept: Column) -> Column:
-        some = [F.filter(kept, holds(23 * i % 56, bits)) if bits else kept for i, bits in enumerate(lots)]
+        whole = F.when(F.size(kept) > 0, kept).otherwise(F.array_sort(F.col(words)))
+        some = [F.filter(kept, holds(23 * i % 56, bits)) if bits else whole for i, bits in enumerate(lots)]
         return F.array(*[F.when(F.size(x) > 0, F.hash(F.lit(i), x)) for i, x in enumerate(some)])
 
     known = ", ".join(f"{t}L" if t > -(2**63) else f"{t + 1}L - 1L" for t in band) or "NULL"
@@ -75,24 +76,19 @@ def written(h: Column) -> Column:
 def with_next(rows: DataFrame, columns: list[str], tie: str, name: str = "next") -> DataFrame:
     """rows with a struct of the next row's columns, by descending doc_id and from the last on to the first.
 
-    Rows are put in order inside runs of the doc_id's range; a run's last row takes its neighbour from the
-    table of first rows, one for each run, whose own order is found in the same way. Null doc_ids come last.
+    Rows are put in order inside runs, whose bounds are quantiles; a run's last row takes its neighbour from the
+    table of first rows, which has one for each run, at most 16,384. Null doc_ids come last.
     """
-    placed, this = rows.withColumn("_run", blocks(rows, "doc_id", RUN)), F.struct("doc_id", *columns)
-    order = Window.partitionBy("_run").orderBy(F.desc_nulls_last("doc_id"), tie)
-    runs = placed.select("_run").distinct()
-    if rows.count() > RUN * RUN:
-        above = with_next(runs.select(F.col("_run").alias("doc_id"), F.lit(0).alias("_tie")), [], "_tie")
-        follows = above.select(F.col("doc_id").alias("_from"), F.col("next.doc_id").alias("_to"))
-    else:
-        down = Window.orderBy(F.desc("_run"))
-        follows = runs.select(F.col("_run").alias("_from"), F.coalesce(F.lead("_run").over(down), F.first("_run").over(down)).alias("_to"))
-    firsts = placed.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(F.col("_run").alias("_of"), this.alias("_there"))
-    after = follows.join(firsts, follows["_to"] == firsts["_of"]).select("_from", "_there")
+    told, keys = rows.withColumn("_row_id", F.monotonically_increasing_id()), ["doc_id", tie, "_row_id"]
+    placed, this = told.withColumn("_run", runs(told, keys, RUN)), F.struct("doc_id", *columns)
+    order = Window.partitionBy("_run").orderBy(*[F.desc_nulls_last(k) for k in keys])
+    firsts = placed.withColumn("_place", F.row_number().over(order)).where("_place = 1").select("_run", this.alias("_there"))
+    down = Window.orderBy(F.desc("_run"))
+    after = firsts.select(F.col("_run").alias("_from"), F.coalesce(F.lead("_there").over(down), F.first("_there").over(down)).alias("_there"))
     inside = placed.withColumn("_here", F.lead(this).over(order))
     return (
         inside.join(after, inside["_run"] == after["_from"], "left")
-        .withColumn(name, F.coalesce("_here", "_there")).drop("_run", "_here", "_from", "_there")
+        .withColumn(name, F.coalesce("_here", "_there")).drop("_run", "_row_id", "_here", "_from", "_there")
     )
 
 

@@ -14,7 +14,6 @@ with a null language or null text teach nothing. Without any profile everything
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -23,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import letters, sampled
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = letters()
 LENGTHS = (1, 2, 3, 4)
 #: n-grams of a profile, and of a text's own ranking.
 TOP = 400

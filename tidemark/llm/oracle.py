@@ -90,15 +90,18 @@ ORACLE_SQL = {
                        lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 3 = 1 AS held_out
             FROM documents, crc_table
         ), words AS (
-            SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS word FROM d) GROUP BY 1, 2
+            SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM d) GROUP BY 1, 2
         ), spelled AS (
             SELECT word, substr('_' || word || '_', CAST(i AS INTEGER) + 1, k) AS g
             FROM (SELECT word, k, unnest(range(length(word) + 3 - k)) AS i FROM (SELECT DISTINCT word FROM words), (VALUES (1), (2), (3), (4)) t(k))
         ), grams AS (
             SELECT doc_id, g, sum(n * m) AS c FROM words JOIN (SELECT word, g, count(*) AS m FROM spelled WHERE g <> '_' GROUP BY 1, 2) USING (word) GROUP BY 1, 2
+        ), known AS (
+            SELECT doc_id, lang, CAST('0x' || substr(md5('sample:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / pow(16, 13) * count(*) OVER (PARTITION BY lang) AS place
+            FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL
         ), profiles AS (
             SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY c DESC, g) AS place
-            FROM (SELECT lang, g, sum(c) AS c FROM grams JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2) QUALIFY place <= 400
+            FROM (SELECT lang, g, sum(c) AS c FROM grams JOIN known USING (doc_id) WHERE known.place < 1500 GROUP BY 1, 2) QUALIFY place <= 400
         ), own AS (
             SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, g) AS place FROM grams QUALIFY place <= 400
         ), far AS (

@@ -7,7 +7,10 @@ with the most room), and each pattern carries a count, so the work depends on th
 documents. Patterns come back to documents by rank: the pieces of one length are numbered, and every
 slot of a pattern owns a range of these numbers.
 
-Null and empty texts are a single end id. Equal documents and ties are numbered apart. An empty table
+A sequence counts as padded to `size` tokens, unless its length is a power of two, which needs no padding.
+
+Null and empty texts are a single end id. A string such as <|endoftext|> in a text is that special token, as it is for
+the tokenizers library. Equal documents and ties are numbered apart. An empty table
 gives an empty result.
 """
 
@@ -38,26 +41,26 @@ def byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str):
-    """The vocabulary of a tokenizers file, without its special tokens, ready to encode whole texts."""
+    """The vocabulary of a tokenizers file, ready to encode whole texts; strings of special tokens become these."""
     import tiktoken
 
     letters = byte_letters()
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model["added_tokens"] if x["special"]}
+    special = {x["content"]: x["id"] for x in model["added_tokens"]}
     ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, size: int = SIZE) -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of the pieces of each document."""
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, pattern).encode_ordinary
+        tool = encoder(path, pattern)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array([*(encode(text) if text else ()), END], "<u4")
+                ids = np.array([*(tool.encode(text, allowed_special="all") if text else ()), END], "<u4")
                 for start in range(0, len(ids), size):
                     part = ids[start : start + size]
                     out.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)))

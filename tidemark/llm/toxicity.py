@@ -19,7 +19,6 @@ texts, and those without a letter, have score 0.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import letters, sampled
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = letters()
 LENGTHS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSIONS = 8
