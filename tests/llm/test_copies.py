@@ -237,11 +237,50 @@ def test_vectors(spark, monkeypatch):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def planted(rng, n, dim=64):
+    """n random vectors of one label and n more, each at a cosine of 0.932 to 0.96 to one of them."""
+    a = vectors.unit(rng.normal(size=(n, dim)))
+    z = rng.normal(size=(n, dim))
+    z = vectors.unit(z - (z * a).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.932, 0.96, (n, 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * z])
+
+
+@pytest.mark.parametrize("n", [500, 5000])
+def test_vectors_recall(spark, n):
+    """At least 0.99 of planted links near the threshold are found, and the lists that a vector goes to do not grow with the rows."""
+    x = planted(np.random.default_rng(6), n)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = vectors.unit(x)
+    want = np.concatenate([(u[i : i + 1000] @ u.T >= 0.93).sum(1) - 1 for i in range(0, len(u), 1000)])
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
+    assert sum(want) >= 2 * n and 0.99 * sum(want) <= sum(got.values()) and all(got[i] <= want[i] for i in got)
+    known = vectors.described(frame.withColumn("copies", F.lit(1)), vectors.points(frame))
+    assert known.select(F.explode("near").alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] <= vectors.BLOCK  # so each goes to NEAREST blocks
+
+
+def test_vectors_of_which_a_third_are_copies(spark):
+    """Copies count as links, and do not crowd out the reference points."""
+    rng = np.random.default_rng(9)
+    x = planted(rng, 600, 16)
+    x = np.concatenate([x, np.repeat(x[:1], 600, 0)])
+    order = rng.permutation(len(x))
+    x = x[order]
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = vectors.unit(x)
+    linked = u @ u.T >= 0.93
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r for r in vectors.near_duplicates(frame).collect()}
+    copies = [i for i in range(len(x)) if order[i] == 0 or order[i] >= 1200]
+    assert sum(r.n_links for r in got.values()) >= 0.99 * linked.sum() and all(r.n_links <= linked[i].sum() for i, r in got.items())
+    assert all(got[i].n_links >= 600 and got[i].component_id == got[copies[0]].component_id for i in copies)
+
+
 def test_vectors_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1),
-        (9, [None, 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1e30, 1e29], 1), (12, [3.0, 0.0], 1), (12, [3.0, 0.0], 1), (13, [], 1),
+        (9, [None, 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1e30, 1e29], 1), (12, [3.0, 0.0], 1), (12, [3.0, 0.0], 1), (12, [0.0, 1.0], None), (13, [], 1),
     ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("near", F.lit(1)).withColumn("point", F.lit(1))
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()}

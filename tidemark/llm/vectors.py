@@ -1,21 +1,24 @@
 """Embedding near-duplicates by a pivot-permutation index (operator 6).
 
-A bounded sample of the vectors serves as reference points. Every vector is described by its NEAREST
-reference points in order, and stands in the inverted list of each. Two vectors of one label that share
-at least SHARED points are candidates; their cosine, in double precision, decides.
+Equal vectors of a label are one, with a count. A bounded sample of the distinct vectors serves as reference
+points, their number twice the square root of the vectors' (up to VALUES numbers altogether). Every vector is
+described by its nearest reference points in order, and stands in the inverted list of each. Two vectors of one
+label that share at least SHARED points are candidates; their cosine, in double precision, decides.
 
-A list is worked through in blocks: rows are spread over blocks of about BLOCK rows by a hash, and each
-task compares one block with another as matrices. A pair that meets in several lists counts only in that
-of its smallest shared point. Tasks return a count for each row and a star for each group of linked rows,
-so that no group's pairs are ever written out.
+Lists are made of ids first. Their lengths tell in how many blocks of about BLOCK rows each is compared; then every
+vector is fetched once and goes to the blocks of its lists, those of one row left out. As the points grow with
+the square root of the vectors, so do the lists, and what is compared grows with the power 1.5. A pair that meets
+in several lists counts only in that of its smallest shared point. Tasks return a count for each row and a star
+for each group of linked rows, so that no group's pairs are ever written out.
 
 Vectors that are null, zero, or hold null or non-finite components, and those without a label, link with
-nothing. A vec_id that repeats counts as one vector, its least (label, embedding). Vectors of other
+nothing. A vec_id that repeats counts as one vector, its least (label, embedding) that can link. Vectors of other
 dimensions than the reference points' link only with each other, all of one dimension compared directly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import store
 from .graph import components
 
-#: Rows that reference points are drawn from, at most (about), and how many points at least and at most.
-SAMPLE, FEWEST, MOST = 20_000, 64, 1024
+#: Reference points at least, and the numbers that all of them together may have (64 MB as doubles).
+FEWEST, VALUES = 64, 1 << 23
+#: Nearest points that describe a vector: so many for up to 1024 points, and two more for each doubling.
 NEAREST = 10
 SHARED = 2
 BLOCK = 1024
@@ -40,13 +44,13 @@ def usable() -> F.Column:
     return F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def points(rows: DataFrame) -> np.ndarray:
-    """Reference points: unit vectors of rows chosen by a hash of vec_id, their number about twice the square root of the rows'."""
+def points(rows: DataFrame, most: int = VALUES) -> np.ndarray:
+    """Reference points: unit vectors of rows chosen by a hash of vec_id, of the most frequent dimension."""
     size = F.size("embedding")
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.mode(size).alias("dim")).first()
-    count = int(min(MOST, max(FEWEST, 2 * n.n**0.5)))
+    count = int(min(most // (n.dim or 1), max(FEWEST, 2 * n.n**0.5)))
     share = F.pmod(F.xxhash64(F.lit("point"), "vec_id"), F.lit(1_000_003)) / F.lit(1_000_003) * F.lit(n.n)
-    some = rows.where(size == F.lit(n.dim or 0)).where(share < min(SAMPLE, 2 * count)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(count)
+    some = rows.where(size == F.lit(n.dim or 0)).where(share < 2 * count).orderBy(F.xxhash64("vec_id"), "vec_id").limit(count)
     found = np.array([r.embedding for r in some.select("embedding").collect()], "float64").reshape(-1, n.dim or 1)
     return unit(found)
 
@@ -59,7 +63,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def described(rows: DataFrame, refs: np.ndarray) -> DataFrame:
     """rows with `near`: the numbers of the nearest reference points in order."""
-    shared = rows.sparkSession.sparkContext.broadcast(refs)  # at most MOST points
+    shared = rows.sparkSession.sparkContext.broadcast(refs)  # at most VALUES numbers
+    nearest = NEAREST + 2 * max(0, math.ceil(math.log2(max(1, len(refs)) / 1024)))
 
     @F.pandas_udf("array<int>")
     def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -67,10 +72,11 @@ def described(rows: DataFrame, refs: np.ndarray) -> DataFrame:
         for batch in batches:
             out: list = [[-1 - len(v)] * 1 for v in batch]
             fit = [i for i, v in enumerate(batch) if len(v) == known.shape[1]]
-            for at in range(0, len(fit), 4096):
-                some = fit[at : at + 4096]
+            step = max(16, (1 << 22) // max(1, len(known)))
+            for at in range(0, len(fit), step):
+                some = fit[at : at + step]
                 cosine = unit(np.stack([np.asarray(batch.iloc[i], "float64") for i in some])) @ known.T
-                for i, order in zip(some, np.argsort(-cosine, axis=1, kind="stable")[:, :NEAREST]):
+                for i, order in zip(some, np.argsort(-cosine, axis=1, kind="stable")[:, :nearest]):
                     out[i] = order.tolist()
             yield pd.Series(out)
 
@@ -78,7 +84,7 @@ def described(rows: DataFrame, refs: np.ndarray) -> DataFrame:
 
 
 def compared(part: pd.DataFrame, cosine: float, shared: int) -> pd.DataFrame:
-    """Counts of links and star edges among the rows of one block, or between two, of one list."""
+    """Counts of links (to all copies) and star edges among the rows of one block, or between two, of one list."""
     point, one, other = int(part["point"].iloc[0]), part["b1"].iloc[0], part["b2"].iloc[0]
     a = part[part["block"] == one]
     b = a if one == other else part[part["block"] == other]
@@ -99,10 +105,8 @@ def compared(part: pd.DataFrame, cosine: float, shared: int) -> pd.DataFrame:
     ua, ub = (unit(np.stack([np.asarray(v, "float64") for v in x["embedding"]])) for x in (a, b))
     ia, ib = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
     linked = met & (ua @ ub.T >= cosine) & (ia[:, None] != ib[None, :])
-    if one == other:
-        counts, ids = linked.sum(1), ia
-    else:
-        counts, ids = np.concatenate([linked.sum(1), linked.sum(0)]), np.concatenate([ia, ib])
+    na, nb = a["copies"].to_numpy(), b["copies"].to_numpy()
+    counts, ids = (linked @ nb, ia) if one == other else (np.concatenate([linked @ nb, na @ linked]), np.concatenate([ia, ib]))
     root = {int(x): int(x) for x in ids}
 
     def top(x: int) -> int:
@@ -122,18 +126,21 @@ def compared(part: pd.DataFrame, cosine: float, shared: int) -> pd.DataFrame:
 
 
 def links(rows: DataFrame, cosine: float = COSINE, shared: int = SHARED) -> DataFrame:
-    """vec_id, links and root: partial counts of links, and a vector that each is linked to through others."""
-    lists = store(
-        described(rows, points(rows)).select("vec_id", "label", "embedding", "near", F.explode("near").alias("point"))
-    )
+    """vec_id, links and root: partial counts of links, and a vector that each is linked to through others.
+
+    rows are distinct vectors: vec_id, label, embedding and copies.
+    """
+    known = store(described(rows, points(rows)))
+    lists = known.select("vec_id", "label", F.explode("near").alias("point"))
     # stored, so that the join knows its size, and can split the longest lists if it shuffles
-    sizes = store(lists.groupBy("label", "point").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    sizes = store(lists.groupBy("label", "point").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "point", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    places = lists.join(sizes, ["label", "point"]).groupBy("vec_id").agg(F.collect_list(F.struct("point", "blocks")).alias("places"))
     spread = (
-        lists.join(sizes, ["label", "point"])
+        known.join(places, "vec_id").withColumn("place", F.explode("places")).select("vec_id", "label", "embedding", "copies", "near", "place.*")
         .withColumn("block", F.pmod(F.xxhash64("vec_id", "point"), F.col("blocks")).cast("int"))
         .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("b1", F.least("block", "mate")).withColumn("b2", F.greatest("block", "mate"))
-    )
+    )
     return spread.groupBy("label", "point", "b1", "b2").applyInPandas(
         lambda part: compared(part, cosine, shared), "vec_id long, links long, root long"
     )
@@ -141,18 +148,20 @@ def links(rows: DataFrame, cosine: float = COSINE, shared: int = SHARED) -> Data
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, shared: int = SHARED) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    every = (
-        embeddings.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("row"))
-        .select("vec_id", "row.label", "row.embedding")
+    every = store(
+        embeddings.withColumn("_odd", ~usable() | F.col("vec_id").isNull()).groupBy("vec_id").agg(F.min(F.struct("_odd", "label", "embedding")).alias("row"))
+        .select("vec_id", F.col("row._odd").alias("odd"), "row.label", "row.embedding")
     )
-    found = store(links(every.where(usable() & F.col("vec_id").isNotNull()), cosine, shared))
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    alike = store(every.where("not odd").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
+    found = store(links(alike, cosine, shared))
+    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
+    classes = (
+        alike.join(counts, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        .select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    )
     return (
-        every.select("vec_id").join(counts, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select(
-            "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "vec_id").cast("long").alias("component_id"),
-        )
+        every.join(classes.withColumn("odd", F.lit(False)), ["label", "embedding", "odd"], "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
     )
