@@ -1,7 +1,9 @@
 """Operators 1, 3, 6 and 9, and the pipeline, against brute force."""
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -165,12 +167,27 @@ def test_fingerprints_odd(odd, empty, spark):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abc def abc").hexdigest()
 
 
+def weighted_sets(texts):
+    """Shingles of each text with tf times idf, from counts in dictionaries."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"\w+", (text or "").lower())
+        sets.append(Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter())
+    df, n = Counter(x for s in sets for x in s), sum(t is not None for t in texts)
+    most = math.log(1 / minhash.RARE) + 1
+    idf = {x: min(most, math.log(n / c) + 1) if c >= max(2, minhash.RARE * n) else most for x, c in df.items()}
+    return [{x: c * idf[x] for x, c in s.items()} for s in sets]
+
+
+def likeness(a, b):
+    shared = sum(min(w, b[x]) for x, w in a.items() if x in b)
+    return shared / (sum(a.values()) + sum(b.values()) - shared) if shared else 0.0
+
+
 def test_near_copies(docs, texts, monkeypatch):
-    words = minhash.lexicon(docs)
-    memo = minhash.Words(words)
-    sets = {i * 3 + 1: memo.shingles(t) for i, t in enumerate(texts)}
-    ids = list(sets)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if minhash.similarity(sets[a], sets[b]) >= 0.8 or texts[(a - 1) // 3] == texts[(b - 1) // 3]]
+    sets = weighted_sets(texts)
+    ids = [i * 3 + 1 for i in range(len(texts))]
+    pairs = [(i * 3 + 1, j * 3 + 1) for i in range(len(texts)) for j in range(i + 1, len(texts)) if likeness(sets[i], sets[j]) >= 0.8 or texts[i] == texts[j]]
     want = unions(ids, pairs)
     assert len(pairs) > 60
     assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
@@ -179,6 +196,56 @@ def test_near_copies(docs, texts, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == want
 
 
+def test_shingles_of_portions(texts, monkeypatch):
+    """Sets are those of plain Python, whatever portions the texts come in; short, empty and missing texts included."""
+    some = [*texts[55:], "one", "Two words", None, "", "ÀÉ ß_x Σίσυφος ½ 12", "a b c d e", "a b c d e f"]
+    want = weighted_sets(some)
+    empty = (np.empty(0, "u8"), np.empty(0, "f4"), float(np.log(1 / minhash.RARE) + 1))
+    for size in (1, 500, 10**6):
+        monkeypatch.setattr(minhash, "PORTION", size)
+        got = list(minhash.Weights(empty).sets(some))
+        assert [len(k) for k, _ in got] == [len(s) for s in want] and all((np.diff(k.astype("f8")) >= 0).all() for k, _ in got)
+        for (ka, wa), a in zip(got, want):
+            for (kb, _), b in zip(got, want):
+                assert len(np.intersect1d(ka, kb)) == len(a.keys() & b.keys())
+
+
+def test_frequent_shingles(spark):
+    """Document frequencies are exact for every shingle that reaches the bound, and no other is listed."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("a b c d".split(), k=rng.randint(3, 60))) for _ in range(400)] + ["x y z", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    key, idf, most = minhash.lexicon(rows)
+    df = Counter(x for s in weighted_sets(texts) for x in s)
+    want = sorted(min(most, math.log(401 / c) + 1) for c in df.values() if c >= minhash.RARE * 401)
+    assert len(want) > 300 and np.allclose(sorted(idf.tolist()), want, atol=1e-5) and (np.diff(key.astype("f8")) > 0).all()
+
+
+def test_near_copies_recall(spark):
+    """Pairs just above the threshold in a cluster and apart are found as brute force finds them."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    texts = []
+    for _ in range(300):
+        base = rng.choices(vocabulary, k=rng.randint(60, 160))
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([1, 1, 1, 12])):
+            near = list(base)
+            for _ in range(rng.randint(0, max(1, len(near) // 50))):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append(" ".join(near))
+    sets = weighted_sets(texts)
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    near = {(a, b) for x in holders.values() for i, a in enumerate(x) for b in x[i + 1 :]}
+    pairs = [p for p in near if likeness(sets[p[0]], sets[p[1]]) >= 0.8]
+    want = unions(range(len(texts)), pairs)
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(pairs) > 500 and sum(got[i] != want[i] for i in want) <= 0.005 * len(want)
+
+
 def test_similarity_by_hand():
     a, b = (np.array([1, 2, 5], "u8"), np.array([1.0, 2.0, 3.0], "f4")), (np.array([2, 5, 9], "u8"), np.array([1.0, 4.0, 1.0], "f4"))
     assert minhash.similarity(a, b) == pytest.approx((1 + 3) / (1 + 2 + 4 + 1))

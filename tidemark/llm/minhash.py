@@ -1,14 +1,15 @@
 """Near-duplicate documents by consistent weighted sampling (operator 3).
 
-A document is a weighted set: its shingles of five words (\\w+, lower case), each with term frequency
-times the mean inverse document frequency of its words. Frequencies of words are counted over all
-documents; words in fewer than RARE of them share the greatest idf, so the lexicon that every task needs
-holds at most (distinct words per document) / RARE entries, however large the corpus.
+A document is a weighted set: its shingles of five words (\\w+, lower case), each with its term frequency times
+its inverse document frequency, ln(documents / documents with the shingle) + 1. Frequencies are counted over all
+documents; shingles in fewer than RARE of them share the greatest idf, so that only frequent shingles need a number
+of their own: at most (distinct shingles per document) / RARE, however large the corpus. These are found in two
+passes. The first counts all shingles in BUCKETS buckets, the second those of buckets that reach the bound, exactly.
 
 Improved consistent weighted sampling draws BANDS x ROWS samples of each set; two sets agree in a sample
 with probability equal to their weighted Jaccard similarity. Documents that share a band and agree in AGREE
 of all samples are candidates: of pairs as similar as asked, sampling finds 99.98 in 100 by their bands, and
-three in 100,000 agree in too few samples.
+fewer than one in 10^11 agree in too few samples.
 
 In each bucket every document is first verified against the least; verified links give components. Where a
 bucket still holds several components, the pairs across them are verified too: in small buckets by a join,
@@ -25,11 +26,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +43,13 @@ WORD = re.compile(r"\w+")
 SHINGLE = 5
 BANDS, ROWS = 12, 3
 SIMILAR = 0.8
-#: Share of the documents below which a word's frequency no longer lowers its weight.
-RARE = 0.001
-#: Distinct words that a worker remembers.
-MEMO = 300_000
+#: Share of the documents below which a shingle's frequency no longer lowers its weight.
+RARE = 0.02
+#: Counters of the first pass, how many of them travel together, and characters that a task cuts into words at a time.
+BUCKETS, CHUNK, PORTION = 1 << 20, 1 << 14, 1_000_000
 TABLE_BITS = 14
 #: Samples that candidates must agree in.
-AGREE = BANDS * ROWS // 2
+AGREE = 10
 #: Documents of a bucket whose pairs are joined; of a block beyond that; and features that are multiplied at a time.
 SMALL, BLOCK, FEATURES = 24, 768, 1024
 _U = np.uint64
@@ -59,77 +62,148 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Words(dict):
-    """Number of each word seen, with its 64-bit hash and weight by number."""
+@lru_cache(maxsize=1)
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point, whether it belongs to words, and a 64-bit hash."""
+    known = np.zeros(sys.maxunicode + 1, bool)
+    for found in WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        known[found.start() : found.end()] = True
+    return known, mixed(np.arange(1, sys.maxunicode + 2, dtype="uint64"))
 
-    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray, float] | None = None):
-        self.idf, self.most = (dict(zip(lexicon[0].tolist(), lexicon[1].tolist())), lexicon[2]) if lexicon else (None, 0.0)
-        self.reset()
 
-    def reset(self) -> None:
-        self.clear()
-        self.hash, self.weight = np.empty(4096, "uint64"), np.empty(4096, "float32")
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        if number == len(self.hash):
-            self.hash, self.weight = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.weight))
-        self.hash[number] = key = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if self.idf is not None:
-            self.weight[number] = self.idf.get(key, self.most)
-        return number
-
-    def of(self, text: str | None) -> np.ndarray:
-        found = WORD.findall(text.lower()) if text else []
-        if len(self) > MEMO:
-            self.reset()
-        return np.fromiter(map(self.__getitem__, found), "int64", len(found))
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2^64, and their inverses."""
+    out = []
+    for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+        factors = np.full(n, base, "uint64")
+        factors[0] = 1
+        out.append(np.cumprod(factors))
+    return tuple(out)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of these texts one after another, and how many each text has."""
+    lower = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), "<u4")
+    known, value = characters()
+    inside = known[points]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view("int8"), [0]])))
+    begin, end = edge[::2], edge[1::2]
+    power, inverse = powers(1 << max(20, len(points).bit_length()))
+    total = np.concatenate([np.zeros(1, "uint64"), np.cumsum(value[points] * power[: len(points)], dtype="uint64")])
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    return mixed((total[end] - total[begin]) * inverse[begin]), np.diff(np.searchsorted(begin, np.append(0, ends)))
+
+
+def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of these texts one after another, and how many each text has."""
+    words, n = word_hashes(texts)
+    first = np.cumsum(n) - n
+    key = np.zeros(max(0, len(words) - SHINGLE + 1), "uint64")
+    for i in range(SHINGLE):
+        key = key * _U(0x9E3779B97F4A7C15) + words[i : len(words) - SHINGLE + 1 + i]
+    many = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+    at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    out = np.zeros(len(at), "uint64")
+    long = np.repeat(n >= SHINGLE, many)
+    out[long] = key[at[long]]
+    for i in np.flatnonzero((n > 0) & (n < SHINGLE)):  # all of a short text is one shingle
+        short = 0
+        for h in words[first[i] : first[i] + n[i]].tolist():
+            short = (short * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
+        out[int(many[:i].sum())] = short
+    return mixed(out), many
+
+
+def portions(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Parts of about PORTION characters (or one text), and where each begins."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= PORTION:
+            yield at, texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+class Weights:
+    """Weighted sets of texts, given the frequent shingles in order, their idf, and the idf of all others."""
+
+    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray, float]):
+        self.key, self.idf, self.most = lexicon
+        self.maybe = np.zeros(BUCKETS, bool)
+        self.maybe[self.key & _U(BUCKETS - 1)] = True
+
+    def sets(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct shingles of each text in order of their hash, and their weights."""
+        for _, some in portions(texts):
+            keys, many = shingle_hashes(some)
+            for part in np.split(keys, np.cumsum(many)[:-1]):
+                key, times = np.unique(part, return_counts=True)
+                weight = times.astype("float32") * np.float32(self.most)
+                known = np.flatnonzero(self.maybe[key & _U(BUCKETS - 1)])
+                if len(known):
+                    at = np.searchsorted(self.key, key[known]).clip(max=len(self.key) - 1)
+                    hit = self.key[at] == key[known]
+                    weight[known[hit]] = times[known[hit]] * self.idf[at[hit]]
+                yield key, weight
 
     def shingles(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of a text in order of their hash, and their weights."""
-        ids = self.of(text)
-        if not len(ids):
-            return np.empty(0, "uint64"), np.empty(0, "float32")
-        n = min(SHINGLE, len(ids))
-        h, w = mixed(self.hash[ids]), self.weight[ids]
-        key, weight = np.zeros(len(ids) - n + 1, "uint64"), np.zeros(len(ids) - n + 1, "float32")
-        for i in range(n):
-            key = key * _U(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
-            weight += w[i : len(w) - n + 1 + i]
-        key, first, times = np.unique(mixed(key), return_index=True, return_counts=True)
-        return key, weight[first] / n * times.astype("float32")
+        return next(self.sets([text]))
 
 
-def lexicon(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes of the words in at least RARE of the documents in order, their idf, and the idf of all others."""
+def crowded(texts: DataFrame, least: float) -> np.ndarray:
+    """Which buckets of shingles reach a count over all texts. A bucket counts every shingle in it, so none of `least` texts is missed."""
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total, texts = Words(), np.zeros(1 << 16, "int64"), 0
-
-        def flushed() -> pd.DataFrame:
-            n = len(words)
-            return pd.DataFrame({"word": words.hash[:n].view("int64"), "n": total[:n]})
+        total = np.zeros(BUCKETS, "int64")
+        for batch in batches:
+            for _, some in portions(batch["text"].tolist()):
+                np.add.at(total, (shingle_hashes(some)[0] & _U(BUCKETS - 1)).astype("int64"), 1)
+        parts = np.split(total, BUCKETS // CHUNK)
+        yield pd.DataFrame([(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(parts) if x.any()], columns=["chunk", "counts"])
 
+    def summed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text in batch["text"]:
-                if len(words) > MEMO // 2:
-                    yield flushed()
-                    words.reset()
-                    total[:] = 0
-                ids = np.unique(words.of(text))
-                if len(words) > len(total):
-                    total = np.concatenate([total, np.zeros(len(words), "int64")])
-                total[ids] += 1
-                texts += 1
-        yield flushed()
+            for chunk, counts in zip(batch["chunk"], batch["counts"]):
+                part = np.frombuffer(zlib.decompress(counts), "int64")
+                total[chunk] = total[chunk] + part if chunk in total else part
+        for chunk, counts in total.items():
+            yield pd.DataFrame({"bucket": chunk * CHUNK + np.flatnonzero(counts >= least)})
+
+    found = texts.select("text").mapInPandas(counted, "chunk int, counts binary").repartition("chunk").mapInPandas(summed, "bucket long").toPandas()
+    out = np.zeros(BUCKETS, bool)
+    out[found["bucket"].to_numpy("int64")] = True
+    return out
 
+
+def lexicon(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """The shingles in at least RARE of the documents in order of their hash, their idf, and the idf of all others."""
     texts = docs.where("text is not null")
     n = texts.count()
+    least = max(2.0, RARE * n)
+    maybe = docs.sparkSession.sparkContext.broadcast(crowded(texts, least))
+
+    def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, some in portions(batch["text"].tolist()):
+                key, many = shingle_hashes(some)
+                held = maybe.value[key & _U(BUCKETS - 1)]
+                key, owner = key[held], np.repeat(np.arange(len(many)), many)[held]
+                order = np.lexsort((key, owner))
+                key, owner = key[order], owner[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))[: len(key)]
+                key, times = np.unique(key[new], return_counts=True)
+                yield pd.DataFrame({"shingle": key.view("int64"), "n": times})
+
     rows = (
-        texts.select("text").mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= max(2.0, RARE * n)).toPandas()
+        texts.select("text").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= least).toPandas()
     )
-    key = rows["word"].to_numpy("int64").view("uint64")
+    key = rows["shingle"].to_numpy("int64").view("uint64")
     order = np.argsort(key)
     most = float(np.log(1 / RARE) + 1)
     return key[order], (np.log(max(n, 1) / rows["n"].to_numpy("float64")[order]) + 1).clip(max=most).astype("float32"), most
@@ -173,12 +247,12 @@ def banded(samples: np.ndarray) -> np.ndarray:
     return key.view("int64")
 
 
-def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+def sketched(docs: DataFrame, shingles: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id, the two halves of the text's 128-bit hash, total weight, band keys and samples of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, tables = Words(shared.value), sampler()
+        weights, tables = Weights(shared.value), sampler()
         for batch in batches:
             n = len(batch)
             bands: list = [[]] * n
@@ -191,16 +265,15 @@ def sketched(docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float]) -> Da
                     sizes = np.array([len(k) for _, k, _ in held])
                     keys, weights = (np.concatenate([x[j] for x in held]) for j in (1, 2))
                     found = drawn(keys, weights, np.cumsum(sizes) - sizes, tables)
-                    for (i, _, w), b, x in zip(held, banded(found), found.astype("uint32").view("int32")):
-                        bands[i], samples[i], total[i] = b, x, w.sum(dtype="float64")
+                    for (i, _, some), b, x in zip(held, banded(found), found.astype("uint32").view("int32")):
+                        bands[i], samples[i], total[i] = b, x, some.sum(dtype="float64")
                     held.clear()
 
-            waiting = 0
-            for i, text in enumerate(batch["text"]):
+            waiting, texts = 0, batch["text"].tolist()
+            for i, (text, (key, weight)) in enumerate(zip(texts, weights.sets(texts))):
                 if text is None:
                     continue
                 names[i] = np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "int64")
-                key, weight = memo.shingles(text)
                 if len(key):
                     held.append((i, key, weight))
                     waiting += len(key)
@@ -227,21 +300,21 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (a[1].sum(dtype="float64") + b[1].sum(dtype="float64") - shared))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float], similar: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, shingles: tuple[np.ndarray, np.ndarray, float], similar: float) -> DataFrame:
     """Those pairs (a, b) whose texts are at least as similar as asked."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(shingles)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     with_b = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     with_both = with_b.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
 
     def kept(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, last, mine = Words(shared.value), None, None
+        weights, last, mine = Weights(shared.value), None, None
         for batch in batches:
-            keep = []
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"]):
+            keep, texts = [], batch["text_b"].tolist()
+            for a, text_a, other in zip(batch["a"], batch["text_a"], weights.sets(texts)):
                 if a != last:
-                    last, mine = a, memo.shingles(text_a)
-                keep.append(similarity(mine, memo.shingles(text_b)) >= similar)
+                    last, mine = a, weights.shingles(text_a)
+                keep.append(similarity(mine, other) >= similar)
             yield batch.loc[keep, ["a", "b"]]
 
     return with_both.select("a", "b", "text_a", "text_b").mapInPandas(kept, "a long, b long")
@@ -340,16 +413,15 @@ def blocked(rows: DataFrame) -> DataFrame:
     )
 
 
-def linked_in_blocks(members: DataFrame, docs: DataFrame, words: tuple[np.ndarray, np.ndarray, float], similar: float) -> DataFrame:
+def linked_in_blocks(members: DataFrame, docs: DataFrame, shingles: tuple[np.ndarray, np.ndarray, float], similar: float) -> DataFrame:
     """Links (a, b) across components among members (key, doc_id, component, samples) of large buckets."""
     asked = store(blocked(members).groupBy("key", "b1", "b2").applyInPandas(worth_comparing, "key long, doc_id long").distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def compared(part: pd.DataFrame) -> pd.DataFrame:
         a, b = halves(part)
         both = a if part["b1"].iloc[0] == part["b2"].iloc[0] else pd.concat([a, b])
-        memo = Words(shared.value)
-        sets = [memo.shingles(t) for t in both["text"]]
+        sets = list(Weights(shared.value).sets(both["text"].tolist()))
         total = np.array([w.sum(dtype="float64") for _, w in sets])
         least = shared_weight(sets)
         ids, component = both["doc_id"].to_numpy(), both["component"].to_numpy()
@@ -363,8 +435,8 @@ def linked_in_blocks(members: DataFrame, docs: DataFrame, words: tuple[np.ndarra
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept of every document."""
-    words = lexicon(docs)
-    sketches = store(sketched(docs, words))
+    shingles = lexicon(docs)
+    sketches = store(sketched(docs, shingles))
     alike = store(
         sketches.where("h1 is not null").groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("total", "bands", "samples")])
@@ -380,7 +452,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         members.where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), "doc_id").distinct()
         .join(other, "a").join(sketch, "doc_id").where(near).select("a", F.col("doc_id").alias("b"))
     )
-    edges = store(verified(stars, docs, words, similar))
+    edges = store(verified(stars, docs, shingles, similar))
     parts = components(edges)
     labelled = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = labelled.where("n > 2").groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
@@ -392,7 +464,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         .select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     )
     many = unsettled.where(F.col("n") > SMALL).select("key", "doc_id", "component", "samples")
-    more = store(verified(across, docs, words, similar).unionByName(linked_in_blocks(many, docs, words, similar)))
+    more = store(verified(across, docs, shingles, similar).unionByName(linked_in_blocks(many, docs, shingles, similar)))
     every = components(edges.unionByName(more)) if more.take(1) else parts
     return (
         sketches.select("doc_id", "h1", "h2").join(alike.select("h1", "h2", F.col("doc_id").alias("first")), ["h1", "h2"], "left")

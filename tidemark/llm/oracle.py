@@ -34,14 +34,14 @@ ORACLE_SQL = {
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
         ), docs AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
-        df AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM words) GROUP BY word),
-        idf AS (SELECT word, CASE WHEN df >= greatest(2, 0.001 * n) THEN least(ln(n / df) + 1, ln(1000) + 1) ELSE ln(1000) + 1 END AS idf FROM df, docs),
         tokens AS (SELECT doc_id, i, ws[i] AS word, len(ws) AS n FROM (SELECT doc_id, ws, CAST(unnest(range(1, len(ws) + 1)) AS BIGINT) AS i FROM words)),
         spans AS (
-            SELECT doc_id, n, i, list(word) OVER f AS shingle, avg(idf) OVER f AS weight FROM tokens JOIN idf USING (word)
-            WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
-        ), sets AS (
-            SELECT doc_id, shingle, count(*) * any_value(weight) AS w FROM spans WHERE i <= greatest(1, n - 4) GROUP BY doc_id, shingle
+            SELECT doc_id, n, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM tokens
+        ), tf AS (SELECT doc_id, shingle, count(*) AS tf FROM spans WHERE i <= greatest(1, n - 4) GROUP BY doc_id, shingle),
+        df AS (SELECT shingle, count(*) AS df FROM tf GROUP BY shingle),
+        sets AS (
+            SELECT doc_id, shingle, tf * CASE WHEN df >= greatest(2, 0.02 * n) THEN least(ln(n / df) + 1, ln(50) + 1) ELSE ln(50) + 1 END AS w
+            FROM tf JOIN df USING (shingle), docs
         ), total AS (SELECT doc_id, sum(w) AS t FROM sets GROUP BY doc_id),
         shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS s FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
         near AS (
