@@ -110,6 +110,48 @@ def test_state_versions(spark, tmp_path):
     assert spark.read.parquet(table.backup(str(tmp_path), __import__("datetime").datetime(2024, 1, 2, 3, 4, 5))).count() == 7
 
 
+def test_a_run_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    """A sync that fails between its writes, done again, leaves what one that did not fail would."""
+    records, _ = fixture(2)
+    fetched = spark.createDataFrame([tuple(r.values()) for r in records], FETCHED)
+    store, plain = Store.at(spark, str(tmp_path / "a")), Store.at(spark, str(tmp_path / "b"))
+    want = sync(fetched, plain, now()).collect()
+    for broken in ("dead_letters", "history"):
+        with monkeypatch.context() as m:
+            def fail(*args, broken=broken):
+                raise RuntimeError(broken)
+
+            m.setattr(cdc, broken, fail)
+            with pytest.raises(RuntimeError):
+                sync(fetched, store, now())
+    with monkeypatch.context() as m:  # the rows are written, the version is not
+        m.setattr(store.state, "_fs", Refusing(store.state._fs))
+        with pytest.raises(RuntimeError):
+            sync(fetched, store, now())
+    assert store.state.current() == 0 and store.history.read().count() == 0
+    assert sync(fetched, store, now()).collect() == want
+    for name in ("mapping", "history", "dead_letters"):
+        assert sorted(store.state.read(name).collect(), key=str) == sorted(plain.state.read(name).collect(), key=str)
+
+
+class Refusing:
+    """A file system that renames nothing."""
+
+    def __init__(self, fs):
+        self.fs = fs
+
+    def __getattr__(self, name):
+        return (lambda *a: False) if name == "rename" else getattr(self.fs, name)
+
+
+def test_append_writes_only_new_rows(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "a BIGINT")
+    for i in range(4):
+        table.append(spark.createDataFrame([(i,)], "a long"))
+    assert sorted(r.a for r in table.read().collect()) == [0, 1, 2, 3] and sorted(r.a for r in table.read(2).collect()) == [0, 1]
+    assert sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "t").glob("rows-*")) == 4
+
+
 def test_dead_letter_limits(spark):
     rows = spark.createDataFrame([("customer", "1", "failed", "e" * 3000, "p" * 9000, 1), ("customer", None, "failed", "e", None, 2)], "entity_type string, source_id string, outcome string, error string, payload string, pos long")
     one, two = cdc.dead_letters(rows, now(), ["pos"]).orderBy("id").collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from .functions import hashing as H
 from .functions import scalars as S
 from .operators import cdc, jobs, lookups, reports
 from .operators.numbering import numbered
+from .plans.sync import Store, sync
 from .schemas import ALIASES, ENTITY_ORDER, JOB_STATES
 from .sources import entities as E
+from .storage import shared_dir
 
 NOW = dt.datetime(2024, 1, 20)
 
@@ -64,13 +67,18 @@ def scan_updated_after(spark, sf_dir):
     return E.updated_after(_table(spark, sf_dir, "orders"), "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz")).select("o_orderkey", "o_orderdate")
 
 
-def order_lines_nested(spark, sf_dir):
+def _order_lines(spark, sf_dir):
     return E.order_lines(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem"))
 
 
+def order_lines_nested(spark, sf_dir):
+    """Orders with their lines as a JSON array."""
+    return _order_lines(spark, sf_dir).withColumn("lines", F.to_json("lines"))
+
+
 def order_lines_flat(spark, sf_dir):
     lines = F.explode("lines").alias("x")
-    return order_lines_nested(spark, sf_dir).select("id", lines).select("id", "x.line", "x.equipment_id", "x.quantity", "x.price_cents")
+    return _order_lines(spark, sf_dir).select("id", lines).select("id", "x.line", "x.equipment_id", "x.quantity", "x.price_cents")
 
 
 def unwrap_payload(spark, sf_dir):
@@ -194,9 +202,19 @@ def checkpoint_upsert(spark, sf_dir):
     return lookups.put_checkpoints(before, writes, _now())
 
 
+def _fine_jobs(spark, sf_dir):
+    """All events as jobs, each of an entity that four events at most share, so that some entities have no active one."""
+    fine = F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit("_"), F.floor(F.col("event_id") / 24).cast("string"), F.lit("_"), (F.col("event_id") % 8).cast("string"))
+    return _jobs(spark, sf_dir).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), fine.alias("_fine")), "id").withColumn("entity_type", F.col("_fine")).drop("_fine")
+
+
+def _requests(spark, sf_dir):
+    return _fine_jobs(spark, sf_dir).select("entity_type", "payload")
+
+
 def enqueue_dedup(spark, sf_dir):
-    requests = _table(spark, sf_dir, "events").where("event_type = 'click'").select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("entity_type"), F.col("props").alias("payload"))
-    queue = _jobs(spark, sf_dir).where("id % 67 = 0")
+    requests = _requests(spark, sf_dir)
+    queue = _fine_jobs(spark, sf_dir)
     return jobs.enqueue(queue, requests, _now(), priority=True, first_id=1).select("id", "entity_type", "payload", "status", "attempts", "max_attempts", "created_at", "scheduled_at")
 
 
@@ -231,7 +249,57 @@ def backoff_schedule(spark, sf_dir):
 
 
 def requeue_failed(spark, sf_dir):
-    return jobs.requeued(_jobs(spark, sf_dir).where("id % 53 = 4"))
+    return jobs.requeued(_fine_jobs(spark, sf_dir))
+
+
+def enqueue_counts(spark, sf_dir):
+    return jobs.enqueued_count(_fine_jobs(spark, sf_dir), _requests(spark, sf_dir))
+
+
+def scheduled_enqueue(spark, sf_dir):
+    """What two ticks enqueue: one with auto-sync on, one with it off."""
+    ticks = [jobs.scheduled(_fine_jobs(spark, sf_dir), _requests(spark, sf_dir), _now(), on).select(F.lit(on).alias("auto_sync"), "id", "entity_type", "scheduled_at") for on in (True, False)]
+    return ticks[0].unionByName(ticks[1])
+
+
+def legacy_upsert(spark, sf_dir):
+    """Customers written without a hash, and what the next run makes of each."""
+    fetched = E.collection(spark, sf_dir, "customer")
+    stored = cdc.put_unhashed(E.stored_mapping(fetched, _now()), fetched.where("key % 2 = 0"), _now())
+    return cdc.classify(fetched, stored, ["pos"]).join(stored.select("entity_type", "source_id", "last_hash", "sync_version"), ["entity_type", "source_id"], "left").select("source_id", "outcome", "last_hash", "sync_version")
+
+
+def migration_hashes(spark, sf_dir):
+    """Content hashes in the form that an earlier mapping holds."""
+    part = _table(spark, sf_dir, "part")
+    raw = F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.struct(F.col("p_type").alias("z"), F.col("p_name").alias("a")).alias("more")))
+    return part.select("p_partkey", H.migration_hash(raw).alias("hash"))
+
+
+def checkpoint_get(spark, sf_dir):
+    return lookups.checkpoint(checkpoint_upsert(spark, sf_dir), "click")
+
+
+def file_stamps(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", S.file_stamp("ts").alias("stamp"))
+
+
+def map_defaults(spark, sf_dir):
+    """Counts by status of each user's jobs, with 0 for those that none has."""
+    counts = _jobs(spark, sf_dir).groupBy("entity_type", "status").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    maps = counts.groupBy("entity_type").agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("m"))
+    return maps.select("entity_type", S.get_or("m", "Pending").alias("pending"), S.get_or("m", "Failed", -1).alias("failed"))
+
+
+def sync_run(spark, sf_dir):
+    """Two runs over the customers through stored state: the first from an earlier mapping, the second over the same records."""
+    store = Store.at(spark, f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}")
+    fetched = E.collection(spark, sf_dir, "customer")
+    store.mapping.write(E.stored_mapping(fetched, _now()))
+    runs = [sync(fetched, store, _now()).withColumn("run", F.lit(i)) for i in (1, 2)]
+    tables = [t.read().agg(F.count(F.lit(1)).alias("rows"), F.max(key).alias("last")).select(F.lit(name).alias("name"), "rows", F.col("last").cast("long").alias("last")) for name, t, key in (("mapping", store.mapping, "sync_version"), ("history", store.history, "id"), ("dead_letters", store.dead_letters, "id"))]
+    counted = runs[0].unionByName(runs[1]).select(F.concat(F.lit("run "), F.col("run").cast("string")).alias("name"), (F.col("created") + F.col("updated")).alias("rows"), F.col("failed").alias("last"))
+    return counted.unionByName(tables[0]).unionByName(tables[1]).unionByName(tables[2])
 
 
 def queue_metrics(spark, sf_dir):
@@ -336,7 +404,8 @@ QUERIES = {
         scan_customers, scan_orders_by_status, scan_updated_after, order_lines_nested, order_lines_flat, unwrap_payload, payload_hash,
         cdc_classify, cdc_stats, cdc_sync_all_rollup, cdc_merge_mapping, cdc_repeat_ids, cdc_hot_ids, history_append, dead_letter_append, dead_letter_list,
         dead_letter_clear, lookup_forward, lookup_reverse, duplicate_test, mapping_exists, mapping_find, mapping_delete, mapping_update,
-        checkpoint_upsert, enqueue_dedup, claim_next, claim_state, job_transition, retry_classify, backoff_schedule, requeue_failed,
+        checkpoint_upsert, enqueue_dedup, claim_next, claim_state, job_transition, retry_classify, backoff_schedule, requeue_failed, enqueue_counts, scheduled_enqueue,
+        legacy_upsert, migration_hashes, checkpoint_get, file_stamps, map_defaults, sync_run,
         queue_metrics, status_metrics, recent_jobs, active_violations, alias_route, iso_date_format, xml_envelope, license_check, fingerprint,
         scalar_helpers, log_format, log_tail, log_scan, backup_list, backup_purge, system_status, batch_slices,
     )

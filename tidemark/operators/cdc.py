@@ -87,6 +87,15 @@ def merge_mapping(stored: DataFrame, outcomes: DataFrame, position: str | Column
     )
 
 
+def put_unhashed(stored: DataFrame, written: DataFrame, now: Column) -> DataFrame:
+    """The mapping after writes (entity_type, source_id, new_external_id, pos) that know no hash, as older callers make them.
+
+    Such rows keep no hash, so the next run sees them as changed and pushes them again.
+    """
+    outcomes = written.withColumns({"outcome": F.lit("created"), "hash": F.lit(None).cast("string")})
+    return merge_mapping(stored, outcomes, "pos", now)
+
+
 def history(outcomes: DataFrame, now: Column, order: list[str], first_id: int = 1) -> DataFrame:
     """A row for each record that was pushed or failed; skipped ones leave none."""
     rows = outcomes.where("outcome <> 'skipped'").select(

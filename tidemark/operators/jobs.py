@@ -39,6 +39,18 @@ def enqueue(jobs: DataFrame, requests: DataFrame, now: Column, priority: bool =
     )
 
 
+def scheduled(jobs: DataFrame, requests: DataFrame, now: Column, auto_sync: Column | bool, first_id: int = 1) -> DataFrame:
+    """What the scheduler enqueues at a tick: nothing where auto-sync is off."""
+    return enqueue(jobs, requests.where(F.lit(auto_sync)), now, first_id=first_id)
+
+
+def enqueued_count(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """How many of the requested entities get a job, and how many have an active one already."""
+    wanted = requests.select("entity_type").distinct()
+    known = active(jobs).select("entity_type", F.lit(1).alias("_has")).distinct()
+    return wanted.join(known, "entity_type", "left").agg(F.count_if(F.col("_has").isNull()).alias("enqueued"), F.count("_has").alias("duplicates"))
+
+
 def all_entities(spark) -> DataFrame:
     """A request for each entity, as the scheduler and a trigger without a name make them."""
     return spark.createDataFrame([(name, None) for name in QUEUE_NAMES], "entity_type string, payload string")

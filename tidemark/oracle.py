@@ -38,6 +38,7 @@ _STATES = "['Pending','Running','Retry','Completed','Failed','Waiting']"
 _JOBS = f"""(SELECT event_id AS id, 'user_' || user_id AS entity_type, props AS payload, ({_STATES})[event_id % 6 + 1] AS status,
     CAST(event_id % 3 AS INTEGER) AS attempts, 3 AS max_attempts, CASE WHEN event_id % 6 = 4 THEN 'boom' END AS error_message,
     ts AS created_at, ts AS updated_at, ts AS scheduled_at FROM events)"""
+_FINE = f"(SELECT j.* REPLACE ('user_' || user_id || '_' || CAST(floor(event_id / 24) AS BIGINT) || '_' || event_id % 8 AS entity_type) FROM {_JOBS} j JOIN events ON id = event_id)"
 _ACTIVE = "('Pending', 'Running', 'Waiting', 'Retry')"
 _STORED = f"(SELECT * FROM ({_fetched('customer')}) WHERE key % 10 < 7)"
 _EVERY = {s: f"count(*) FILTER (status = '{s}')" for s in ("Pending", "Running", "Retry", "Completed", "Failed", "Waiting")}
@@ -123,8 +124,8 @@ SQL = {
     "enqueue_dedup": f"""
         SELECT row_number() OVER (ORDER BY entity_type) AS id, entity_type, payload, 'Pending' AS status, 0 AS attempts, 3 AS max_attempts, {_NOW} AS created_at,
                {_NOW} - INTERVAL 10 SECOND AS scheduled_at
-        FROM (SELECT 'user_' || user_id AS entity_type, min(props) AS payload FROM events WHERE event_type = 'click' GROUP BY 1)
-        WHERE entity_type NOT IN (SELECT entity_type FROM {_JOBS} WHERE id % 67 = 0 AND status IN {_ACTIVE})""",
+        FROM (SELECT entity_type, min(payload) AS payload FROM {_FINE} GROUP BY 1)
+        WHERE entity_type NOT IN (SELECT entity_type FROM {_FINE} WHERE status IN {_ACTIVE})""",
     "claim_next": f"""SELECT id, entity_type, payload, status, attempts, max_attempts FROM {_JOBS}
         WHERE status IN ('Pending', 'Waiting', 'Retry') AND scheduled_at <= {_NOW} ORDER BY id LIMIT 1""",
     "claim_state": f"""
@@ -143,8 +144,31 @@ SQL = {
         FROM (SELECT unnest(['non_retryable','retryable','timeout','connection','http','request','os','value','other']) AS kind),
              (SELECT unnest([400,401,403,404,409,422,429,500,501,502,503,504,NULL]) AS code)""",
     "backoff_schedule": """SELECT CAST(n AS INTEGER) AS n, ([300,900,1800,3600,21600,86400])[greatest(n, 1)] AS delay FROM range(-1, 9) r(n)""",
-    "requeue_failed": f"""WITH j AS (SELECT * FROM {_JOBS} WHERE id % 53 = 4)
+    "requeue_failed": f"""WITH j AS (SELECT * FROM {_FINE})
         SELECT max(id) AS id, entity_type FROM j WHERE status = 'Failed' AND entity_type NOT IN (SELECT entity_type FROM j WHERE status IN {_ACTIVE}) GROUP BY entity_type""",
+    "enqueue_counts": f"""SELECT count(*) FILTER (NOT busy) AS enqueued, count(*) FILTER (busy) AS duplicates
+        FROM (SELECT entity_type, bool_or(status IN {_ACTIVE}) AS busy FROM {_FINE} GROUP BY 1)""",
+    "scheduled_enqueue": f"""SELECT true AS auto_sync, row_number() OVER (ORDER BY entity_type) AS id, entity_type, {_NOW} AS scheduled_at
+        FROM (SELECT entity_type FROM {_FINE} GROUP BY 1 HAVING NOT bool_or(status IN {_ACTIVE}))""",
+    "legacy_upsert": f"""SELECT source_id, CASE WHEN key % 10 BETWEEN 3 AND 6 AND key % 2 = 1 THEN 'skipped' WHEN key % 13 = 0 THEN 'failed'
+            WHEN key % 2 = 0 OR key % 10 < 7 THEN 'updated' ELSE 'created' END AS outcome,
+        CASE WHEN key % 2 = 1 AND key % 10 < 3 THEN sha256('stale|' || source_id) WHEN key % 2 = 1 AND key % 10 < 7 THEN hash END AS last_hash,
+        CAST(CASE WHEN key % 2 = 0 AND key % 10 < 7 THEN 2 WHEN key % 2 = 0 OR key % 10 < 7 THEN 1 END AS INTEGER) AS sync_version
+        FROM ({_fetched('customer')})""",
+    "migration_hashes": """SELECT p_partkey, sha256('{"brand": "' || p_brand || '", "more": {"a": "' || p_name || '", "z": "' || p_type || '"}, "size": ' || p_size || '}') AS hash FROM part""",
+    "checkpoint_get": "SELECT strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS last_sync_at FROM events WHERE event_type = 'click'",
+    "file_stamps": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events",
+    "map_defaults": f"""WITH c AS (SELECT entity_type, status, count(*) AS n FROM {_JOBS} GROUP BY 1, 2 HAVING count(*) > 1)
+        SELECT entity_type, coalesce(max(n) FILTER (status = 'Pending'), 0) AS pending, coalesce(max(n) FILTER (status = 'Failed'), -1) AS failed FROM c GROUP BY 1""",
+    "sync_run": f"""WITH o AS (SELECT *, {_outcome()} AS outcome FROM ({_fetched('customer')})), failed AS (SELECT count(*) AS n FROM o WHERE outcome = 'failed'),
+        first AS (SELECT count(*) FILTER (outcome IN ('created', 'updated')) AS n FROM o)
+        SELECT 'run 1' AS name, first.n AS rows, failed.n AS last FROM first, failed UNION ALL SELECT 'run 2', 0, n FROM failed
+        UNION ALL SELECT 'mapping', count(*) FILTER (key % 10 < 7 OR outcome = 'created'), 2 FROM o
+        UNION ALL SELECT 'history', first.n + 2 * failed.n, first.n + 2 * failed.n FROM first, failed UNION ALL SELECT 'dead_letters', 2 * n, 2 * n FROM failed""",
+    "order_lines_nested": f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS customer_id, o_orderstatus AS status,
+        CAST(to_json(coalesce(lines, [])) AS VARCHAR) AS lines, o_totalprice AS total_amount FROM orders LEFT JOIN (
+            SELECT l_orderkey, list({{'line': l_linenumber, 'equipment_id': CAST(l_partkey AS VARCHAR), 'quantity': CAST(l_quantity AS INTEGER), 'price_cents': {_cents('l_extendedprice')}}}
+                ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(l_quantity AS INTEGER), {_cents('l_extendedprice')}) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
     "queue_metrics": f"""SELECT {', '.join(f'{x} AS "{s}"' for s, x in _EVERY.items())} FROM {_JOBS}""",
     "status_metrics": f"""SELECT count(*) AS current_queue, count(*) FILTER (status IN ('Pending', 'Waiting')) AS pending_jobs, {_EVERY['Running']} AS running_jobs,
         {_EVERY['Completed']} AS completed_jobs, {_EVERY['Failed']} AS failed_jobs FROM {_JOBS}""",

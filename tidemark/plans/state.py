@@ -1,25 +1,32 @@
-"""State tables as versioned Parquet folders with a pointer to the current one."""
+"""State tables as versioned Parquet folders with a pointer to the current version."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import struct
 
+#: Folders that a table may consist of; an append beyond that writes the table anew.
+MOST = 200
+
 
-class StateTable:
-    """A table under one folder of any file system that Spark reads.
+class State:
+    """Some tables under one folder of any file system that Spark reads, which all change together.
 
-    A new version is written beside the old one, and then the pointer, a file of its own, is renamed into
-    place; so readers see one version or the other, and a failed write leaves the old one.
+    A version is a small file that names the folders of every table. A change writes its rows to new folders
+    and then the next version, which is renamed into place: readers see all of it or nothing, and a change that
+    breaks off leaves the version before. Appending writes the new rows alone.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), struct(schema)
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str]):
+        self.spark, self.path, self.schemas = spark, path.rstrip("/"), {name: struct(s) for name, s in schemas.items()}
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._p("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _p(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -34,31 +41,86 @@ class StateTable:
         """Number of the version that holds; 0 before the first."""
         return max(self.versions(), default=0)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.current() if version is None else version
+    def _known(self, version: int) -> dict:
         if not version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}")
+            return {"folders": {}, "notes": {}}
+        file = self._fs.open(self._p(f"current-{version}"))
+        try:
+            return json.loads(bytes(file.readAllBytes()).decode())
+        finally:
+            file.close()
 
-    def write(self, rows: DataFrame, keep: int = 3) -> int:
-        """Make rows the next version and return its number; all but the last few are deleted."""
-        version = self.current() + 1
-        target = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
-        rows.select(*target).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self._fs.create(self._p(f"next-{version}"), True).close()
-        self._fs.rename(self._p(f"next-{version}"), self._p(f"current-{version}"))
-        for old in self.versions()[:-keep]:
+    def notes(self) -> dict:
+        """What the current version's change noted besides its rows."""
+        return self._known(self.current())["notes"]
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        folders = self._known(self.current() if version is None else version)["folders"].get(name)
+        if not folders:
+            return self.spark.createDataFrame([], self.schemas[name])
+        return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def change(self, written: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, notes: dict | None = None, keep: int = 3) -> int:
+        """The next version: some tables written anew, rows added to others. Returns its number; all but the last few go."""
+        version = self.current()
+        known = self._known(version)
+        folders = dict(known["folders"])
+        for adds, tables in ((False, written or {}), (True, appended or {})):
+            for name, rows in tables.items():
+                rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]])
+                before = folders.get(name, []) if adds else []
+                if len(before) >= MOST:
+                    rows, before = self.read(name, version).unionByName(rows), []
+                folder = f"{name}-{uuid.uuid4().hex}"
+                rows.write.parquet(f"{self.path}/{folder}")
+                folders[name] = [*before, folder]
+        version += 1
+        file = self._fs.create(self._p(f"next-{version}"), True)
+        file.write(bytearray(json.dumps({"folders": folders, "notes": {**known["notes"], **(notes or {})}}).encode()))
+        file.close()
+        if not self._fs.rename(self._p(f"next-{version}"), self._p(f"current-{version}")):
+            raise RuntimeError(f"another change has made version {version} of {self.path}")
+        versions = self.versions()
+        used = {f for v in versions[-keep:] for some in self._known(v)["folders"].values() for f in some}
+        for old in versions[:-keep]:
+            gone = {f for some in self._known(old)["folders"].values() for f in some} - used
             self._fs.delete(self._p(f"current-{old}"), False)
-            self._fs.delete(self._p(f"v{old}"), True)
+            for folder in gone:
+                self._fs.delete(self._p(folder), True)
         return version
 
+    def table(self, name: str) -> Table:
+        return Table(self, name)
+
+
+class Table:
+    """One table of a state, which may be changed by itself."""
+
+    def __init__(self, state: State, name: str):
+        self.state, self.name = state, name
+        self.versions, self.current = state.versions, state.current
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.state.read(self.name, version)
+
+    def write(self, rows: DataFrame, keep: int = 3) -> int:
+        """Make rows the table's next version and return its number."""
+        return self.state.change(written={self.name: rows}, keep=keep)
+
     def append(self, rows: DataFrame) -> int:
-        """Add rows to the table."""
-        return self.write(self.read().unionByName(rows.select(*self.schema.names)))
+        """Add rows to the table; what it holds is not written again."""
+        return self.state.change(appended={self.name: rows})
 
     def backup(self, folder: str, now) -> str:
         """Copy the current version to a folder named by the time (UTC)."""
-        name = self.spark.range(1).select(S.file_stamp(F.lit(now)).alias("s")).first().s
+        name = self.state.spark.range(1).select(S.file_stamp(F.lit(now)).alias("s")).first().s
         path = f"{folder.rstrip('/')}/state_backup_{name}"
         self.read().write.mode("overwrite").parquet(path)
         return path
+
+
+class StateTable(Table):
+    """A table that has a folder, and so versions, of its own."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        super().__init__(State(spark, path, {"rows": schema}), "rows")

@@ -3,42 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cdc
 from ..schemas import ALIASES, DEAD_LETTERS, ENTITY_ORDER, HISTORY, MAPPING
-from .state import StateTable
+from .state import State
+
+
+COUNTERS = "entity_type string, processed long, created long, updated long, failed long, skipped long"
 
 
-@dataclass
 class Store:
-    """The tables that a sync reads and writes."""
+    """The tables that a sync reads and writes; one version covers all three."""
 
-    mapping: StateTable
-    history: StateTable
-    dead_letters: StateTable
+    def __init__(self, state: State):
+        self.state = state
+        self.mapping, self.history, self.dead_letters = (state.table(name) for name in ("mapping", "history", "dead_letters"))
 
     @classmethod
     def at(cls, spark, path: str) -> Store:
-        return cls(*(StateTable(spark, f"{path}/{name}", schema) for name, schema in (("mapping", MAPPING), ("history", HISTORY), ("dead_letters", DEAD_LETTERS))))
+        return cls(State(spark, path, {"mapping": MAPPING, "history": HISTORY, "dead_letters": DEAD_LETTERS}))
 
 
 def sync(fetched: DataFrame, store: Store, now: Column, order: str = "pos") -> DataFrame:
     """Apply fetched records (with the outcomes of their pushes) to the store; returns the counters.
 
-    fetched must give the same rows whenever it is read: push first, write, and pass what was written. The
-    mapping goes last, so that a run which broke off before is simply done again.
+    fetched must give the same rows whenever it is read: push first, write, and pass what was written. Mapping,
+    history and dead letters change together, so a run which broke off before has changed nothing and is simply
+    done again. The last ids are noted with the version, so that no table is read for them.
     """
-    outcomes = cdc.classify(fetched, store.mapping.read(), [order])
-    last = lambda table: table.read().agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first().id
-    store.history.append(cdc.history(outcomes, now, [order, "entity_type", "source_id"], last(store.history) + 1))
-    store.dead_letters.append(cdc.dead_letters(outcomes, now, [order, "entity_type", "source_id"], last(store.dead_letters) + 1))
+    outcomes, notes = cdc.classify(fetched, store.mapping.read(), [order]), store.state.notes()
     counters = cdc.stats(outcomes, ["entity_type"]).collect()
-    store.mapping.write(cdc.merge_mapping(store.mapping.read(), outcomes, order, now))
-    return fetched.sparkSession.createDataFrame(counters, "entity_type string, processed long, created long, updated long, failed long, skipped long")
+    lines, letters = (notes.get(name, 0) for name in ("history", "dead_letters"))
+    by = [order, "entity_type", "source_id"]
+    store.state.change(
+        written={"mapping": cdc.merge_mapping(store.mapping.read(), outcomes, order, now)},
+        appended={"history": cdc.history(outcomes, now, by, lines + 1), "dead_letters": cdc.dead_letters(outcomes, now, by, letters + 1)},
+        notes={"history": lines + sum(r.created + r.updated + r.failed for r in counters), "dead_letters": letters + sum(r.failed for r in counters)},
+    )
+    return fetched.sparkSession.createDataFrame(counters, COUNTERS)
 
 
 def execute(name: str, fetch: Callable[[str], DataFrame], store: Store, now: Column) -> DataFrame:
