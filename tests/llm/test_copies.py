@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import fingerprints, minhash, repeats, vectors
+from tidemark.llm import fingerprints, minhash, repeats, toxicity, vectors
 from tidemark.llm.graph import components
 
 
@@ -500,14 +502,62 @@ def test_texts_stay_valid(spark):
     assert got[1].startswith("x") and "�" not in got[2] and got[2].startswith("yy") and got[2].endswith("z")
 
 
+def toxic_by_hand(text, model):
+    """The score of the worst window of words, each the mean of its subwords' numbers."""
+    words = [w for w, _ in groupby(regex.findall(r"\p{L}+", (text or "").lower()))]
+    if not words or not model:
+        return 0.0
+
+    def word(w):
+        grams = ["<" + w + ">"] + [("<" + w + ">")[i : i + k] for k in toxicity.LENGTHS for i in range(len(w) + 3 - k)]
+        ids = [zlib.crc32(g.encode("utf-32-le"), k if i else 0) % toxicity.BUCKETS for i, (g, k) in enumerate(zip(grams, [0, *map(len, grams[1:])]))]
+        return float(np.mean(model[0][ids], dtype="float64"))
+
+    numbers = [word(w) for w in words]
+    k = min(toxicity.WINDOW, len(numbers))
+    best = max(sum(numbers[i : i + k]) / k for i in range(len(numbers) - k + 1))
+    return 1 / (1 + math.exp(-(best + model[1])))
+
+
+def labelled(spark, path):
+    """A label for most documents of the fixture, of both classes."""
+    rows = [(i * 3 + 1, 1, int(i % 4 == 0)) for i in range(70)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+
+
+def test_toxicity_by_hand(spark, docs, texts, tmp_path):
+    labelled(spark, tmp_path)
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.learn(docs, labels)
+    assert model is not None
+    rows = {r.doc_id: r for r in toxicity.predictions(docs, labels).collect()}
+    for i, text in enumerate(texts):
+        r = rows[i * 3 + 1]
+        assert r.score == pytest.approx(toxic_by_hand(text, model), abs=1e-4) and r.predicted == (r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert {r.predicted for r in rows.values()} == {0, 1}
+
+
+def kept_characters(text, gone):
+    """What is left of a text, without the characters of which every byte goes."""
+    out, at = [], 0
+    for c in text:
+        n = len(c.encode())
+        if not gone[at : at + n].all():
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     """Every stage, rerun on what its predecessor kept, against brute force."""
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    labelled(spark, tmp_path)
     sf, now = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = {}
+    kept, model = {}, None
     for name, stage in corpus_pipeline.STAGES:
+        if name == "toxicity":
+            model = toxicity.learn(now, spark.read.parquet(str(tmp_path / "labels.parquet")))
         before, now = now, stage(spark, now, sf)
         if name != "packing":
             assert now.columns == before.columns
@@ -515,13 +565,28 @@ def test_pipeline(spark, docs, texts, tmp_path):
             now = spark.read.parquet(str(tmp_path / name))
             kept[name] = {r.doc_id: r.text for r in now.collect()}
     all_texts = {i * 3 + 1: t for i, t in enumerate(texts)}
-    assert set(kept["language"]) == {k for k, t in all_texts.items() if t and any(c.isalpha() for c in t)}
-    assert kept["toxicity"] == kept["language"]
+    assert set(kept["language"]) == {k for k, t in all_texts.items() if regex.search(r"\p{L}", t or "")}
+    assert kept["toxicity"] == {k: t for k, t in kept["language"].items() if toxic_by_hand(t, model) < 0.3}
+    assert 10 < len(kept["toxicity"]) < len(kept["language"])
+    ids = sorted(kept["toxicity"])
+    sets = dict(zip(ids, weighted_sets([kept["toxicity"][k] for k in ids])))
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if likeness(sets[a], sets[b]) >= 0.8 or kept["toxicity"][a] == kept["toxicity"][b]]
+    assert pairs and set(kept["near_copies"]) == set(unions(ids, pairs).values())
     want = removed(kept["near_copies"].items())
-    for k, text in kept["repeats"].items():
-        data, gone = want[k]
-        assert text == bytes(np.frombuffer(data, "u1")[~gone]).decode() or any(b > 127 for b in data)
-    pieces = Counter(r.doc_id for r in now.collect())
-    assert set(pieces) == set(kept["repeats"])
-    assert corpus_pipeline.run(spark, sf).count() == sum(pieces.values())
+    assert kept["repeats"] == {k: kept_characters(kept["near_copies"][k], gone) for k, (_, gone) in want.items()}
+    rows = now.collect()
+    assert {r.doc_id for r in rows} == set(kept["repeats"])
+    assert corpus_pipeline.run(spark, sf).count() == len(rows)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_of_odd_rows(spark, odd, empty, tmp_path):
+    """Null doc_ids, repeated rows, clashing columns and empty tables, stage by stage."""
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = odd.withColumns({x: F.lit("mine") for x in ("_language", "_score", "_gone", "_repeated_spans_", "_row_id", "copy")})
+    n = {"language": 4, "toxicity": 6, "near_copies": 5, "repeats": 6, "packing": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, frame, str(tmp_path))
+        assert got.count() == n[name] and stage(spark, empty, str(tmp_path)).count() == 0
+        if name != "packing":
+            assert got.columns == frame.columns and {r._score for r in got.collect()} == {"mine"}
