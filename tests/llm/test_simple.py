@@ -28,7 +28,7 @@ def test_language_by_hand(real):
     profiles = language.learn(real.where(~language.held_out()))
     ranker = language.Ranker(profiles, language.TOP)
     for text in [r.text for r in real.orderBy("doc_id").limit(15).collect()]:
-        counts = Counter(g for w in language.WORD.findall(text.lower()) for g in language.grams(w))
+        counts = Counter(g for w in language.words(text.lower()) for g in language.grams(w))
         own = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], language.ordinal(x[0])))][: language.TOP]
         far = {}
         for name, profile in profiles.items():
@@ -63,7 +63,7 @@ def test_language_of_numbers(spark, real):
     profiles = language.learn(real.where(~language.held_out()))
     got = {r.doc_id: r.language.lang_pred for r in language.identify(rows, profiles).collect()}
     assert got[7000001] == got[7000003] == "und" != got[7000002]
-    assert [language.WORD.findall(t) for t in ("a½b", "x_y", "一二", "é1ß")] == [["a", "b"], ["x", "y"], ["一二"], ["é", "ß"]]
+    assert [language.words(t) for t in ("a½b", "x_y", "一二", "é1ß")] == [["a", "b"], ["x", "y"], ["一二"], ["é", "ß"]]
 
 
 def test_language_ties():

@@ -5,22 +5,24 @@ from __future__ import annotations
 import json
 import math
 import re
-import sys
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import store
 
-__all__ = ["dense_rank_ids", "letters", "runs", "sampled", "store", "table"]
+__all__ = ["dense_rank_ids", "runs", "sampled", "store", "table", "words"]
 
 
-@lru_cache(maxsize=1)
-def letters() -> re.Pattern:
-    """A pattern of runs of letters (Unicode's categories L): no digits, and no other signs of numbers such as a half."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def words(text: str) -> list[str]:
+    """The runs of letters (Unicode's categories L) in a text: no digits, and no other signs of numbers such as a half."""
+    found = WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,9 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import letters, sampled
+from .common import sampled, words
 
-WORD = letters()
 LENGTHS = (1, 2, 3, 4)
 #: n-grams of a profile, and of a text's own ranking.
 TOP = 400
@@ -55,11 +54,11 @@ def learn(rows: DataFrame, docs: int = DOCS, top: int = TOP) -> dict[str, list[s
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                words: Counter = Counter()
+                spoken: Counter = Counter()
                 for text in part["text"]:
-                    words.update(WORD.findall(text.lower()))
+                    spoken.update(words(text.lower()))
                 found: Counter = Counter()
-                for word, n in words.items():
+                for word, n in spoken.items():
                     for gram in grams(word):
                         found[gram] += n
                 yield pd.DataFrame({"lang": lang, "gram": list(found), "n": np.fromiter(found.values(), "int64", len(found))})
@@ -120,14 +119,14 @@ class Ranker:
         self.words = Spelled(self.grams)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text and self.names else None
-        if not words:
+        spoken = Counter(words(text.lower())) if text and self.names else None
+        if not spoken:
             return "und", 0.0
         if len(self.words) > MEMO:
             self.forget()
-        ids = list(map(self.words.__getitem__, words))
+        ids = list(map(self.words.__getitem__, spoken))
         sizes = np.fromiter(map(len, ids), "int64", len(ids))
-        times = np.repeat(np.fromiter(words.values(), "int64", len(ids)), sizes)
+        times = np.repeat(np.fromiter(spoken.values(), "int64", len(ids)), sizes)
         together = np.concatenate(ids)
         if 8 * len(together) > len(self.grams):  # counting in place beats sorting
             every = np.bincount(together, times)

@@ -29,9 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import letters, sampled
+from .common import sampled, words
 
-WORD = letters()
 LENGTHS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -56,7 +55,7 @@ def subwords(word: str) -> list[int]:
 
 def words_of(text: str) -> list[str]:
     """The words of a text; one that is repeated at once counts once, for saying it again makes it no worse."""
-    return [word for word, _ in groupby(WORD.findall(text.lower()))]
+    return [word for word, _ in groupby(words(text.lower()))]
 
 
 def held_out(key: str = "doc_id"):
