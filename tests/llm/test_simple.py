@@ -16,6 +16,7 @@ from tidemark.llm.common import dense_rank_ids, runs
 
 DATA = "/root/testdata/sf0.01"
 JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
@@ -171,80 +172,74 @@ def test_packing_odd(odd, empty):
     assert packing.packed(empty, JSON, PATTERN).count() == 0
 
 
-def test_lm_by_hand(docs, texts):
-    """Losses are those of trigram counts kept in dictionaries."""
-    target = docs.where("doc_id % 2 = 0")
-    got = {r.doc_id: r for r in lm.score(docs, target).collect()}
-    of = lm.vocabulary(docs)
-    sides = [Counter(), Counter()]
-    seen = {}
-    for i, text in enumerate(texts):
-        symbols = [0, 0, *[int(of[ord(c)]) for c in (text or "").lower()]]
-        seen[i * 3 + 1] = list(zip(symbols, symbols[1:], symbols[2:]))
-        sides[(i * 3 + 1) % 2 == 0].update(seen[i * 3 + 1])
-    base = lm.SYMBOLS + 1
-
-    def loss(counts, tri):
-        two, one, c2, c1 = Counter(), Counter(), Counter(), Counter()
-        for (a, b, c), n in counts.items():
-            two[b, c] += n
-            one[c] += n
-            c2[a, b] += n
-            c1[b] += n
-        part = lambda n, whole: n / whole if whole else 1 / base
-        total = sum(counts.values())
-        return [-math.log(0.6 * part(counts[a, b, c], c2[a, b]) + 0.25 * part(two[b, c], c1[b]) + 0.1 * part(one[c], total) + 0.05 / base) for a, b, c in tri]
-
-    for key in (1, 4, 100, max(seen)):
-        near, far = (loss(s, seen[key]) for s in (sides[1], sides[0]))
-        n = len(seen[key])
-        assert got[key].n_tokens == n
-        if n:
-            assert math.isclose(got[key].target_loss, sum(near) / n, rel_tol=1e-4) and math.isclose(got[key].score, (sum(near) - sum(far)) / n, abs_tol=1e-4)
-    assert all(r.n_tokens == 0 and r.score == 0 for r in got.values() if r.doc_id in [i * 3 + 1 for i, t in enumerate(texts) if not t])
+def lm_by_hand(items, chosen):
+    """Losses of bigram counts kept in dictionaries, a row's own counts left out: (target, background) by place."""
+    tool = lm.encoder(RANKS, PATTERN)
+    grams = []
+    for _, text in items:
+        ids = tool.encode_ordinary(text or "")
+        grams.append(list(zip([-1, *ids], [*ids, -1])) if ids else [])
+    outcomes = len({b for g in grams for _, b in g})
+    part = lambda n, whole: n / whole if whole else 1 / outcomes
+    out = []
+    for i, mine in enumerate(grams):
+        pair = []
+        for side in (True, False):
+            two = Counter(x for j, g in enumerate(grams) if j != i and (items[j][0] in chosen) == side for x in g)
+            one, before = Counter(), Counter()
+            for (a, b), n in two.items():
+                one[b] += n
+                before[a] += n
+            total = sum(two.values())
+            pair.append(sum(-math.log(0.6 * part(two[a, b], before[a]) + 0.3 * part(one[b], total) + 0.1 / outcomes) for a, b in mine) / max(1, len(mine)))
+        out.append((max(0, len(mine) - 1), *pair))
+    return out
+
+
+def lm_rows(frame):
+    return sorted((r.doc_id, r.n_tokens, round(r.target_loss, 4), round(r.background_loss, 4)) for r in frame.collect())
+
+
+@pytest.mark.parametrize("hot", [1, 200, lm.HOT])
+def test_lm_by_hand(docs, texts, hot):
+    """Whatever is broadcast, losses are those of counts without the document itself."""
+    items = [(i * 3 + 1, t) for i, t in enumerate(texts)]
+    got = lm.score(docs, docs.where("doc_id % 2 = 0"), RANKS, PATTERN, hot).collect()
+    want = dict(zip((k for k, _ in items), lm_by_hand(items, {k for k, _ in items if k % 2 == 0})))
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    for r in got:
+        n, near, far = want[r.doc_id]
+        assert r.n_tokens == n and math.isclose(r.target_loss, near, abs_tol=1e-5) and math.isclose(r.background_loss, far, abs_tol=1e-5)
+        assert math.isclose(r.score, near - far, abs_tol=1e-5)
 
 
 def test_lm_of_many_characters(spark):
-    """Every character counts as itself, however many there are; rows that occur twice are scored like others."""
+    """Texts without spaces in another script; a row that occurs twice meets its copy."""
     rng = random.Random(4)
     texts = ["".join(chr(0x4E00 + min(rng.randrange(900), rng.randrange(900))) if rng.random() < 0.8 else rng.choice("abc ") for _ in range(rng.randint(1, 300))) for _ in range(40)]
     items = [*enumerate(texts), (3, texts[3])]
     rows = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
-    tri = {i: list(zip([0, 0, *map(ord, t)], [0, *map(ord, t)], map(ord, t))) for i, t in enumerate(texts)}
-    base = len(set("".join(texts)))
-    assert base > 300
-
-    def losses(side):
-        orders = [Counter() for _ in range(5)]
-        for i, _ in items:
-            for a, b, c in tri[i] if i % 4 == side or (side and i % 4) else ():
-                for counts, key in zip(orders, ((a, b, c), (a, b), (b, c), b, c)):
-                    counts[key] += 1
-        three, ab, two, one, last = orders
-        part = lambda n, whole: n / whole if whole else 1 / base
-        total = sum(last.values())
-        return {
-            i: sum(-math.log(0.6 * part(three[a, b, c], ab[a, b]) + 0.25 * part(two[b, c], one[b]) + 0.1 * part(last[c], total) + 0.05 / base) for a, b, c in x) / len(x)
-            for i, x in tri.items()
-        }
-
-    near, far = losses(0), losses(1)
-    got = lm.score(rows, rows.where("doc_id % 4 = 0")).collect()
+    want = lm_by_hand(items, set(range(0, 40, 4)))
+    got = lm.score(rows, rows.where("doc_id % 4 = 0"), RANKS, PATTERN, 500).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in items)
     for r in got:
-        assert r.n_tokens == len(texts[r.doc_id])
-        assert math.isclose(r.target_loss, near[r.doc_id], rel_tol=1e-4) and math.isclose(r.background_loss, far[r.doc_id], rel_tol=1e-4)
+        n, near, far = want[r.doc_id]
+        assert r.n_tokens == n and math.isclose(r.target_loss, near, abs_tol=1e-5) and math.isclose(r.background_loss, far, abs_tol=1e-5)
+    lone = [r.background_loss for r in got if r.doc_id % 4 and r.doc_id != 3]
+    assert [r.background_loss for r in got if r.doc_id == 3][0] < min(lone)
 
 
 def test_lm_tells_languages_apart(real):
     french = real.where("lang = 'fr'")
-    rows = lm.score(real, french).join(real.select("doc_id", "lang"), "doc_id").where("n_tokens > 50").collect()
+    rows = lm.score(real, french, RANKS, PATTERN).join(real.select("doc_id", "lang"), "doc_id").where("n_tokens > 50").collect()
     assert sum((r.score < 0) == (r.lang == "fr") for r in rows) > 0.97 * len(rows)
 
 
 def test_lm_odd(odd, empty):
-    assert lm.score(odd, odd.where("doc_id = 4")).count() == 6
-    assert lm.score(empty, empty).count() == 0 and lm.score(odd, empty.select("doc_id")).count() == 6
+    got = lm_rows(lm.score(odd, odd.where("doc_id = 4"), RANKS, PATTERN).fillna(-1, ["doc_id"]))
+    items = [(r.doc_id, r.text) for r in odd.collect()]
+    assert got == sorted((-1 if k is None else k, n, round(a, 4), round(b, 4)) for (k, _), (n, a, b) in zip(items, lm_by_hand(items, {4})))
+    assert lm.score(empty, empty, RANKS, PATTERN).count() == 0 and lm.score(odd, empty.select("doc_id"), RANKS, PATTERN).count() == 6
 
 
 LABELS = "doc_id LONG, quality INT, toxic INT"

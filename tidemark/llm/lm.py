@@ -1,219 +1,176 @@
 """Cross-entropy difference under matched language models (operator 5).
 
-Two character trigram models, of the target documents and of all others, share one vocabulary: all
-characters of the whole corpus in lower case, and a symbol for the start of a text. Both are smoothed alike, by interpolating the three orders and the uniform
-distribution, so only their counts differ. A document's score is its mean loss per token (in nats) under
-the target model less that under the background model: the lower, the closer to the target.
-
-Counts cover all documents whole. Trigrams of the SYMBOLS most frequent characters are counted in a dense
-table, and their losses are broadcast. All others grow with the corpus: they are a Spark table by trigram,
-added up in each chunk of texts and then by trigram, and their losses are joined to the distinct ones of
-each document. What is kept of single characters is bounded by Unicode. The uniform distribution is over
-all characters that occur, SYMBOLS + 1 at least.
-
-Null and empty texts have no token, losses and score 0. Without target (or background) documents that
-model is uniform. A null doc_id is never a target.
+Two bigram models, of the target documents and of all others (the background), share one vocabulary: the tokens of a
+byte-level BPE file, and a symbol for the start and the end of a text. Both have the same order and are smoothed
+alike, by interpolating bigrams, single tokens and the uniform distribution over all tokens that occur, so only their
+counts differ. Counts are of all documents whole. A document is scored by models without it: its own counts
+are taken out of the side that it belongs to. Its score is its mean loss per token (in nats; the end counts as one)
+under the target model less that under the background model: the lower, the closer to the target.
+
+Bigram counts grow with the corpus: they are a Spark table, added up in each chunk of texts and then by bigram. Those
+with at least one in HOT of all bigrams, so HOT at most at any size, are broadcast, and so are the counts of single
+tokens, of which there are no more than the vocabulary file has. Each document's other bigrams are joined to
+the table; none of these holds more than one in HOT of the rows, so no key is hot. The split has no influence on results.
+
+Null and empty texts have no token, losses and score 0, and count nowhere. Without target (or background) documents
+besides the one that is scored that model is uniform. A null doc_id is never a target; of rows with one doc_id all are,
+or none. Each of several equal rows counts, so the others stay when one is scored. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
 
-#: Characters whose trigrams are counted in a dense table; the others' are in a Spark table.
-SYMBOLS = 126
-START, REST = 0, 1
-WEIGHTS = (0.6, 0.25, 0.1, 0.05)
-#: Characters that a task counts at a time.
-CHUNK = 1 << 20
+#: Shares of bigrams, single tokens and the uniform distribution.
+WEIGHTS = (0.6, 0.3, 0.1)
+#: Bigrams with at least one in so many of all are broadcast (6 MB), the others joined.
+HOT = 1 << 18
+#: Tokens that a task counts at a time.
+CHUNK = 1 << 21
+#: The symbol for start and end; token ids follow from 1.
+EDGE = 0
+LOW = (1 << 32) - 1
 
 
-def code_points(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str):
+    """The vocabulary of a tiktoken file, ready to encode."""
+    import tiktoken
 
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-def characters(texts: DataFrame) -> np.ndarray:
-    """How often each code point occurs."""
 
-    def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0x110000, "int64")
-        for batch in batches:
-            for text in batch["text"]:
-                found, n = np.unique(code_points(text), return_counts=True)
-                total[found] += n
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"point": hit, "n": total[hit]})
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and symbols (token ids from 1) of every row."""
 
-    counts = texts.select("text").mapInPandas(counted, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(0x110000, "int64")
-    out[counts["point"]] = counts["n"]
-    return out
+    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = encoder(path, pattern)
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "symbols": [np.array(tool.encode_ordinary(t or ""), "int32") + 1 for t in batch["text"]]})
 
+    # an id may be null, which a pandas column of integers can't tell
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, "doc_id string, symbols array<int>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
-def most_frequent(counts: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
-    """Symbol by code point: REST for all but the most frequent. Equally frequent characters go by code point."""
-    best = np.argsort(-counts, kind="stable")[: min(symbols, np.count_nonzero(counts))]
-    of = np.full(0x110000, REST, "uint8")
-    of[best] = np.arange(2, 2 + len(best))
-    return of
 
+def pairs(symbols: np.ndarray) -> np.ndarray:
+    """The bigrams of a text, its edges included: one symbol in the upper 32 bits, its successor in the lower ones."""
+    whole = np.concatenate([[EDGE], symbols, [EDGE]]).astype("int64")
+    return (whole[:-1] << 32) | whole[1:]
 
-def vocabulary(texts: DataFrame, symbols: int = SYMBOLS) -> np.ndarray:
-    return most_frequent(characters(texts), symbols)
 
+def bigrams(rows: DataFrame) -> DataFrame:
+    """How often each bigram is in background and target; rows have symbols and target."""
 
-def numbered(texts: Iterable[str | None], of: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Trigram numbers and the text that each is of, some texts at a time; and the same for those with REST, by code points.
+    def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[list, list] = ([], [])
 
-    A trigram of code points has 21 bits for each, counted from 1; 0 is the start of a text.
-    """
-    base = SYMBOLS + 2
-    symbol = np.append(np.uint8(START), of)
-
-    def flush(some: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
-        point = np.concatenate([x for _, points in some for x in (np.zeros(2, "<u4"), points + np.uint32(1))])
-        symbols = symbol[point].astype("int32")
-        owner = np.repeat([i for i, _ in some], [2 + len(p) for _, p in some])
-        cell = (symbols[:-2] * base + symbols[1:-1]) * base + symbols[2:]
-        real = symbols[2:] != START
-        odd = symbols == REST
-        odd = np.flatnonzero(real & (odd[:-2] | odd[1:-1] | odd[2:]))
-        wide = (point[odd].astype("int64") << 42) | (point[odd + 1].astype("int64") << 21) | point[odd + 2]
-        return cell[real], owner[2:][real], wide, owner[2:][odd]
-
-    held, size = [], 0
-    for i, text in enumerate(texts):
-        points = code_points(text)
-        if len(points):
-            held.append((i, points))
-            size += len(points)
-        if size >= CHUNK:
-            yield flush(held)
-            held, size = [], 0
-    if held:
-        yield flush(held)
-
-
-def trigrams(texts: DataFrame, of: np.ndarray) -> tuple[np.ndarray, DataFrame]:
-    """Counts of (background, target) by trigram, from columns text and target: the dense ones, and a table of those with REST."""
-    cells = (SYMBOLS + 2) ** 3
-    shared = texts.sparkSession.sparkContext.broadcast(of)
+        def flush() -> pd.DataFrame:
+            parts = []
+            for side in (0, 1):
+                if held[side]:
+                    cell, n = np.unique(np.concatenate(held[side]), return_counts=True)
+                    parts.append(pd.DataFrame({"cell": cell, "background": n * (1 - side), "target": n * side}))
+                    held[side].clear()
+            return pd.concat(parts)
 
-    def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, cells), "int64")
+        size = 0
         for batch in batches:
-            for side in (0, 1):
-                for cell, _, wide, _ in numbered(batch["text"][batch["target"] == bool(side)], shared.value):
-                    total[side] += np.bincount(cell, minlength=cells)
-                    found, n = np.unique(wide, return_counts=True)
-                    yield pd.DataFrame({"cell": ~found, "background": n * (1 - side), "target": n * side})
-        hit = np.flatnonzero(total.any(0))
-        yield pd.DataFrame({"cell": hit, "background": total[0][hit], "target": total[1][hit]})
-
-    both = store(
-        texts.select("text", "target").mapInPandas(counted, "cell long, background long, target long")
+            for symbols, target in zip(batch["symbols"], batch["target"]):
+                if len(symbols):
+                    held[int(target)].append(pairs(symbols))
+                    size += len(symbols)
+                if size >= CHUNK:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    return (
+        rows.select("symbols", "target").mapInPandas(counted, "cell long, background long, target long")
         .groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     )
-    rows = both.where("cell >= 0").toPandas()
-    out = np.zeros((2, cells))
-    out[0][rows["cell"]], out[1][rows["cell"]] = rows["background"], rows["target"]
-    return out, both.where("cell < 0").select(F.bitwise_not("cell").alias("cell"), "background", "target")
-
 
-def losses(counts: np.ndarray, outcomes: int = SYMBOLS + 1) -> np.ndarray:
-    """The loss of every trigram's last symbol, in nats; 0 for trigrams with REST, which `wide_losses` has."""
-    base = SYMBOLS + 2
-    three = counts.reshape(base, base, base)
-    two, one = three.sum(0), three.sum((0, 1))
 
-    def given(table: np.ndarray) -> np.ndarray:
-        whole = table.sum(-1, keepdims=True)
-        return np.divide(table, whole, out=np.full(table.shape, 1 / outcomes), where=whole > 0)
+def share(part: np.ndarray, whole: np.ndarray, outcomes: int) -> np.ndarray:
+    """part / whole, and the uniform distribution where the whole is nothing."""
+    return np.divide(part, whole, out=np.full(len(part), 1 / outcomes), where=whole > 0)
 
-    a, b, c, d = WEIGHTS
-    out = -np.log(a * given(three) + b * given(two)[None] + c * given(one)[None, None] + d / outcomes).astype("float32")
-    out[REST], out[:, REST], out[:, :, REST] = 0, 0, 0
-    return out.ravel()
 
+def priced(symbols: np.ndarray, target: bool, known: tuple) -> tuple:
+    """Losses of a text under (background, target) without itself, its bigrams that are not broadcast taken as new to both.
 
-def wide_losses(wide: DataFrame, counts: np.ndarray, of: np.ndarray, outcomes: int) -> DataFrame:
-    """cell, far and near: background and target loss of every trigram with REST.
-
-    Sums over a context with REST are of this table alone; those over a context without are in the dense counts.
+    For these it also gives cell, times, and a factor for each side: each other occurrence of the bigram
+    raises its probability by that factor, relative to that of a new one.
     """
-    base, sides = SYMBOLS + 2, ("background", "target")
-    part = wide.withColumns({"ab": F.shiftright("cell", 21), "bc": F.col("cell").bitwiseAND((1 << 42) - 1)})
-    for by in ("ab", "bc"):
-        part = part.withColumns({f"{by}_{side}": F.sum(side).over(Window.partitionBy(by)) for side in sides})
-    alone = {}
-    for name, at in (("b", 21), ("c", 0)):
-        found = wide.groupBy(F.shiftright("cell", at).bitwiseAND((1 << 21) - 1).alias("point")).agg(*[F.sum(s).alias(s) for s in sides]).toPandas()
-        alone[name] = np.zeros((2, 0x110001))
-        alone[name][:, found["point"]] = found[list(sides)].to_numpy("float64").T
-    dense = counts.reshape(2, base, base, base)
-    shared = wide.sparkSession.sparkContext.broadcast((of, dense.sum(3), dense.sum(1), alone))
-
-    def priced(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, pairs, lasts, alone = shared.value
-        symbol = np.append(np.uint8(START), of)
-        for batch in batches:
-            cell, out = batch["cell"].to_numpy(), []
-            b, c = (cell >> 21) & ((1 << 21) - 1), cell & ((1 << 21) - 1)
-            x, y, z = symbol[cell >> 42], symbol[b], symbol[c]
-            for i, side in enumerate(sides):
-                two = lasts[i]
-                before = np.where((x == REST) | (y == REST), batch[f"ab_{side}"], pairs[i][x, y])
-                last = np.where((y == REST) | (z == REST), batch[f"bc_{side}"], two[y, z])
-                middle = np.where(y == REST, alone["b"][i][b], two.sum(1)[y])
-                single = np.where(z == REST, alone["c"][i][c], two.sum(0)[z])
-                given = [np.divide(n, whole, out=np.full(len(batch), 1 / outcomes), where=whole > 0) for n, whole in
-                         ((batch[side].to_numpy("float64"), before), (last, middle), (single, np.full(len(batch), two.sum())))]
-                out.append(-np.log(sum(w * g for w, g in zip(WEIGHTS, given)) + WEIGHTS[3] / outcomes))
-            yield pd.DataFrame({"cell": cell, "far": out[0], "near": out[1]})
-
-    return part.mapInPandas(priced, "cell long, far double, near double")
-
-
-def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    single, hot, counts, outcomes = known
+    a, b, c = WEIGHTS
+    cell, times = np.unique(pairs(symbols), return_counts=True)
+    own, n = np.unique(np.append(symbols, EDGE), return_counts=True)
+    first, last = cell >> 32, cell & LOW
+    own_first, own_last = n[np.searchsorted(own, first)], n[np.searchsorted(own, last)]
+    at = np.minimum(np.searchsorted(hot, cell), max(0, len(hot) - 1))
+    is_hot = hot[at] == cell if len(hot) else np.zeros(len(cell), bool)
+    rare = ~is_hot
+    losses, factors = [], []
+    for side in (0, 1):
+        mine = int(target) == side
+        before, after = single[side][first] - mine * own_first, single[side][last] - mine * own_last
+        whole = np.full(len(cell), single[side].sum() - mine * n.sum())
+        found = np.where(is_hot, counts[side][at] - mine * times, 0) if len(hot) else np.zeros(len(cell))
+        lower = b * share(after, whole, outcomes) + c / outcomes
+        here = a * share(found, before, outcomes) + lower
+        losses.append(float(-(times * np.log(here)).sum()))
+        factors.append((np.divide(a, before, out=np.zeros(len(cell)), where=before > 0) / lower)[rare])
+    return (*losses, cell[rare], times[rare], *factors)
+
+
+def score(docs: DataFrame, target: DataFrame, path: str, pattern: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every document; target has the doc_id of target documents."""
     # the targets grow with the corpus: a shuffled join at every size, never a broadcast
     chosen = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True)).hint("merge")
-    texts = docs.where("text is not null").select("doc_id", "text")
-    found = characters(texts)
-    of, outcomes = most_frequent(found), max(SYMBOLS + 1, np.count_nonzero(found))
-    counts, wide = trigrams(texts.join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), of)
-    shared = docs.sparkSession.sparkContext.broadcast((of, losses(counts[1], outcomes), losses(counts[0], outcomes)))
-
-    @F.pandas_udf("n_tokens long, near double, far double, cells array<long>, times array<long>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of, near, far = shared.value
+    rows = store(encoded(docs, path, pattern).join(chosen, "doc_id", "left").select("doc_id", "symbols", F.coalesce("target", F.lit(False)).alias("target")))
+    table = store(bigrams(rows))
+    every = F.col("background") + F.col("target")
+    total = table.agg(F.coalesce(F.sum(every), F.lit(0))).first()[0]
+    # one row for each token of the vocabulary at most
+    tokens = table.groupBy(F.col("cell").bitwiseAND(LOW).alias("symbol")).agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toPandas()
+    single = np.zeros((2, int(tokens["symbol"].max()) + 1 if len(tokens) else 1), "int64")
+    for side, name in enumerate(("background", "target")):
+        single[side][tokens["symbol"].astype("int64")] = tokens[name]
+    often = table.where(every * hot >= total).toPandas().sort_values("cell")
+    columns = [often[x].to_numpy("int64") for x in ("cell", "background", "target")]
+    shared = docs.sparkSession.sparkContext.broadcast((single, columns[0], columns[1:], max(1, len(tokens))))
+
+    def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, a, b = (np.zeros(len(batch)) for _ in range(3))
-            cells, times = [np.zeros(0, "int64")] * len(batch), [np.zeros(0, "int64")] * len(batch)
-            for cell, owner, wide, whose in numbered(batch, of):
-                n += np.bincount(owner, minlength=len(batch))
-                a += np.bincount(owner, near[cell], len(batch))
-                b += np.bincount(owner, far[cell], len(batch))
-                edge = np.flatnonzero(np.append(True, whose[1:] != whose[:-1])[: len(whose)])
-                for i, j in zip(edge, np.append(edge[1:], len(whose))):
-                    cells[whose[i]], times[whose[i]] = np.unique(wide[i:j], return_counts=True)
-            yield pd.DataFrame({"n_tokens": n.astype("int64"), "near": a, "far": b, "cells": cells, "times": times})
-
-    rows = docs.select("doc_id", scored("text").alias("_x")).select("doc_id", "_x.*")
-    if np.count_nonzero(found) > SYMBOLS:
-        # stored with their numbers, so that both uses have the same; the losses, so that the join can split frequent trigrams
-        rows = store(rows.withColumn("_row", F.monotonically_increasing_id()))
-        priced = store(wide_losses(wide, counts, of, outcomes))
-        each = rows.select("_row", F.explode(F.arrays_zip("cells", "times")).alias("_c")).select("_row", F.col("_c.cells").alias("cell"), F.col("_c.times").alias("n"))
-        more = each.join(priced, "cell").groupBy("_row").agg(F.sum(F.col("n") * F.col("near")).alias("_near"), F.sum(F.col("n") * F.col("far")).alias("_far"))
-        rows = rows.join(more, "_row", "left").withColumns({x: F.col(x) + F.coalesce(f"_{x}", F.lit(0.0)) for x in ("near", "far")})
-    most = F.greatest("n_tokens", F.lit(1))
-    return rows.select("doc_id", "n_tokens", (F.col("near") / most).alias("target_loss"), (F.col("far") / most).alias("background_loss")).withColumn(
-        "score", F.col("target_loss") - F.col("background_loss")
-    )
+            found = [priced(s, t, shared.value) if len(s) else (0.0, 0.0, [], [], [], []) for s, t in zip(batch["symbols"], batch["target"])]
+            out = pd.DataFrame(found, columns=["far", "near", "cells", "times", "far_factors", "near_factors"])
+            yield out.assign(doc_id=batch["doc_id"].to_numpy(), target=batch["target"].to_numpy(), n_tokens=[len(s) for s in batch["symbols"]])
+
+    # stored with their numbers, so that both uses have the same
+    parts = store(
+        rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+        .mapInPandas(scored, "doc_id string, target boolean, n_tokens long, far double, near double, cells array<long>, times array<int>, far_factors array<float>, near_factors array<float>")
+        .withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_row": F.monotonically_increasing_id()})
+    )
+    each = parts.select("_row", F.col("target").alias("mine"), F.explode(F.arrays_zip("cells", "times", "far_factors", "near_factors")).alias("_c")).select("_row", "mine", "_c.*")
+    others = {"far": F.col("background") - F.when(F.col("mine"), 0).otherwise(F.col("times")), "near": F.col("target") - F.when(F.col("mine"), F.col("times")).otherwise(0)}
+    saved = [F.sum(F.col("times") * F.log1p(n * F.col(f"{x}_factors"))).alias(f"_{x}") for x, n in others.items()]
+    more = each.join(table.where(every * hot < total), each["cells"] == table["cell"]).groupBy("_row").agg(*saved)
+    n = F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1).otherwise(1)
+    whole = parts.drop("cells", "times", "far_factors", "near_factors").join(more, "_row", "left")
+    return whole.select(
+        "doc_id", "n_tokens", *[((F.col(x) - F.coalesce(f"_{x}", F.lit(0.0))) / n).alias(name) for x, name in (("near", "target_loss"), ("far", "background_loss"))]
+    ).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -28,7 +28,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good."""
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm.score(table(spark, sf_dir, "documents"), good)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lm.score(table(spark, sf_dir, "documents"), good, path, public_tokenizers.PATTERN)
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
