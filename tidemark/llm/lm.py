@@ -51,30 +51,21 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and symbols (token ids from 1) of every row."""
-
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(path, pattern)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "symbols": [np.array(tool.encode_ordinary(t or ""), "int32") + 1 for t in batch["text"]]})
-
-    # an id may be null, which a pandas column of integers can't tell
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, "doc_id string, symbols array<int>")
-    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
-
-
 def pairs(symbols: np.ndarray) -> np.ndarray:
     """The bigrams of a text, its edges included: one symbol in the upper 32 bits, its successor in the lower ones."""
     whole = np.concatenate([[EDGE], symbols, [EDGE]]).astype("int64")
     return (whole[:-1] << 32) | whole[1:]
 
 
-def bigrams(rows: DataFrame) -> DataFrame:
-    """How often each bigram is in background and target; rows have symbols and target."""
+def symbols_of(text: str | None, tool) -> np.ndarray:
+    return np.array(tool.encode_ordinary(text or ""), "int32") + 1
+
+
+def bigrams(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """How often each bigram is in background and target; rows have text and target."""
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[list, list] = ([], [])
+        tool, held = encoder(path, pattern), ([], [])
 
         def flush() -> pd.DataFrame:
             parts = []
@@ -87,7 +78,8 @@ def bigrams(rows: DataFrame) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for symbols, target in zip(batch["symbols"], batch["target"]):
+            for text, target in zip(batch["text"], batch["target"]):
+                symbols = symbols_of(text, tool)
                 if len(symbols):
                     held[int(target)].append(pairs(symbols))
                     size += len(symbols)
@@ -98,7 +90,7 @@ def bigrams(rows: DataFrame) -> DataFrame:
             yield flush()
 
     return (
-        rows.select("symbols", "target").mapInPandas(counted, "cell long, background long, target long")
+        rows.select("text", "target").mapInPandas(counted, "cell long, background long, target long")
         .groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     )
 
@@ -108,13 +100,13 @@ def share(part: np.ndarray, whole: np.ndarray, outcomes: int) -> np.ndarray:
     return np.divide(part, whole, out=np.full(len(part), 1 / outcomes), where=whole > 0)
 
 
-def priced(symbols: np.ndarray, target: bool, known: tuple) -> tuple:
-    """Losses of a text under (background, target) without itself, its bigrams that are not broadcast taken as new to both.
+def priced(symbols: np.ndarray, known: tuple) -> tuple:
+    """Losses of a text, its bigrams that are not broadcast taken as new, and cell, times and factors of these.
 
-    For these it also gives cell, times, and a factor for each side: each other occurrence of the bigram
-    raises its probability by that factor, relative to that of a new one.
+    Losses and factors are four: under the background with and without the text itself, and under the target likewise.
+    A factor tells by how much each occurrence of the bigram raises its probability, relative to that of a new one.
     """
-    single, hot, counts, outcomes = known
+    single, sizes, hot, counts, outcomes = known
     a, b, c = WEIGHTS
     cell, times = np.unique(pairs(symbols), return_counts=True)
     own, n = np.unique(np.append(symbols, EDGE), return_counts=True)
@@ -125,23 +117,28 @@ def priced(symbols: np.ndarray, target: bool, known: tuple) -> tuple:
     rare = ~is_hot
     losses, factors = [], []
     for side in (0, 1):
-        mine = int(target) == side
-        before, after = single[side][first] - mine * own_first, single[side][last] - mine * own_last
-        whole = np.full(len(cell), single[side].sum() - mine * n.sum())
-        found = np.where(is_hot, counts[side][at] - mine * times, 0) if len(hot) else np.zeros(len(cell))
-        lower = b * share(after, whole, outcomes) + c / outcomes
-        here = a * share(found, before, outcomes) + lower
-        losses.append(float(-(times * np.log(here)).sum()))
-        factors.append((np.divide(a, before, out=np.zeros(len(cell)), where=before > 0) / lower)[rare])
+        found = np.where(is_hot, counts[side][at], 0) if len(hot) else np.zeros(len(cell))
+        for mine in (0, 1):
+            # of the side that the text is not in, no count is less than nothing
+            less = lambda whole, part: np.maximum(whole - part, 0) if mine else whole  # noqa: E731, B023
+            before, after = less(single[side][first], own_first), less(single[side][last], own_last)
+            lower = b * share(after, np.full(len(cell), less(sizes[side], n.sum())), outcomes) + c / outcomes
+            losses.append(float(-(times * np.log(a * share(less(found, times), before, outcomes) + lower)).sum()))
+            before, lower = before[rare], lower[rare]
+            factors.append(np.divide(a, before, out=np.zeros(len(lower)), where=before > 0) / lower)
     return (*losses, cell[rare], times[rare], *factors)
 
 
+#: What `priced` gives, for each side and with or without the text.
+KINDS = ("far", "far_alone", "near", "near_alone")
+
+
 def score(docs: DataFrame, target: DataFrame, path: str, pattern: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every document; target has the doc_id of target documents."""
     # the targets grow with the corpus: a shuffled join at every size, never a broadcast
     chosen = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True)).hint("merge")
-    rows = store(encoded(docs, path, pattern).join(chosen, "doc_id", "left").select("doc_id", "symbols", F.coalesce("target", F.lit(False)).alias("target")))
-    table = store(bigrams(rows))
+    texts = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id", "left")
+    table = store(bigrams(texts.select("text", F.coalesce("target", F.lit(False)).alias("target")), path, pattern))
     every = F.col("background") + F.col("target")
     total = table.agg(F.coalesce(F.sum(every), F.lit(0))).first()[0]
     # one row for each token of the vocabulary at most
@@ -151,19 +148,27 @@ def score(docs: DataFrame, target: DataFrame, path: str, pattern: str, hot: int
         single[side][tokens["symbol"].astype("int64")] = tokens[name]
     often = table.where(every * hot >= total).toPandas().sort_values("cell")
     columns = [often[x].to_numpy("int64") for x in ("cell", "background", "target")]
-    shared = docs.sparkSession.sparkContext.broadcast((single, columns[0], columns[1:], max(1, len(tokens))))
+    shared = docs.sparkSession.sparkContext.broadcast((single, single.sum(1), columns[0], columns[1:], max(1, len(tokens))))
+    arrays = [f"{x}_factors" for x in KINDS]
 
-    def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [priced(s, t, shared.value) if len(s) else (0.0, 0.0, [], [], [], []) for s, t in zip(batch["symbols"], batch["target"])]
-            out = pd.DataFrame(found, columns=["far", "near", "cells", "times", "far_factors", "near_factors"])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy(), target=batch["target"].to_numpy(), n_tokens=[len(s) for s in batch["symbols"]])
+    form = ", ".join(["n_tokens long", *[f"{x} double" for x in KINDS], "cells array<long>", "times array<int>", *[f"{x} array<float>" for x in arrays]])
 
+    @F.pandas_udf(form)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tool, known = encoder(path, pattern), shared.value
+        for batch in batches:
+            found = []
+            for text in batch:
+                symbols = symbols_of(text, tool)
+                found.append((len(symbols), *(priced(symbols, known) if len(symbols) else (0.0,) * 4 + ([],) * 6)))
+            yield pd.DataFrame(found, columns=["n_tokens", *KINDS, "cells", "times", *arrays])
+
+    own = F.coalesce("target", F.lit(False))
+    picked = [F.when(own == F.lit(side == "near"), F.col(f"{side}_alone{x}")).otherwise(F.col(f"{side}{x}")).alias(f"{side}{x}") for x in ("", "_factors") for side in ("far", "near")]
     # stored with their numbers, so that both uses have the same
     parts = store(
-        rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-        .mapInPandas(scored, "doc_id string, target boolean, n_tokens long, far double, near double, cells array<long>, times array<int>, far_factors array<float>, near_factors array<float>")
-        .withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_row": F.monotonically_increasing_id()})
+        docs.select("doc_id", scored("text").alias("_x")).select("doc_id", "_x.*").join(chosen, "doc_id", "left")
+        .select("doc_id", own.alias("target"), "n_tokens", "cells", "times", *picked, F.monotonically_increasing_id().alias("_row"))
     )
     each = parts.select("_row", F.col("target").alias("mine"), F.explode(F.arrays_zip("cells", "times", "far_factors", "near_factors")).alias("_c")).select("_row", "mine", "_c.*")
     others = {"far": F.col("background") - F.when(F.col("mine"), 0).otherwise(F.col("times")), "near": F.col("target") - F.when(F.col("mine"), F.col("times")).otherwise(0)}
