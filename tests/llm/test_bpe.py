@@ -1,5 +1,6 @@
 """Operator 10 against the tiktoken library, and its round trip."""
 
+import gc
 import hashlib
 
 import numpy as np
@@ -69,3 +70,10 @@ def test_encode_decode_columns(docs, odd, empty):
         assert all((r.text or "") == r.decoded for r in back.collect())
     assert bpe.digests(empty, PATH, PATTERN).count() == 0
     assert bpe.digests(odd, PATH, PATTERN).count() == odd.count()
+
+
+def test_garbage_collection_comes_back():
+    assert gc.isenabled()
+    with bpe.without_gc():
+        assert not gc.isenabled()
+    assert gc.isenabled()

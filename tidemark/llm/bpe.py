@@ -20,6 +20,7 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -204,10 +205,21 @@ def decode_stream(ids: np.ndarray, token: list[bytes], block: int = 8192) -> Ite
     yield machine.close()
 
 
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No cyclic collection inside: the tables hold no cycles, and walking them takes longer than building them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=2)
 def loaded(path: str, pattern: str) -> tuple[regex.Pattern, Pieces, list[bytes]]:
     """A worker's pattern, memo over the transducer, and tokens by id."""
-    gc.disable()  # the tables hold no cycles, and walking them takes longer than building them
     machine = Transducer(read_ranks(path))
     token = [b""] * (1 + max(machine.token))
     for rank, data in machine.token.items():
@@ -225,9 +237,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces, memo, _ = loaded(path, pattern)
-        for batch in batches:
-            yield pd.Series([encode_text(t, pieces, memo) for t in batch], dtype=object)
+        with without_gc():
+            pieces, memo, _ = loaded(path, pattern)
+            for batch in batches:
+                yield pd.Series([encode_text(t, pieces, memo) for t in batch], dtype=object)
 
     return docs.withColumn(into, ids(F.col(text)))
 
@@ -237,9 +250,10 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", into: str
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        _, _, token = loaded(path, pattern)
-        for batch in batches:
-            yield pd.Series(["".join(decode_stream(np.frombuffer(x or b"", "<u4"), token)) for x in batch], dtype=object)
+        with without_gc():
+            _, _, token = loaded(path, pattern)
+            for batch in batches:
+                yield pd.Series(["".join(decode_stream(np.frombuffer(x or b"", "<u4"), token)) for x in batch], dtype=object)
 
     return docs.withColumn(into, texts(F.col(ids)))
 
@@ -248,17 +262,18 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded in one pass over it."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, memo, token = loaded(path, pattern)
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                data = encode_text(text, pieces, memo)
-                back = hashlib.sha256()
-                for part in decode_stream(np.frombuffer(data, "<u4"), token):
-                    back.update(part.encode())
-                out.append((len(data) // 4, hashlib.sha256(data).hexdigest(), back.hexdigest()))
-            n, ids, back = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(n, "int64"), "ids_sha256": ids, "decoded_sha256": back})
+        with without_gc():
+            pieces, memo, token = loaded(path, pattern)
+            for batch in batches:
+                out = []
+                for text in batch["text"]:
+                    data = encode_text(text, pieces, memo)
+                    back = hashlib.sha256()
+                    for part in decode_stream(np.frombuffer(data, "<u4"), token):
+                        back.update(part.encode())
+                    out.append((len(data) // 4, hashlib.sha256(data).hexdigest(), back.hexdigest()))
+                n, ids, back = zip(*out) if out else ((), (), ())
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(n, "int64"), "ids_sha256": ids, "decoded_sha256": back})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
