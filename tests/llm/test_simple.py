@@ -281,3 +281,16 @@ def test_toxicity_odd(spark, odd, empty, docs):
     rows = toxicity.predictions(docs, both).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.predictions(empty, both).count() == 0
+
+
+def test_toxicity_sample_is_bounded_in_characters(spark, monkeypatch):
+    rows = [(i % 200, f"some{i % 200} other " * 25) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], LABELS)
+    taught = []
+    monkeypatch.setattr(toxicity, "train", lambda sample: taught.append(sample))
+    toxicity.learn(frame, labels)
+    toxicity.learn(frame, labels, chars=15_000)
+    whole, part = ([len(t) for t in s.texts] for s in taught)
+    assert len(whole) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))  # repeated rows teach once
+    assert 15 < len(part) < 75 and set(part) == set(whole) == {50}  # about 47 whole texts

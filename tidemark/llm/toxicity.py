@@ -12,7 +12,8 @@ highest (and some others of the clean texts).
 
 Because everything is linear, a word adds one number to its window: scoring sums these numbers.
 
-Learned from at most DOCS labelled texts of each class (chosen by a hash of doc_id). Null labels, null
+Learned from at most DOCS labelled texts of each class (chosen by a hash of doc_id) and CHARS characters of
+these in all (whole texts, chosen by a hash of doc_id and text). Rows that repeat teach once. Null labels, null
 texts and held-out rows teach nothing; without labels of both classes every score is 0. Null and empty
 texts, and those without a letter, have score 0.
 """
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, words
+from .common import sampled, store, words
 
 LENGTHS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -37,6 +38,8 @@ DIMENSIONS = 8
 WINDOW = 8
 #: Labelled documents of either class that the model learns from, at most (about).
 DOCS = 3000
+#: Characters of all these documents, at most (about): they go to the driver.
+CHARS = 32_000_000
 THRESHOLD = 0.3
 #: Share of a word's subwords that training sees at a time, so that a part of a word must do.
 KEEP = 0.4
@@ -170,12 +173,15 @@ class Numbers(dict):
         return number
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> tuple[np.ndarray, float] | None:
+def learn(docs: DataFrame, labels: DataFrame, most: int = DOCS, chars: int = CHARS) -> tuple[np.ndarray, float] | None:
     """A model from the labelled documents that are not held out; a document with several labels counts as toxic if one says so."""
     # ids has about 2 * most rows at any size of the corpus
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sampled(marks.where(~held_out()).select(F.col("doc_id"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")), "toxic", "doc_id", most)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").select("text", "toxic").toPandas()
+    known = store(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"]))
+    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    share = F.pmod(F.xxhash64(F.lit("chars"), "doc_id", "text"), F.lit(1_000_003)) / F.lit(1_000_003)
+    rows = known.where(share * total <= chars).orderBy("doc_id", "text").select("text", "toxic").toPandas()
     return train(Sample(rows["text"].tolist(), rows["toxic"].tolist()))
 
 
