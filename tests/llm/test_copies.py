@@ -212,6 +212,24 @@ def test_shingles_of_portions(texts, monkeypatch):
                 assert len(np.intersect1d(ka, kb)) == len(a.keys() & b.keys())
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_shingles_of_one_short_text(n):
+    """A text of few words alone in its portion, as the first and as the second of two that are compared."""
+    text = " ".join("abcdefg"[:n])
+    keys, many = minhash.shingle_hashes([text])
+    assert many.tolist() == [0 if n == 0 else max(1, n - 4)] and len(set(keys.tolist())) == many[0]
+    assert np.array_equal(minhash.shingle_hashes([None, text, ""])[0], keys)
+
+
+def test_near_copies_of_short_texts(spark, tmp_path):
+    """Tables of one short text, of a text and the same in other letters, and the pipeline's stage over such texts."""
+    one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert [tuple(r) for r in minhash.classes(one).collect()] == [(1, 1, True)]
+    texts = [" ".join(letters[:n]) for n in range(1, 7) for letters in ("abcdef", "ABCDEF", "ghijkl")]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, many, str(tmp_path)).collect()) == [i for i in range(18) if i % 3 != 1]
+
+
 def test_frequent_shingles(spark):
     """Document frequencies are exact for every shingle that reaches the bound, and no other is listed."""
     rng = random.Random(3)

@@ -100,9 +100,10 @@ def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of these texts one after another, and how many each text has."""
     words, n = word_hashes(texts)
     first = np.cumsum(n) - n
-    key = np.zeros(max(0, len(words) - SHINGLE + 1), "uint64")
+    whole = max(0, len(words) - SHINGLE + 1)
+    key = np.zeros(whole, "uint64")
     for i in range(SHINGLE):
-        key = key * _U(0x9E3779B97F4A7C15) + words[i : len(words) - SHINGLE + 1 + i]
+        key = key * _U(0x9E3779B97F4A7C15) + words[i : i + whole]
     many = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     out = np.zeros(len(at), "uint64")
