@@ -113,4 +113,13 @@ ORACLE_SQL = {
         SELECT d.doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(1 - sums[1] / sums[2], 0) AS score
         FROM d LEFT JOIN best USING (doc_id)
     """,
+    "op11_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )
+        SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank,
+               c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10
+    """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, lm, minhash, packing, repeats, sharding, toxicity, vectors
+from . import bpe, fingerprints, language, lm, minhash, packing, repeats, sharding, topk, toxicity, vectors
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
@@ -65,4 +69,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_repeats": op9_repeats,
     "op10_bpe": op10_bpe,
+    "op11_topk": op11_topk,
 }
