@@ -1,5 +1,33 @@
 """DuckDB SQL of those corpus queries that SQL can express."""
 
+#: A table of the CRC-32 of single bytes, and the CRC-32 of a text given that table.
+_CRC_TABLE = """SELECT list(c ORDER BY n) AS crc FROM (
+        SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))"""
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+        lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
+
+
+def _least(*ways: str) -> str:
+    """The least of several (cost, audit, text) that are not null."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _way(item: str, cost: int | str, edit: str, line: str | None = None) -> str:
+    """A way that goes on from another: NULL where that is."""
+    text = f"{item}.txt" if line is None else f"CASE WHEN {item}.audit = translate({item}.audit, 'IKR', '') THEN {line} ELSE {item}.txt || chr(10) || {line} END"
+    return f"CASE WHEN {item} IS NOT NULL THEN {{'cost': {item}.cost + {cost}, 'audit': {item}.audit || '{edit}', 'txt': {text}}} END"
+
+
+def _kept(item: str, initial: str) -> str:
+    return f"CASE WHEN r.ok AND r.role[1] = '{initial}' THEN {_way(item, 'r.late', 'K', 'r.role || chr(58) || r.text')} END"
+
+
+def _reroled(item: str, role: str) -> str:
+    return f"CASE WHEN r.ok THEN {_way(item, '2 + r.late', 'R', f"'{role}:' || r.text")} END"
+
 ORACLE_SQL = {
     "op4_sharding": """
         WITH contest AS (
@@ -122,4 +150,65 @@ ORACLE_SQL = {
                c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
         FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+        marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        judged AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   list_filter([CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+                                CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' END,
+                                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN least < doc_id THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+            FROM worded LEFT JOIN marks USING (doc_id)
+        ), kinds AS (SELECT part, fails, count(*) AS n, CAST(sum(good) AS BIGINT) AS g, CAST(sum(toxic) AS BIGINT) AS t FROM judged GROUP BY 1, 2),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || e.x || f.x AS filter_order FROM letters a, letters b, letters c, letters e, letters f
+            WHERE len(list_distinct([a.x, b.x, c.x, e.x, f.x])) = 5
+        ), steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+        told AS (
+            SELECT part, filter_order, step, n, g, t, fails, filter_order[step] AS own, list_has_any(fails, string_split(left(filter_order, step - 1), '')) AS gone FROM kinds, steps
+        ), counted AS (
+            SELECT part, filter_order, step, any_value(own) AS own, coalesce(sum(n) FILTER (NOT gone AND NOT list_contains(fails, own)), 0) AS kept,
+                   coalesce(sum(n) FILTER (NOT gone AND list_contains(fails, own)), 0) AS removed, coalesce(sum(n) FILTER (gone AND list_contains(fails, own)), 0) AS redundant,
+                   coalesce(sum(n) FILTER (fails = [own]), 0) AS unique_fails, coalesce(sum(g) FILTER (NOT gone AND list_contains(fails, own)), 0) AS good_lost,
+                   coalesce(sum(t) FILTER (NOT gone AND list_contains(fails, own)), 0) AS toxic_lost
+            FROM told GROUP BY 1, 2, 3
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted
+    """,
+    "op13_conversation_repair": rf"""
+        WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
+        named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+        hashed AS (SELECT n.*, {_crc32('name')} % 20 AS kind FROM named n, crc_table),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS again,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM hashed WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS k,
+                   lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM damaged
+        ), judged AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN k > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed
+        ), r AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late FROM judged),
+        chart AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'cost': 0, 'audit': '', 'txt': ''}} AS z, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, txt VARCHAR)) AS s,
+                   CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, txt VARCHAR)) AS u, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, txt VARCHAR)) AS a FROM conversations
+            UNION ALL
+            SELECT conv_id, i, {_least(_way('z', 3, 'D'))}, {_least(_way('s', 3, 'D'), _kept('z', 's'))},
+                   {_least(_way('u', 3, 'D'), *[f(x, y) for x in ('z', 's', 'a1') for f, y in ((_kept, 'u'), (_reroled, 'user'))])},
+                   {_least(_way('a', 3, 'D'), _kept('u1', 'a'), _reroled('u1', 'assistant'))}
+            FROM (
+                SELECT r.conv_id, r.i, z, s, u, a, u1, {_least('a', _way('u1', 2, 'I', "'assistant:'"))} AS a1, r
+                FROM (SELECT *, {_least('u', *[_way(x, 2, 'I', "'user:'") for x in 'zsa'])} AS u1 FROM chart) c JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.i + 1
+            ) q
+        ), last AS (SELECT *, {_least('u', *[_way(x, 2, 'I', "'user:'") for x in 'zsa'])} AS u1 FROM chart QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        won AS (SELECT conv_id, {_least('z', 'a', _way('u1', 2, 'I', "'assistant:'"))} AS w FROM last),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id
+        )
+        SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(w.w.cost AS BIGINT) AS cost, w.w.audit AS audit, sha256(w.w.txt) AS repaired_sha256 FROM won w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+    """,
 }

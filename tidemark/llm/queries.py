@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, lm, minhash, packing, repeats, sharding, topk, toxicity, vectors
+from . import audit, bpe, conversations, fingerprints, language, lm, minhash, packing, repeats, sharding, topk, toxicity, vectors
 from .common import table
 
 
@@ -58,6 +58,14 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
@@ -70,4 +78,6 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_bpe": op10_bpe,
     "op11_topk": op11_topk,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
