@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +35,30 @@ def classify(fetched: DataFrame, stored: DataFrame, order: list[str | Column], e
     )
 
 
-def classify_spread(fetched: DataFrame, stored: DataFrame, position: str = "pos", rows: int = 1_000_000) -> DataFrame:
+#: The mapping, or a function that joins its columns to rows by their key, as State.looked_up does without shuffling it.
+Stored = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _with_stored(rows: DataFrame, stored: Stored) -> DataFrame:
+    return stored(rows) if callable(stored) else rows.join(stored, ["entity_type", "source_id"], "left")
+
+
+def classify_spread(fetched: DataFrame, stored: Stored, position: str = "pos", rows: int = 1_000_000) -> DataFrame:
     """What classify gives, for fetches in which single records come millions of times.
 
     position, an integer that orders the whole fetch, is cut into blocks of `rows`. Within (record, block)
     windows do the work; what a block hands on, its last good hash and whether it wrote, is one row for each
-    record and block, which is carried over the blocks and joined back. No task gets all rows of a record.
+    record and block, which is joined with the mapping, carried over the blocks and joined back. No task gets all rows of a record.
     """
     key = ["entity_type", "source_id"]
     block = [*key, "_block"]
     before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*block).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    known = stored.select(*key, F.col("external_id").alias("_external"), F.when(F.col("status") == "synced", S.truthy("last_hash")).alias("_stored"))
     placed = fetched.withColumn("_block", F.floor(F.col(position) / rows))
     good = F.when(F.col("ok"), F.col("hash"))
-    hashes = (
-        placed.groupBy(*block).agg(F.max_by(good, F.when(F.col("ok"), F.col(position))).alias("_last"))
-        .withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last").join(known, key, "left")
+    lasts = placed.groupBy(*block).agg(F.max_by(good, F.when(F.col("ok"), F.col(position))).alias("_last"))
+    hashes = _with_stored(lasts, stored).select(
+        *block, F.last("_last", ignorenulls=True).over(before).alias("_carried"), F.col("external_id").alias("_external"), F.when(F.col("status") == "synced", S.truthy("last_hash")).alias("_stored")
     )
     same = F.coalesce(F.col("hash") == F.col("_prev"), F.lit(False))
     written = (
@@ -65,21 +74,21 @@ def classify_spread(fetched: DataFrame, stored: DataFrame, position: str = "pos"
     )
 
 
-def merge_mapping(stored: DataFrame, outcomes: DataFrame, position: str | Column, now: Column) -> DataFrame:
-    """The mapping after the outcomes (with new_external_id): one row for each key.
-
-    A first write has version 1 and each later one adds 1; id, hash and times come from the last write. The
-    external id is the pushed one, else the stored one, else the record's own.
-    """
+def _writes(outcomes: DataFrame, position: str | Column) -> DataFrame:
+    """What the outcomes (with new_external_id) write: for each key how often, and the last hash and external id."""
     at = F.col(position) if isinstance(position, str) else position
-    writes = (
+    return (
         outcomes.where(F.col("outcome").isin("created", "updated")).groupBy("entity_type", "source_id")
         .agg(F.count(F.lit(1)).alias("_n"), F.max_by("hash", at).alias("_hash"), F.max_by(S.truthy("new_external_id"), F.when(S.truthy("new_external_id").isNotNull(), at)).alias("_new"))
     )
+
+
+def _put(joined: DataFrame, now: Column) -> DataFrame:
+    """Mapping rows joined with what is written to their keys, as they are afterwards."""
     touched = F.col("_n").isNotNull()
     external = F.when(touched, S.or_else("_new", "external_id", "source_id")).otherwise(F.col("external_id"))
     pick = lambda new, old: F.when(touched, new).otherwise(F.col(old))
-    return stored.join(writes, ["entity_type", "source_id"], "full").select(
+    return joined.select(
         "entity_type", "source_id", external.alias("external_id"), F.when(touched, external).otherwise(F.col("target_guid")).alias("target_guid"),
         (F.coalesce("sync_version", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int").alias("sync_version"),
         pick(F.col("_hash"), "last_hash").alias("last_hash"), pick(now, "last_synced_at").alias("last_synced_at"),
@@ -87,6 +96,28 @@ def merge_mapping(stored: DataFrame, outcomes: DataFrame, position: str | Column
     )
 
 
+def merge_mapping(stored: DataFrame, outcomes: DataFrame, position: str | Column, now: Column) -> DataFrame:
+    """The mapping after the outcomes (with new_external_id): one row for each key.
+
+    A first write has version 1 and each later one adds 1; id, hash and times come from the last write. The
+    external id is the pushed one, else the stored one, else the record's own.
+    """
+    return _put(stored.join(_writes(outcomes, position), ["entity_type", "source_id"], "full"), now)
+
+
+def written_mapping(stored: Stored, outcomes: DataFrame, position: str | Column, now: Column) -> DataFrame:
+    """Of the mapping after the outcomes the rows that they wrote, and no others."""
+    return _put(_with_stored(_writes(outcomes, position), stored), now)
+
+
+def unfolded(fetched: DataFrame) -> DataFrame:
+    """The same rows, of which the optimizer cannot tell that they may all be of one entity.
+
+    It would drop the constant from the keys of joins, and buckets by both columns would not fit any more.
+    """
+    return fetched.withColumn("entity_type", F.concat("entity_type", F.left(F.coalesce("source_id", F.lit("")), F.lit(0))))
+
+
 def put_unhashed(stored: DataFrame, written: DataFrame, now: Column) -> DataFrame:
     """The mapping after writes (entity_type, source_id, new_external_id, pos) that know no hash, as older callers make them.
 

@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schemas import ENDPOINTS
 from ..sources import rest
+from ..sources.http import Session
 
 
 class Connector(ABC):
-    """A target system. sync returns {success, external_id, error, data} of one payload."""
+    """A target system, over one connection that stays open. sync returns {success, external_id, error, data} of one payload."""
 
     def __init__(self, base: str, key: str | None = None):
-        self.base, self.key = base.rstrip("/"), key
+        self.base, self.key, self.session = base.rstrip("/"), key, Session(base, key, rest.TIMEOUT_S)
 
     def connect(self) -> bool:
         return self.health_check()
 
     def disconnect(self) -> None:
-        """Connections end with each request."""
+        self.session.close()
 
     def health_check(self) -> bool:
         return rest.target_alive(self.base, self.key)
@@ -33,11 +34,14 @@ class Connector(ABC):
     @abstractmethod
     def data(self, entity: str, payload: dict) -> dict: ...
 
-    def sync(self, entity: str, payload: dict) -> dict:
-        """Pushes one payload; entities that are not known go where customers go, and errors are returned."""
+    def sync(self, entity: str, payload: dict, once: str | None = None) -> dict:
+        """Pushes one payload; entities that are not known go where customers go, and errors are returned.
+
+        once is an idempotency key, by which the target may tell a repeated request.
+        """
         entity = entity if entity in ENDPOINTS else "customer"
         try:
-            answer = rest.request(self.base + ENDPOINTS[entity], self.key, json.dumps(payload))
+            answer = self.session.text("POST", ENDPOINTS[entity], json.dumps(payload), {"Idempotency-Key": once} if once else None)
             found = rest.external_id(entity, answer, str(payload.get("id")))
             return {"success": True, "external_id": found, "error": None, "data": self.data(entity, payload)}
         except Exception as e:  # noqa: BLE001  whatever failed belongs to this record, not to the task
@@ -82,6 +86,7 @@ def push(records: DataFrame, kind: str | None, base: str, key: str | None = None
                 batch[field] = pd.Series([a[field] for a in answers], index=batch.index, dtype=object)
             batch["data"] = [json.dumps(a["data"], ensure_ascii=False) for a in answers]
             yield batch
+        target.disconnect()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
     out = records.mapInPandas(pushed, f"{fields}, success boolean, external_id string, error string, data string")

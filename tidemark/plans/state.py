@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +14,36 @@ from ..schemas import struct
 
 #: Folders that a table may consist of; an append beyond that writes the table anew.
 MOST = 200
+#: Deltas that a keyed table may have; a merge beyond that folds them into its base.
+DELTAS = 16
+
+
+class Conflict(RuntimeError):
+    """Another change came first."""
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """A table with one row for each key, in buckets by a hash of the key."""
+
+    keys: tuple[str, ...]
+    buckets: int = 64
 
 
 class State:
     """Some tables under one folder of any file system that Spark reads, which all change together.
 
     A version is a small file that names the folders of every table. A change writes its rows to new folders
-    and then the next version, which is renamed into place: readers see all of it or nothing, and a change that
-    breaks off leaves the version before. Appending writes the new rows alone.
+    and then the next version, which is put into place under its number if no other is there yet: readers see all of it
+    or nothing, a change that breaks off leaves the version before, and of two changes of one version only one succeeds.
+    Appending writes the new rows alone. Object stores without an exclusive rename can have one writer only.
+
+    A keyed table is a base and deltas, all in the same buckets. Merging writes a delta with the merged rows alone, and
+    reading lays the deltas over the base, bucket by bucket, for which the base is neither shuffled nor sorted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str]):
-        self.spark, self.path, self.schemas = spark, path.rstrip("/"), {name: struct(s) for name, s in schemas.items()}
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], keyed: dict[str, Keyed] | None = None):
+        self.spark, self.path, self.schemas, self.keyed = spark, path.rstrip("/"), {name: struct(s) for name, s in schemas.items()}, keyed or {}
         self._jvm = spark.sparkContext._jvm
         self._fs = self._p("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -50,44 +69,137 @@ class State:
         finally:
             file.close()
 
-    def notes(self) -> dict:
-        """What the current version's change noted besides its rows."""
-        return self._known(self.current())["notes"]
+    def notes(self, version: int | None = None) -> dict:
+        """What the changes up to a version (the current one) noted besides their rows."""
+        return self._known(self.current() if version is None else version)["notes"]
+
+    def folders(self, name: str, version: int | None = None) -> list[str]:
+        """The folders that a table consists of, in the order in which they came."""
+        return self._known(self.current() if version is None else version)["folders"].get(name, [])
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        folders = self._known(self.current() if version is None else version)["folders"].get(name)
+        folders = self.folders(name, version)
         if not folders:
             return self.spark.createDataFrame([], self.schemas[name])
+        if name in self.keyed:
+            return self._overlaid(name, folders)
         return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def change(self, written: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, notes: dict | None = None, keep: int = 3) -> int:
-        """The next version: some tables written anew, rows added to others. Returns its number; all but the last few go."""
-        version = self.current()
+    def _bucketed(self, name: str, folder: str) -> DataFrame:
+        """One folder of a keyed table, as a table that knows its buckets; the catalog entry is gone once it is resolved."""
+        keys, table = ", ".join(f"`{k}`" for k in self.keyed[name].keys), f"tidemark_{uuid.uuid4().hex}"
+        buckets = int(folder.rpartition("-")[2])
+        self.spark.sql(
+            f"CREATE TABLE {table} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in self.schemas[name])}) USING parquet "
+            f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{self.path}/{folder}'"
+        )
+        try:
+            return self.spark.table(table)
+        finally:
+            self.spark.sql(f"DROP TABLE {table}")
+
+    def _layers(self, name: str, folders: list[str]) -> tuple[DataFrame, DataFrame | None]:
+        """The base, and of all deltas the newest row of each key: key and _row."""
+        base, newest = self._bucketed(name, folders[0]), None
+        keys, rest = self.keyed[name].keys, [f.name for f in self.schemas[name] if f.name not in self.keyed[name].keys]
+        for age, folder in enumerate(folders[1:]):
+            one = self._bucketed(name, folder).select(*keys, F.lit(age).alias("_age"), F.struct(*rest).alias("_row"))
+            newest = one if newest is None else newest.unionByName(one)
+        return base, newest if newest is None else newest.groupBy(*keys).agg(F.max_by("_row", "_age").alias("_row"))
+
+    def _put_over(self, name: str) -> list:
+        """The columns of a keyed table but its keys, where rows of the base stand beside those of deltas."""
+        rest = [f.name for f in self.schemas[name] if f.name not in self.keyed[name].keys]
+        return [F.when(F.col("_row").isNotNull(), F.col(f"_row.{c}")).otherwise(F.col(c)).alias(c) for c in rest]
+
+    def _overlaid(self, name: str, folders: list[str]) -> DataFrame:
+        base, newest = self._layers(name, folders)
+        if newest is None:
+            return base
+        keys = self.keyed[name].keys
+        return base.join(newest, list(keys), "full").select(*keys, *self._put_over(name)).select(*[f.name for f in self.schemas[name]])
+
+    def looked_up(self, name: str, rows: DataFrame, version: int | None = None) -> DataFrame:
+        """rows with the columns of a keyed table's row of their key, or nulls.
+
+        The rows are shuffled into the table's buckets and joined with base and deltas there; the table is not shuffled.
+        """
+        keys, folders = self.keyed[name].keys, self.folders(name, version)
+        if not folders:
+            return rows.join(self.read(name, version), list(keys), "left")
+        base, newest = self._layers(name, folders)
+        found = rows.repartition(int(folders[0].rpartition("-")[2]), *keys).join(base, list(keys), "left")
+        return found if newest is None else found.join(newest, list(keys), "left").select(*rows.columns, *self._put_over(name))
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        """Write rows to a new folder of a table, and return its name."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]])
+        if name not in self.keyed:
+            folder = f"{name}-{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.path}/{folder}")
+            return folder
+        keys, buckets = self.keyed[name].keys, self.keyed[name].buckets
+        folder, table = f"{name}-{uuid.uuid4().hex}-{buckets}", f"tidemark_{uuid.uuid4().hex}"
+        rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{folder}").format("parquet").saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return folder
+
+    def change(
+        self, written: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, notes: dict | None = None, keep: int = 3,
+        merged: dict[str, DataFrame] | None = None, version: int | None = None,
+    ) -> int:
+        """The next version: some tables written anew, rows added to others, rows put over those of their keys in keyed ones.
+
+        version is the one that the rows were made from; if it does not hold any more, Conflict is raised. Returns the
+        next version's number; all but the last few versions go.
+        """
+        version = self.current() if version is None else version
         known = self._known(version)
         folders = dict(known["folders"])
-        for adds, tables in ((False, written or {}), (True, appended or {})):
-            for name, rows in tables.items():
-                rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]])
-                before = folders.get(name, []) if adds else []
-                if len(before) >= MOST:
-                    rows, before = self.read(name, version).unionByName(rows), []
-                folder = f"{name}-{uuid.uuid4().hex}"
-                rows.write.parquet(f"{self.path}/{folder}")
-                folders[name] = [*before, folder]
+        for name, rows in (written or {}).items():
+            folders[name] = [self._write(name, rows)]
+        for name, rows in (appended or {}).items():
+            before = folders.get(name, [])
+            if len(before) >= MOST:
+                rows, before = self.read(name, version).unionByName(rows), []
+            folders[name] = [*before, self._write(name, rows)]
+        for name, rows in (merged or {}).items():
+            folders[name] = [*folders.get(name, []), self._write(name, rows)]
+            if len(folders[name]) > DELTAS + 1:
+                delta, folders[name] = folders[name][-1], [self._write(name, self._overlaid(name, folders[name]))]
+                self._fs.delete(self._p(delta), True)  # no version names it
         version += 1
-        file = self._fs.create(self._p(f"next-{version}"), True)
-        file.write(bytearray(json.dumps({"folders": folders, "notes": {**known["notes"], **(notes or {})}}).encode()))
+        self._publish(version, {"folders": folders, "notes": {**known["notes"], **(notes or {})}})
+        self._drop(self.versions()[:-keep])
+        return version
+
+    def _publish(self, version: int, known: dict) -> None:
+        draft, place = self._p(f"next-{uuid.uuid4().hex}"), self._p(f"current-{version}")
+        file = self._fs.create(draft, False)
+        file.write(bytearray(json.dumps(known).encode()))
         file.close()
-        if not self._fs.rename(self._p(f"next-{version}"), self._p(f"current-{version}")):
-            raise RuntimeError(f"another change has made version {version} of {self.path}")
-        versions = self.versions()
-        used = {f for v in versions[-keep:] for some in self._known(v)["folders"].values() for f in some}
-        for old in versions[:-keep]:
-            gone = {f for some in self._known(old)["folders"].values() for f in some} - used
-            self._fs.delete(self._p(f"current-{old}"), False)
-            for folder in gone:
+        try:
+            if self._fs.exists(place) or self.current() >= version:
+                raise Conflict(f"another change has made version {version} of {self.path}")
+            if self._fs.getScheme() == "file":  # a rename would replace what is there; a link does not
+                local = lambda p: self._jvm.java.nio.file.Path.of(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0))
+                try:
+                    self._jvm.java.nio.file.Files.createLink(local(place), local(draft))
+                except Exception as e:
+                    raise Conflict(f"another change has made version {version} of {self.path}") from e
+            elif not self._fs.rename(draft, place):
+                raise Conflict(f"another change has made version {version} of {self.path}")
+        finally:
+            self._fs.delete(draft, False)
+
+    def _drop(self, versions: list[int]) -> None:
+        """Delete versions, and the folders that no other version names."""
+        gone = {v: {f for some in self._known(v)["folders"].values() for f in some} for v in versions}
+        used = {f for v in self.versions() if v not in gone for some in self._known(v)["folders"].values() for f in some}
+        for version, folders in gone.items():
+            self._fs.delete(self._p(f"current-{version}"), False)
+            for folder in folders - used:
                 self._fs.delete(self._p(folder), True)
-        return version
 
     def table(self, name: str) -> Table:
         return Table(self, name)

@@ -34,6 +34,10 @@ HISTORY = (
     "details STRING, created_at TIMESTAMP_NTZ"
 )
 DEAD_LETTERS = "id BIGINT, entity_type STRING, source_id STRING, error STRING, payload STRING, created_at TIMESTAMP_NTZ"
+RUNS = (
+    "version BIGINT, stream STRING, batch_id BIGINT, entity_type STRING, processed BIGINT, created BIGINT, updated BIGINT, failed BIGINT, skipped BIGINT, "
+    "duration_ms DOUBLE, finished_at TIMESTAMP_NTZ"
+)
 CHECKPOINTS = "entity_type STRING, last_sync_at STRING, updated_at TIMESTAMP_NTZ"
 JOBS = (
     "id BIGINT, entity_type STRING, payload STRING, status STRING, attempts INT, max_attempts INT, error_message STRING, "

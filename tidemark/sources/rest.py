@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, InputPartition, WriterCommitMessage
 
+from .http import Session, headers
+
 TIMEOUT_S, PING_TIMEOUT_S = 10, 5
 # The collections' paths, the filters that the server takes, and the codes that mean it is there.
 PATHS = {"customer": "customers", "equipment": "equipment", "rental_order": "rental-orders", "invoice": "invoices", "payment": "payments"}
@@ -18,11 +20,6 @@ PARAMETERS = {"customer": {"updated_after": GreaterThan}, "rental_order": {"stat
 SOURCE_ALIVE, TARGET_ALIVE = (200, 204), (200, 204, 404, 405)
 
 
-def headers(key: str | None) -> dict[str, str]:
-    out = {"Content-Type": "application/json", "Accept": "application/json"}
-    return out | ({"Authorization": f"Bearer {key}"} if key else {})
-
-
 def request(url: str, key: str | None = None, body: str | None = None, timeout: float = TIMEOUT_S) -> str:
     """A response's body; HTTP errors raise."""
     data = body.encode() if body is not None else None
@@ -83,18 +80,19 @@ class Pushed(WriterCommitMessage):
 
 
 class EntityWriter(DataSourceWriter):
-    """Posts the column `payload` of each row; one failure fails the task."""
+    """Posts the column `payload` of each row over one connection; one failure fails the task."""
 
     def __init__(self, options: dict[str, str]):
         from ..schemas import ENDPOINTS
 
-        self.url, self.key = options["base"].rstrip("/") + ENDPOINTS[options["entity"]], options.get("key")
+        self.base, self.path, self.key = options["base"], ENDPOINTS[options["entity"]], options.get("key")
 
     def write(self, iterator) -> Pushed:
-        rows = 0
+        rows, session = 0, Session(self.base, self.key, TIMEOUT_S)
         for row in iterator:
-            request(self.url, self.key, row["payload"])
+            session.text("POST", self.path, row["payload"])
             rows += 1
+        session.close()
         return Pushed(rows)
 
 
@@ -123,6 +121,9 @@ def external_id(entity: str, response: str, source_id: str) -> str:
 
 
 def register(spark) -> None:
-    """Make the format known to a session, with filters pushed down to the server."""
+    """Make the formats known to a session, with filters pushed down to the server."""
+    from .rest_items import RestItemsSource
+
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RestEntitySource)
+    spark.dataSource.register(RestItemsSource)

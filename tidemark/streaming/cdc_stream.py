@@ -1,35 +1,30 @@
-"""Continuous sync: micro-batches of records are merged into the mapping as they come."""
+"""Continuous sync: micro-batches of records go into mapping, history and dead letters as they come."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import cdc
-from ..plans.state import StateTable
+from ..plans.sync import Store, sync
+from ..storage import store as cut
 
 
-def merge_batches(records: DataFrame, mapping: StateTable, batches: StateTable, checkpoint: str, now: Column, order: str = "pos", trigger: dict | None = None) -> StreamingQuery:
-    """Start a query that classifies each micro-batch against the mapping and merges it.
+def sync_stream(
+    records: DataFrame, store: Store, name: str, checkpoint: str, now: Callable[[], Column], order: str = "pos",
+    push: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Start a query that syncs each micro-batch of records with the store.
 
-    A batch may come again after a failure. Each merge notes its batch id, and a batch that is noted is not
-    merged again, so that the mapping changes once; pushes, which come before, are at-least-once. The note is
-    part of the mapping's version: its table of batches names the version that each batch made.
+    A batch may come again after a failure. Its number is part of the version that it makes, together with its rows of
+    the mapping, the history and the dead letters, so each batch changes the store once and wholly, whatever else writes to it
+    meanwhile; name tells streams of one store apart and must stay the same over restarts. push, where the records have no
+    outcomes yet, adds them (ok, error, new_external_id); it may see a batch again, unless it keeps a ledger (sinks.push_once).
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        done = batches.read().where(F.col("batch_id") == batch_id).select("version").first()
-        if done and done.version <= mapping.current():
-            return
-        stored = mapping.read()
-        outcomes = cdc.classify(batch, stored, [order])
-        version = mapping.current() + 1
-        if not done:
-            batches.append(batch.sparkSession.createDataFrame([(batch_id, version)], "batch_id long, version long"))
-        mapping.write(cdc.merge_mapping(stored, outcomes, order, now))
-
-    return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
+        if store.state.notes().get(f"batch/{name}", -1) < batch_id:
+            sync(batch if push is None else cut(push(batch)), store, now(), order, batch=(name, batch_id))
 
-BATCHES = "batch_id BIGINT, version BIGINT"
+    return records.writeStream.queryName(name).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
