@@ -176,8 +176,7 @@ def weighted_sets(texts):
         words = re.findall(r"\w+", (text or "").lower())
         sets.append(Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter())
     df, n = Counter(x for s in sets for x in s), sum(t is not None for t in texts)
-    most = math.log(1 / minhash.RARE) + 1
-    idf = {x: min(most, math.log(n / c) + 1) if c >= max(2, minhash.RARE * n) else most for x, c in df.items()}
+    idf = {x: math.log(n / max(c, minhash.RARE * n)) + 1 for x, c in df.items()}
     return [{x: c * idf[x] for x, c in s.items()} for s in sets]
 
 
@@ -237,8 +236,16 @@ def test_frequent_shingles(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     key, idf, most = minhash.lexicon(rows)
     df = Counter(x for s in weighted_sets(texts) for x in s)
-    want = sorted(min(most, math.log(401 / c) + 1) for c in df.values() if c >= minhash.RARE * 401)
-    assert len(want) > 300 and np.allclose(sorted(idf.tolist()), want, atol=1e-5) and (np.diff(key.astype("f8")) > 0).all()
+    want = sorted(math.log(401 / c) + 1 for c in df.values() if c >= 2)
+    assert len(want) > 300 and abs(most - math.log(401) - 1) < 1e-6 and np.allclose(sorted(idf.tolist()), want, atol=1e-5) and (np.diff(key.astype("f8")) > 0).all()
+
+
+def test_more_frequent_shingles_than_have_numbers(spark, monkeypatch):
+    """The bound rises until the most frequent ones fit; all others share the idf at the bound."""
+    monkeypatch.setattr(minhash, "MOST", 20)
+    rows = spark.createDataFrame([(i, f"a b c d e f{i % 7} g{i % 40}") for i in range(400)] + [(400 + i, f"p{i // 2} q r s t u") for i in range(80)], "doc_id long, text string").repartition(4)
+    key, idf, most = minhash.lexicon(rows)
+    assert 0 < len(key) <= 20 and idf.max() <= most and abs(idf.min() - math.log(480 / 400) - 1) < 1e-6
 
 
 def test_near_copies_recall(spark):
@@ -442,6 +449,28 @@ def test_repeats_of_one_hot_passage(spark, monkeypatch):
     assert got == {doc: gone.tobytes() for doc, (_, gone) in removed(items).items() if gone.any()} and len(got) == 59
 
 
+def test_repeats_of_equal_texts_in_many_partitions(spark, monkeypatch):
+    """Equal texts, the commonest repeat, are dealt out as well: no group of a task is far beyond the size asked for."""
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefgh ", k=400))
+    items = [(i, text) for i in range(80)] + [(100, "tail " + text)]
+    inner = repeats.repeated
+
+    def bounded(part):
+        assert not len(part) or part.groupby(["key", "salt"]).size().max() <= 25
+        return inner(part)
+
+    cloudpickle.register_pickle_by_value(repeats)
+    try:
+        monkeypatch.setattr(repeats, "repeated", bounded)
+        rows = spark.createDataFrame(items, "doc_id long, text string").repartitionByRange(81, "doc_id").withColumn(repeats.COPY, F.xxhash64("text"))
+        got = {r.doc_id: repeats.covered(405, r.spans).tobytes() for r in repeats.spans(rows, group=8).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(repeats)
+    assert len(got) == 80 and 0 not in got and all(sum(got[i]) == 400 for i in (*range(1, 80), 100))
+    assert {repeats.salted(i, 5, 7) for i in range(50)} == {repeats.salted(5, i, 7) for i in range(50)} == set(range(7))
+
+
 @pytest.mark.parametrize("group", [1, repeats.GROUP])
 def test_repeats_of_repeated_rows(spark, group):
     """A row that occurs twice is cut like one: what it says first stays."""

@@ -1,10 +1,11 @@
 """Near-duplicate documents by consistent weighted sampling (operator 3).
 
 A document is a weighted set: its shingles of five words (\\w+, lower case), each with its term frequency times
-its inverse document frequency, ln(documents / documents with the shingle) + 1. Frequencies are counted over all
-documents; shingles in fewer than RARE of them share the greatest idf, so that only frequent shingles need a number
-of their own: at most (distinct shingles per document) / RARE, however large the corpus. These are found in two
-passes. The first counts all shingles in BUCKETS buckets, the second those of buckets that reach the bound, exactly.
+its inverse document frequency, ln(documents / documents with the shingle) + 1. Frequencies are counted exactly, over all
+documents; only what is rarer than 1 in 10,000 documents counts as being in 1 in 10,000, so up to 10,000 documents every
+weight is its own, and beyond that the numbers needed stay bounded, however large the corpus: at most (distinct shingles
+per document) / RARE, and never more than MOST. These shingles are found in two passes. The first counts all shingles
+in BUCKETS buckets, the second those of buckets that reach the bound, exactly.
 
 Improved consistent weighted sampling draws BANDS x ROWS samples of each set; two sets agree in a sample
 with probability equal to their weighted Jaccard similarity. Documents that share a band and agree in AGREE
@@ -43,10 +44,10 @@ WORD = re.compile(r"\w+")
 SHINGLE = 5
 BANDS, ROWS = 12, 3
 SIMILAR = 0.8
-#: Share of the documents below which a shingle's frequency no longer lowers its weight.
-RARE = 0.02
+#: Share of the documents below which a shingle's frequency no longer changes its weight, and shingles that can have a number of their own.
+RARE, MOST = 1e-4, 1 << 22
 #: Counters of the first pass, how many of them travel together, and characters that a task cuts into words at a time.
-BUCKETS, CHUNK, PORTION = 1 << 20, 1 << 14, 1_000_000
+BUCKETS, CHUNK, PORTION = 1 << 24, 1 << 14, 1_000_000
 TABLE_BITS = 14
 #: Samples that candidates must agree in.
 AGREE = 10
@@ -132,11 +133,20 @@ def portions(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 class Weights:
     """Weighted sets of texts, given the frequent shingles in order, their idf, and the idf of all others."""
 
+    _last: tuple = (None, None)
+
     def __init__(self, lexicon: tuple[np.ndarray, np.ndarray, float]):
         self.key, self.idf, self.most = lexicon
         self.maybe = np.zeros(BUCKETS, bool)
         self.maybe[self.key & _U(BUCKETS - 1)] = True
 
+    @classmethod
+    def of(cls, lexicon: tuple[np.ndarray, np.ndarray, float]) -> Weights:
+        """Those of a lexicon; made once while a worker has the same."""
+        if cls._last[0] is not lexicon:
+            cls._last = (lexicon, cls(lexicon))
+        return cls._last[1]
+
     def sets(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Distinct shingles of each text in order of their hash, and their weights."""
         for _, some in portions(texts):
@@ -156,43 +166,52 @@ class Weights:
 
 
 def crowded(texts: DataFrame, least: float) -> np.ndarray:
-    """Which buckets of shingles reach a count over all texts. A bucket counts every shingle in it, so none of `least` texts is missed."""
+    """Which buckets of shingles reach a count over all texts, eight to a byte. A bucket counts every shingle in it, so none of `least` texts is missed."""
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, "int64")
+        total = np.zeros(BUCKETS, "uint32")
         for batch in batches:
             for _, some in portions(batch["text"].tolist()):
                 np.add.at(total, (shingle_hashes(some)[0] & _U(BUCKETS - 1)).astype("int64"), 1)
-        parts = np.split(total, BUCKETS // CHUNK)
-        yield pd.DataFrame([(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(parts) if x.any()], columns=["chunk", "counts"])
+        for i, part in enumerate(np.split(total, max(1, BUCKETS // CHUNK))):
+            if most := part.max():
+                kind = "u1" if most < 256 else "u4"
+                yield pd.DataFrame({"chunk": [i], "kind": [kind], "counts": [zlib.compress(part.astype(kind).tobytes(), 1)]})
 
     def summed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch["chunk"], batch["counts"]):
-                part = np.frombuffer(zlib.decompress(counts), "int64")
+            for chunk, kind, counts in zip(batch["chunk"], batch["kind"], batch["counts"]):
+                part = np.frombuffer(zlib.decompress(counts), kind).astype("int64")
                 total[chunk] = total[chunk] + part if chunk in total else part
         for chunk, counts in total.items():
-            yield pd.DataFrame({"bucket": chunk * CHUNK + np.flatnonzero(counts >= least)})
+            yield pd.DataFrame({"chunk": [chunk], "held": [np.packbits(counts >= least).tobytes()]})
 
-    found = texts.select("text").mapInPandas(counted, "chunk int, counts binary").repartition("chunk").mapInPandas(summed, "bucket long").toPandas()
-    out = np.zeros(BUCKETS, bool)
-    out[found["bucket"].to_numpy("int64")] = True
+    found = texts.select("text").mapInPandas(counted, "chunk int, kind string, counts binary").repartition("chunk").mapInPandas(summed, "chunk int, held binary").toPandas()
+    out, size = np.zeros(BUCKETS // 8, "u1"), min(BUCKETS, CHUNK) // 8
+    for chunk, held in zip(found["chunk"], found["held"]):
+        out[chunk * size : (chunk + 1) * size] = np.frombuffer(held, "u1")
     return out
 
 
 def lexicon(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """The shingles in at least RARE of the documents in order of their hash, their idf, and the idf of all others."""
+    """The shingles in at least RARE of the documents in order of their hash, their idf, and the idf of all others.
+
+    Should texts be so long that over MOST shingles are that frequent, the bound rises until no more are. The idf of
+    the others is that of a shingle at the bound, or in one document where the bound is lower.
+    """
     texts = docs.where("text is not null")
     n = texts.count()
-    least = max(2.0, RARE * n)
+    bound = max(1.0, RARE * n)
+    least = max(2.0, bound)
     maybe = docs.sparkSession.sparkContext.broadcast(crowded(texts, least))
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        crowd = np.unpackbits(maybe.value).astype(bool)
         for batch in batches:
             for _, some in portions(batch["text"].tolist()):
                 key, many = shingle_hashes(some)
-                held = maybe.value[key & _U(BUCKETS - 1)]
+                held = crowd[key & _U(BUCKETS - 1)]
                 key, owner = key[held], np.repeat(np.arange(len(many)), many)[held]
                 order = np.lexsort((key, owner))
                 key, owner = key[order], owner[order]
@@ -200,14 +219,15 @@ def lexicon(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
                 key, times = np.unique(key[new], return_counts=True)
                 yield pd.DataFrame({"shingle": key.view("int64"), "n": times})
 
-    rows = (
-        texts.select("text").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).toPandas()
-    )
+    frequent = store(texts.select("text").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    while (many := frequent.count()) > MOST:
+        bound = 1.0 + max(bound, frequent.agg(F.percentile_approx("n", 1 - MOST / many)).first()[0])
+        frequent = frequent.where(F.col("n") >= bound)
+    rows = frequent.toPandas()  # at most MOST
     key = rows["shingle"].to_numpy("int64").view("uint64")
     order = np.argsort(key)
-    most = float(np.log(1 / RARE) + 1)
-    return key[order], (np.log(max(n, 1) / rows["n"].to_numpy("float64")[order]) + 1).clip(max=most).astype("float32"), most
+    idf = np.log(max(n, 1) / rows["n"].to_numpy("float64")[order]) + 1
+    return key[order], idf.astype("float32"), float(np.log(max(n, 1) / bound) + 1)
 
 
 def sampler(seed: int = 11) -> tuple[np.ndarray, ...]:
@@ -253,7 +273,7 @@ def sketched(docs: DataFrame, shingles: tuple[np.ndarray, np.ndarray, float]) ->
     shared = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, tables = Weights(shared.value), sampler()
+        weights, tables = Weights.of(shared.value), sampler()
         for batch in batches:
             n = len(batch)
             bands: list = [[]] * n
@@ -309,7 +329,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingles: tuple[np.ndarray, np.n
     with_both = with_b.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
 
     def kept(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, last, mine = Weights(shared.value), None, None
+        weights, last, mine = Weights.of(shared.value), None, None
         for batch in batches:
             keep, texts = [], batch["text_b"].tolist()
             for a, text_a, other in zip(batch["a"], batch["text_a"], weights.sets(texts)):
@@ -422,7 +442,7 @@ def linked_in_blocks(members: DataFrame, docs: DataFrame, shingles: tuple[np.nda
     def compared(part: pd.DataFrame) -> pd.DataFrame:
         a, b = halves(part)
         both = a if part["b1"].iloc[0] == part["b2"].iloc[0] else pd.concat([a, b])
-        sets = list(Weights(shared.value).sets(both["text"].tolist()))
+        sets = list(Weights.of(shared.value).sets(both["text"].tolist()))
         total = np.array([w.sum(dtype="float64") for _, w in sets])
         least = shared_weight(sets)
         ids, component = both["doc_id"].to_numpy(), both["component"].to_numpy()

@@ -68,7 +68,7 @@ ORACLE_SQL = {
         ), tf AS (SELECT doc_id, shingle, count(*) AS tf FROM spans WHERE i <= greatest(1, n - 4) GROUP BY doc_id, shingle),
         df AS (SELECT shingle, count(*) AS df FROM tf GROUP BY shingle),
         sets AS (
-            SELECT doc_id, shingle, tf * CASE WHEN df >= greatest(2, 0.02 * n) THEN least(ln(n / df) + 1, ln(50) + 1) ELSE ln(50) + 1 END AS w
+            SELECT doc_id, shingle, tf * (ln(n / greatest(df, n / 10000)) + 1) AS w
             FROM tf JOIN df USING (shingle), docs
         ), total AS (SELECT doc_id, sum(w) AS t FROM sets GROUP BY doc_id),
         shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS s FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),

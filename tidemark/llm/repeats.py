@@ -14,8 +14,8 @@ anchor a suffix array is built by two-stage sorting: the suffixes smaller than t
 directly, all others are induced from these by scanning the buckets once. Neighbours' common prefixes of
 LENGTH bytes or more join equal windows, of which only the first start stays.
 
-An anchor with more than GROUP segments is salted by document, so that no task holds more than about GROUP
-of them. Each task settles its own; the windows that are the first of their kind in their task are then
+An anchor with more than GROUP segments is salted by document and text, so that no task holds more than about GROUP
+of them, be they of one text or of equal texts. Each task settles its own; the windows that are the first of their kind in their task are then
 grouped by their bytes, and all but the first of these repeat it too.
 
 Null texts are empty. Texts shorter than LENGTH never change. A doc_id that repeats with the same text
@@ -269,6 +269,11 @@ def repeated(part: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
 
 
+def salted(doc: int, copy: int, salts: int) -> int:
+    """The salt of a text's segments: by its doc_id and its bytes, so that neither texts of one doc_id nor equal texts of many have one."""
+    return (((doc ^ copy) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % salts
+
+
 def taken(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes of the segments asked for, once for those with equal bytes in a portion of texts; the others have null."""
     for batch in portions(batches, TAKEN):
@@ -287,7 +292,7 @@ def taken(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((hash(place) & 0x7FFFFFFFFFFFFFFF, 0, 1, *place, None))
             elif place not in sent:
                 sent.add(place)
-                out.append((one[0], place[1] % many, many, *place, one[1]))
+                out.append((one[0], salted(*place[:2], many), many, *place, one[1]))
         yield pd.DataFrame(out, columns=["key", "salt", "salts", "doc_id", "copy", "span", "bytes"])
 
 
