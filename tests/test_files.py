@@ -1,17 +1,14 @@
-"""Settings, logs and backups on disk, and keyed streaming state."""
+"""Settings, logs and backups on disk."""
 
 import datetime as dt
 import os
 
 import pytest
 from pyspark.sql import functions as F
-from test_cdc import FETCHED, fixture
 
-from tidemark.operators import cdc
-from tidemark.plans import config
-from tidemark.schemas import MAPPING
-from tidemark.sources import files
-from tidemark.streaming import keyed_state
+from tidemark.plans import backup, config
+from tidemark.plans.state import Keyed, State
+from tidemark.sources import files, tail
 
 
 def test_settings(spark, tmp_path):
@@ -49,14 +46,68 @@ def test_backups(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["edge.db", "new.db"] or not (tmp_path / "old.db").exists()
 
 
-def test_keyed_state_like_batches(spark, tmp_path):
-    records, _ = fixture(5)
-    rows = spark.createDataFrame([tuple(r.values()) for r in records], FETCHED)
-    for i in range(4):
-        rows.where(f"pos between {i * 50} and {i * 50 + 49}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = keyed_state.outcomes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    assert query.exception() is None
-    want = cdc.classify(rows, spark.createDataFrame([], MAPPING), ["pos"]).select("pos", "outcome")
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("pos", "outcome").collect())) == sorted(map(tuple, want.collect()))
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+def test_tail(spark, tmp_path, block, monkeypatch):
+    """Rotated files, with and without a last line break, empty lines, empty files, umlauts cut by blocks, and lines longer than a block."""
+    logs = tmp_path / "logs"
+    assert [r.text for r in tail.tail(spark, str(logs), 5).collect()] == [tail.NONE]
+    logs.mkdir()
+    assert tail.tail(spark, str(logs), 5).count() == 0
+    texts = ["a\nbä\n\nc" + "x" * 100, "", "\n", "é" * 40 + "\nd\ne\n"]
+    for i, text in enumerate(texts):
+        (logs / f"log.{9 - i}").write_bytes(text.encode())
+        os.utime(logs / f"log.{9 - i}", (1_700_000_000 + i, 1_700_000_000 + i))
+    every = [line for text in texts for line in (text[:-1] if text.endswith("\n") else text).split("\n") if text]
+    for n in (1, 2, 3, 5, 100) if block > 1 else (2,):
+        got = tail.tail(spark, str(logs), n, block).collect()
+        assert [r.text for r in got] == every[-n:]
+    last = tail.tail(spark, str(logs), 1, block).first()
+    assert last.file.endswith("log.6") and (last.block, last.line) == ((len(texts[3].encode()) - 2) // block, last.line)
+    if block == 7:
+        assert [r.text for r in tail.tail(spark, str(logs), 0, block).collect()] == every
+        assert [r.text for r in tail.tail(spark, str(logs), -3, block).collect()] == every[3:]
+
+
+def test_tail_reads_only_the_end(spark, tmp_path):
+    with open(tmp_path / "big.log", "w") as f:
+        for i in range(200_000):
+            f.write(f"line {i}\n")
+    known = tail._blocks(spark, str(tmp_path), 1 << 12)
+    assert len(tail._last(known, 4)) == 4 and known[0][3] > 500
+    asked = []
+    inner = tail._lines
+    tail._lines = lambda s, blocks, block: asked.append(len(blocks)) or inner(s, blocks, block)
+    try:
+        assert [r.text for r in tail.tail(spark, str(tmp_path), 1000, 1 << 12).collect()] == [f"line {i}" for i in range(199_000, 200_000)]
+    finally:
+        tail._lines = inner
+    assert max(asked) <= 4
+
+
+def test_backup_and_restore(spark, tmp_path):
+    """Backup, changes, restore: equal tables and notes; a change during the copy takes nothing away."""
+    state = State(spark, str(tmp_path / "s"), {"t": "k STRING, n BIGINT", "u": "a BIGINT", "v": "a BIGINT"}, {"t": Keyed(("k",), 2)})
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, n long")
+    now = lambda day: F.lit(f"2024-03-{day:02d} 01:02:03").cast("timestamp_ntz")
+    state.change(merged={"t": rows(("a", 1), ("b", 2))}, appended={"u": spark.range(3).withColumnRenamed("id", "a")}, notes={"x": 1})
+    with state.pinned() as version:
+        for i in range(5):
+            state.change(merged={"t": rows(("a", 10 + i))}, notes={"y": i})
+        assert sorted(map(tuple, state.read("t", version).collect())) == [("a", 1), ("b", 2)] and version in state.versions()
+    state.change(merged={"t": rows(("c", 3))})
+    assert version not in state.versions()
+    want, settings = sorted(map(tuple, state.read("t").collect())), config.Config(source_url="http://x")
+    path = backup.take(state, str(tmp_path / "b"), now(1), settings)
+    assert path.endswith("state_backup_20240301_010203")
+    for i in range(3):
+        state.change(written={"t": rows(("z", i))}, appended={"u": spark.range(1).withColumnRenamed("id", "a"), "v": spark.range(1).withColumnRenamed("id", "a")}, notes={"y": 100, "z": 1})
+    _, back = backup.restore(state, path)
+    assert sorted(map(tuple, state.read("t").collect())) == want and state.read("u").count() == 3 and state.read("v").count() == 0
+    assert back == settings and state.notes() == {"x": 1, "y": 4}
+    assert [r.filename for r in backup.listed(spark, str(tmp_path / "b")).collect()] == ["state_backup_20240301_010203"]
+    (tmp_path / "b" / "state_backup_20240215_000000" / "tables").mkdir(parents=True)  # one that was never finished
+    backup.take(state, str(tmp_path / "b"), now(31))
+    assert len(backup.listed(spark, str(tmp_path / "b")).collect()) == 2  # 29 days and some
+    assert backup.purge(spark, str(tmp_path / "b"), F.lit("2024-03-31 01:02:04").cast("timestamp_ntz")) == 1
+    with pytest.raises(ValueError):
+        backup.restore(state, str(tmp_path / "b" / "state_backup_20240215_000000"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .operators import jobs, lookups, reports, sinks
+from .plans import backup, config
+from .plans.state import State
 from .plans.sync import Store, execute, sync
-from .sources import rest
+from .sources import files, rest, tail
+from .streaming.worker import Scheduler
 
 __all__ = [
-    "clear_dead_letters", "list_backups", "list_dead_letters", "list_queue", "queue_metrics", "retry_failed", "status", "sync_entity",
-    "tail_logs", "test_source", "test_target", "trigger", "run_job",
+    "clear_dead_letters", "download_log", "get_config", "list_backups", "list_dead_letters", "list_queue", "pause", "queue_metrics", "resume", "retry_failed",
+    "run_job", "save_config", "start", "status", "stop", "sync_entity", "tail_logs", "test_source", "test_target", "trigger", "trigger_backup",
 ]
 
 
@@ -59,5 +62,56 @@ def trigger(queue: DataFrame, now: Column, entity: str | None = None, first_id:
 
 
 status = reports.status
-tail_logs = reports.log_tail
-list_backups = reports.backups
+
+
+def get_config(spark: SparkSession, path: str) -> config.Config:
+    """The stored settings, or the defaults."""
+    return config.current(spark, path)
+
+
+def save_config(spark: SparkSession, path: str, settings: config.Config, scheduler: Scheduler | None = None) -> config.Config:
+    """Store settings; a scheduler starts with them (a running one goes on as it is), or stops where auto-sync is off."""
+    config.save(spark, path, settings)
+    if scheduler is not None:
+        scheduler.start(settings.interval()) if settings.auto_sync_enabled else scheduler.stop()
+    return settings
+
+
+def start(scheduler: Scheduler, settings: config.Config) -> str:
+    """Start the scheduler with the settings' interval; its state."""
+    scheduler.start(settings.interval())
+    return scheduler.state()
+
+
+def stop(scheduler: Scheduler) -> str:
+    scheduler.stop()
+    return scheduler.state()
+
+
+def pause(scheduler: Scheduler) -> str:
+    scheduler.pause()
+    return scheduler.state()
+
+
+def resume(scheduler: Scheduler) -> str:
+    scheduler.resume()
+    return scheduler.state()
+
+
+def tail_logs(spark: SparkSession, folder: str, n: int = 100) -> DataFrame:
+    """The last n lines of the log's files."""
+    return tail.tail(spark, folder, n)
+
+
+def download_log(spark: SparkSession, folder: str) -> str | None:
+    """Where the log can be fetched; None where there is none."""
+    return files.log_path(spark, folder)
+
+
+def trigger_backup(state: State, folder: str, now: Column, settings: config.Config | None = None) -> str:
+    """Back a state and its settings up; backups of over 30 days go."""
+    return backup.take(state, folder, now, settings)
+
+
+def list_backups(spark: SparkSession, folder: str) -> DataFrame:
+    return backup.listed(spark, folder)

@@ -12,10 +12,14 @@ from .functions import hashing as H
 from .functions import scalars as S
 from .operators import cdc, jobs, lookups, reports
 from .operators.numbering import numbered
+from .plans import backup
+from .plans.queue import Queue
 from .plans.sync import Store, sync
 from .schemas import ALIASES, ENTITY_ORDER, JOB_STATES
 from .sources import entities as E
+from .sources import files, tail
 from .storage import shared_dir
+from .streaming import cdc_stream, worker
 
 NOW = dt.datetime(2024, 1, 20)
 
@@ -204,8 +208,9 @@ def checkpoint_upsert(spark, sf_dir):
 
 def _fine_jobs(spark, sf_dir):
     """All events as jobs, each of an entity that four events at most share, so that some entities have no active one."""
-    fine = F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit("_"), F.floor(F.col("event_id") / 24).cast("string"), F.lit("_"), (F.col("event_id") % 8).cast("string"))
-    return _jobs(spark, sf_dir).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), fine.alias("_fine")), "id").withColumn("entity_type", F.col("_fine")).drop("_fine")
+    number = lambda x: x.cast("string")
+    fine = F.concat("entity_type", F.lit("_"), number(F.floor(F.col("id") / 24)), F.lit("_"), number(F.col("id") % 8))
+    return _jobs(spark, sf_dir).withColumn("entity_type", fine)
 
 
 def _requests(spark, sf_dir):
@@ -237,15 +242,18 @@ def job_transition(spark, sf_dir):
 
 
 def retry_classify(spark, sf_dir):
-    kinds = [(k,) for k in ("non_retryable", "retryable", "timeout", "connection", "http", "request", "os", "value", "other")]
-    codes = [(c,) for c in (400, 401, 403, 404, 409, 422, 429, 500, 501, 502, 503, 504, None)]
-    both = spark.createDataFrame(kinds, "kind string").join(spark.createDataFrame(codes, "code int"))
-    return both.select("kind", "code", jobs.retryable(F.col("kind"), F.col("code")).alias("retryable"))
+    """Events as errors of all kinds with all codes."""
+    pick = lambda xs, x: F.get(F.array(*[F.lit(v) for v in xs]), x.cast("int"))
+    kind = pick(("non_retryable", "retryable", "timeout", "connection", "http", "request", "os", "value", "other"), F.col("event_id") % 9)
+    code = pick((400, 401, 403, 404, 409, 422, 429, 500, 501, 502, 503, 504, None), F.floor(F.col("event_id") / 9) % 13)
+    errors = _table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), code.alias("code"))
+    return errors.withColumn("retryable", jobs.retryable(F.col("kind"), F.col("code")))
 
 
 def backoff_schedule(spark, sf_dir):
-    n = F.col("id").cast("int")
-    return spark.range(-1, 9).select(n.alias("n"), jobs.backoff_seconds(n).alias("delay"))
+    """Events as attempts, some beyond the last."""
+    n = (F.col("user_id") % 10 - 1).cast("int")
+    return _table(spark, sf_dir, "events").select("event_id", n.alias("n"), jobs.backoff_seconds(n).alias("delay"))
 
 
 def requeue_failed(spark, sf_dir):
@@ -285,10 +293,10 @@ def file_stamps(spark, sf_dir):
 
 
 def map_defaults(spark, sf_dir):
-    """Counts by status of each user's jobs, with 0 for those that none has."""
-    counts = _jobs(spark, sf_dir).groupBy("entity_type", "status").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    maps = counts.groupBy("entity_type").agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("m"))
-    return maps.select("entity_type", S.get_or("m", "Pending").alias("pending"), S.get_or("m", "Failed", -1).alias("failed"))
+    """Counts of each user's events by kind, with 0 for those that a user has none of."""
+    counts = _table(spark, sf_dir, "events").where("value > 50").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return maps.select("user_id", S.get_or("m", "purchase").alias("purchases"), S.get_or("m", "signup", -1).alias("signups"))
 
 
 def sync_run(spark, sf_dir):
@@ -302,6 +310,71 @@ def sync_run(spark, sf_dir):
     return counted.unionByName(tables[0]).unionByName(tables[1]).unionByName(tables[2])
 
 
+def _event_records(spark, rows):
+    """Events as versions of a few records, each of which comes very often."""
+    return rows.select(
+        F.lit("kind").alias("entity_type"), F.col("event_type").alias("source_id"), F.col("event_id").alias("pos"), H.typed_hash(F.floor(F.col("value") / 40).cast("string")).alias("hash"),
+        (F.col("event_id") % 13 != 0).alias("ok"), F.lit("rejected").alias("error"), F.col("props").alias("payload"), F.lit(None).cast("string").alias("new_external_id"),
+    )
+
+
+def _synced(store):
+    """Of each record its version and last hash in a store, and how many lines of history and dead letters it has."""
+    count = lambda table, name: table.read().groupBy("source_id").agg(F.count(F.lit(1)).alias(name))
+    rows = store.mapping.read().select("source_id", "sync_version", "last_hash")
+    return rows.join(count(store.history, "lines"), "source_id", "left").join(count(store.dead_letters, "letters"), "source_id", "left").na.fill(0, ["lines", "letters"])
+
+
+def sync_hot(spark, sf_dir):
+    """A sync through stored state of records that each come very often."""
+    store = Store.at(spark, f"{shared_dir(spark)}/hot-{uuid.uuid4().hex}")
+    sync(_event_records(spark, _table(spark, sf_dir, "events")), store, _now())
+    return _synced(store)
+
+
+def sync_streamed(spark, sf_dir):
+    """The same as a stream, in one version for each micro-batch."""
+    at = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    store, rows = Store.at(spark, f"{at}/state"), _table(spark, sf_dir, "events")
+    rows.repartitionByRange(3, "event_id").write.parquet(f"{at}/ordered")
+    for file in sorted(r.f for r in spark.read.parquet(f"{at}/ordered").select(F.input_file_name().alias("f")).distinct().collect()):
+        spark.read.schema(rows.schema).parquet(file).write.mode("append").parquet(f"{at}/in")
+        records = _event_records(spark, spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+        cdc_stream.sync_stream(records, store, "events", f"{at}/checkpoint", _now).awaitTermination()  # goes on where the last run ended
+    return _synced(store)
+
+
+def queue_work(spark, sf_dir):
+    """All due jobs of a stored queue, claimed and done by one worker: jobs by status and attempts afterwards."""
+    queue = Queue.at(spark, f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}")
+    queue.state.change(merged={"jobs": _jobs(spark, sf_dir)})
+
+    def run(claimed):
+        kinds = F.array(*[F.lit(k) for k in ("timeout", "http", "value", "request", "non_retryable")])
+        return claimed.select("id", (F.col("id") % 4 == 1).alias("ok"), F.concat(F.lit("error "), F.col("id").cast("string")).alias("error"), F.get(kinds, (F.col("id") % 5).cast("int")).alias("kind"), F.when(F.col("id") % 2 == 0, 503).otherwise(404).alias("code"))
+
+    worker.work(queue, run, _now, most=2**31 - 1)
+    return queue.read().groupBy("status", "attempts").agg(F.count(F.lit(1)).alias("jobs"), F.max("scheduled_at").alias("last"))
+
+
+def log_files_tail(spark, sf_dir):
+    """The last lines of a log folder, read backwards."""
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    files.append_logs(_log_rows(spark, sf_dir).repartitionByRange(1, "event_id").sortWithinPartitions("event_id"), folder)
+    return tail.tail(spark, folder, 100).select(F.col("text").alias("line"))
+
+
+def backup_restored(spark, sf_dir):
+    """Customers' mapping as a backup brings it back after later changes."""
+    at = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
+    store, fetched = Store.at(spark, f"{at}/state"), E.collection(spark, sf_dir, "customer")
+    store.mapping.write(E.stored_mapping(fetched, _now()))
+    path = backup.take(store.state, f"{at}/backups", _now())
+    sync(fetched, store, _now())
+    backup.restore(store.state, path)
+    return store.mapping.read().select("source_id", "external_id", "sync_version", "last_hash")
+
+
 def queue_metrics(spark, sf_dir):
     return jobs.metrics(_jobs(spark, sf_dir))
 
@@ -319,8 +392,10 @@ def active_violations(spark, sf_dir):
 
 
 def alias_route(spark, sf_dir):
-    names = [(x,) for x in (*ALIASES, "Customers", "unknown", "")]
-    return spark.createDataFrame(names, "name string").select("name", S.routed("name", ALIASES).alias("entity"))
+    """Events with job names of all kinds, some of them odd."""
+    names = (*ALIASES, "Customers", "unknown", "", "ORDERS")
+    name = F.get(F.array(*[F.lit(x) for x in names]), (F.col("event_id") % len(names)).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", name.alias("name")).withColumn("entity", S.routed("name", ALIASES))
 
 
 def iso_date_format(spark, sf_dir):
@@ -405,7 +480,7 @@ QUERIES = {
         cdc_classify, cdc_stats, cdc_sync_all_rollup, cdc_merge_mapping, cdc_repeat_ids, cdc_hot_ids, history_append, dead_letter_append, dead_letter_list,
         dead_letter_clear, lookup_forward, lookup_reverse, duplicate_test, mapping_exists, mapping_find, mapping_delete, mapping_update,
         checkpoint_upsert, enqueue_dedup, claim_next, claim_state, job_transition, retry_classify, backoff_schedule, requeue_failed, enqueue_counts, scheduled_enqueue,
-        legacy_upsert, migration_hashes, checkpoint_get, file_stamps, map_defaults, sync_run,
+        legacy_upsert, migration_hashes, checkpoint_get, file_stamps, map_defaults, sync_run, sync_hot, sync_streamed, queue_work, log_files_tail, backup_restored,
         queue_metrics, status_metrics, recent_jobs, active_violations, alias_route, iso_date_format, xml_envelope, license_check, fingerprint,
         scalar_helpers, log_format, log_tail, log_scan, backup_list, backup_purge, system_status, batch_slices,
     )

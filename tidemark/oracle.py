@@ -50,6 +50,12 @@ _ENVELOPE = (
     "<STATICVARIABLES><SVCURRENTCOMPANY>Default</SVCURRENTCOMPANY></STATICVARIABLES></REQUESTDESC><REQUESTDATA>"
     '<TALLYMESSAGE xmlns:UDF="TallyUDF"><!-- SYNC equipment '
 )
+_HOT = """
+    WITH r AS (SELECT event_type AS source_id, event_id AS pos, event_id % 13 <> 0 AS ok, CAST(floor(value / 40) AS BIGINT) AS v FROM events),
+    p AS (SELECT *, last_value(CASE WHEN ok THEN v END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
+    o AS (SELECT *, CASE WHEN v = prev THEN 'skipped' WHEN ok THEN 'written' ELSE 'failed' END AS outcome FROM p)
+    SELECT source_id, CAST(count(*) FILTER (outcome = 'written') AS INTEGER) AS sync_version, sha256(CAST(arg_max(v, pos) FILTER (outcome = 'written') AS VARCHAR)) AS last_hash,
+           count(*) FILTER (outcome <> 'skipped') AS lines, count(*) FILTER (outcome = 'failed') AS letters FROM o GROUP BY source_id"""
 
 SQL = {
     "scan_customers": f"SELECT source_id, c_name AS name, hash FROM ({_fetched('customer')}) JOIN customer ON c_custkey = key",
@@ -139,11 +145,11 @@ SQL = {
                CASE WHEN next <> 'Completed' THEN 'error ' || id END AS error_message,
                CASE WHEN next = 'Waiting' THEN {_NOW} + CASE WHEN attempts = 0 THEN INTERVAL 300 SECOND ELSE INTERVAL 900 SECOND END ELSE scheduled_at END AS scheduled_at FROM d""",
     "retry_classify": """
-        SELECT kind, code, CASE WHEN kind IN ('retryable', 'timeout', 'connection', 'request', 'os') THEN true WHEN kind <> 'http' THEN false
+        SELECT event_id, kind, code, CASE WHEN kind IN ('retryable', 'timeout', 'connection', 'request', 'os') THEN true WHEN kind <> 'http' THEN false
                WHEN code IN (400, 401, 403, 404, 422) THEN false ELSE true END AS retryable
-        FROM (SELECT unnest(['non_retryable','retryable','timeout','connection','http','request','os','value','other']) AS kind),
-             (SELECT unnest([400,401,403,404,409,422,429,500,501,502,503,504,NULL]) AS code)""",
-    "backoff_schedule": """SELECT CAST(n AS INTEGER) AS n, ([300,900,1800,3600,21600,86400])[greatest(n, 1)] AS delay FROM range(-1, 9) r(n)""",
+        FROM (SELECT event_id, (['non_retryable','retryable','timeout','connection','http','request','os','value','other'])[event_id % 9 + 1] AS kind,
+                     ([400,401,403,404,409,422,429,500,501,502,503,504,NULL])[CAST(floor(event_id / 9) AS BIGINT) % 13 + 1] AS code FROM events)""",
+    "backoff_schedule": """SELECT event_id, CAST(user_id % 10 - 1 AS INTEGER) AS n, ([300,900,1800,3600,21600,86400])[greatest(user_id % 10 - 1, 1)] AS delay FROM events""",
     "requeue_failed": f"""WITH j AS (SELECT * FROM {_FINE})
         SELECT max(id) AS id, entity_type FROM j WHERE status = 'Failed' AND entity_type NOT IN (SELECT entity_type FROM j WHERE status IN {_ACTIVE}) GROUP BY entity_type""",
     "enqueue_counts": f"""SELECT count(*) FILTER (NOT busy) AS enqueued, count(*) FILTER (busy) AS duplicates
@@ -158,8 +164,19 @@ SQL = {
     "migration_hashes": """SELECT p_partkey, sha256('{"brand": "' || p_brand || '", "more": {"a": "' || p_name || '", "z": "' || p_type || '"}, "size": ' || p_size || '}') AS hash FROM part""",
     "checkpoint_get": "SELECT strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS last_sync_at FROM events WHERE event_type = 'click'",
     "file_stamps": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events",
-    "map_defaults": f"""WITH c AS (SELECT entity_type, status, count(*) AS n FROM {_JOBS} GROUP BY 1, 2 HAVING count(*) > 1)
-        SELECT entity_type, coalesce(max(n) FILTER (status = 'Pending'), 0) AS pending, coalesce(max(n) FILTER (status = 'Failed'), -1) AS failed FROM c GROUP BY 1""",
+    "map_defaults": """SELECT user_id, coalesce(max(n) FILTER (event_type = 'purchase'), 0) AS purchases, coalesce(max(n) FILTER (event_type = 'signup'), -1) AS signups
+        FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY 1, 2) GROUP BY 1""",
+    "sync_hot": _HOT,
+    "sync_streamed": _HOT,
+    "queue_work": f"""
+        WITH r AS (SELECT *, (['timeout','http','value','request','non_retryable'])[id % 5 + 1] AS kind, CASE WHEN id % 2 = 0 THEN 503 ELSE 404 END AS code,
+                   status IN ('Pending', 'Waiting', 'Retry') AND scheduled_at <= {_NOW} AS due FROM {_JOBS}),
+        d AS (SELECT *, CASE WHEN NOT due THEN status WHEN id % 4 = 1 THEN 'Completed' WHEN attempts + 1 < 3 AND (kind IN ('timeout', 'request') OR (kind = 'http' AND code = 503)) THEN 'Waiting' ELSE 'Failed' END AS next FROM r),
+        j AS (SELECT next AS status, CAST(CASE WHEN due AND next <> 'Completed' THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts,
+                     CASE WHEN due AND next = 'Waiting' THEN {_NOW} + CASE WHEN attempts = 0 THEN INTERVAL 300 SECOND ELSE INTERVAL 900 SECOND END ELSE scheduled_at END AS scheduled_at FROM d)
+        SELECT status, attempts, count(*) AS jobs, max(scheduled_at) AS last FROM j GROUP BY 1, 2""",
+    "log_files_tail": f"SELECT line FROM ({_LOG}) ORDER BY event_id DESC LIMIT 100",
+    "backup_restored": f"""SELECT source_id, 'ext-' || source_id AS external_id, 1 AS sync_version, CASE WHEN key % 10 < 3 THEN sha256('stale|' || source_id) ELSE hash END AS last_hash FROM {_STORED}""",
     "sync_run": f"""WITH o AS (SELECT *, {_outcome()} AS outcome FROM ({_fetched('customer')})), failed AS (SELECT count(*) AS n FROM o WHERE outcome = 'failed'),
         first AS (SELECT count(*) FILTER (outcome IN ('created', 'updated')) AS n FROM o)
         SELECT 'run 1' AS name, first.n AS rows, failed.n AS last FROM first, failed UNION ALL SELECT 'run 2', 0, n FROM failed
@@ -174,9 +191,10 @@ SQL = {
         {_EVERY['Completed']} AS completed_jobs, {_EVERY['Failed']} AS failed_jobs FROM {_JOBS}""",
     "recent_jobs": f"SELECT id, entity_type, status, attempts, error_message, created_at, updated_at, scheduled_at FROM {_JOBS} ORDER BY id DESC LIMIT 50",
     "active_violations": f"SELECT entity_type, count(*) AS n FROM {_JOBS} WHERE status IN {_ACTIVE} GROUP BY 1 HAVING count(*) > 1",
-    "alias_route": """SELECT * FROM (VALUES ('customers','customer'), ('customer','customer'), ('equipment','equipment'), ('product','equipment'), ('rental_orders','rental_order'),
-        ('rental_order','rental_order'), ('orders','rental_order'), ('invoices','invoice'), ('invoice','invoice'), ('payments','payment'), ('payment','payment'),
-        ('Customers','customer'), ('unknown','all'), ('','all')) t(name, entity)""",
+    "alias_route": """SELECT event_id, name, CASE lower(name) WHEN 'customers' THEN 'customer' WHEN 'customer' THEN 'customer' WHEN 'equipment' THEN 'equipment' WHEN 'product' THEN 'equipment'
+            WHEN 'rental_orders' THEN 'rental_order' WHEN 'rental_order' THEN 'rental_order' WHEN 'orders' THEN 'rental_order' WHEN 'invoices' THEN 'invoice' WHEN 'invoice' THEN 'invoice'
+            WHEN 'payments' THEN 'payment' WHEN 'payment' THEN 'payment' ELSE 'all' END AS entity
+        FROM (SELECT event_id, (['customers','customer','equipment','product','rental_orders','rental_order','orders','invoices','invoice','payments','payment','Customers','unknown','','ORDERS'])[event_id % 15 + 1] AS name FROM events)""",
     "iso_date_format": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 3) THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00')
         WHEN o_orderkey % 5 = 4 THEN 'no date' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS formatted FROM orders""",
     "xml_envelope": f"""SELECT p_partkey, '{_ENVELOPE}' || p_brand || ' --></TALLYMESSAGE></REQUESTDATA></IMPORTDATA></BODY></ENVELOPE>' AS envelope FROM part""",

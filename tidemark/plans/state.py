@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from dataclasses import dataclass
@@ -146,12 +147,12 @@ class State:
 
     def change(
         self, written: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, notes: dict | None = None, keep: int = 3,
-        merged: dict[str, DataFrame] | None = None, version: int | None = None,
+        merged: dict[str, DataFrame] | None = None, version: int | None = None, forget: bool = False,
     ) -> int:
         """The next version: some tables written anew, rows added to others, rows put over those of their keys in keyed ones.
 
         version is the one that the rows were made from; if it does not hold any more, Conflict is raised. Returns the
-        next version's number; all but the last few versions go.
+        next version's number; all but the last few versions go. forget drops all notes but the given ones.
         """
         version = self.current() if version is None else version
         known = self._known(version)
@@ -169,7 +170,7 @@ class State:
                 delta, folders[name] = folders[name][-1], [self._write(name, self._overlaid(name, folders[name]))]
                 self._fs.delete(self._p(delta), True)  # no version names it
         version += 1
-        self._publish(version, {"folders": folders, "notes": {**known["notes"], **(notes or {})}})
+        self._publish(version, {"folders": folders, "notes": {**({} if forget else known["notes"]), **(notes or {})}})
         self._drop(self.versions()[:-keep])
         return version
 
@@ -192,8 +193,35 @@ class State:
         finally:
             self._fs.delete(draft, False)
 
+    @contextlib.contextmanager
+    def pinned(self):
+        """The current version, which stays, with all its folders, while this lasts."""
+        pin = self._p(f"pin-{uuid.uuid4().hex}")
+        while True:
+            version = self.current()
+            file = self._fs.create(pin, True)
+            file.write(bytearray(str(version).encode()))
+            file.close()
+            if version == 0 or version in self.versions():  # it was not dropped in between
+                break
+        try:
+            yield version
+        finally:
+            self._fs.delete(pin, False)
+
+    def _pins(self) -> set[int]:
+        out = set()
+        for status in self._fs.listStatus(self._p("")):
+            if status.getPath().getName().startswith("pin-"):
+                file = self._fs.open(status.getPath())
+                out |= {int(x) for x in [bytes(file.readAllBytes()).decode()] if x}
+                file.close()
+        return out
+
     def _drop(self, versions: list[int]) -> None:
-        """Delete versions, and the folders that no other version names."""
+        """Delete versions that are not pinned, and the folders that no other version names."""
+        pins = self._pins()
+        versions = [v for v in versions if v not in pins]
         gone = {v: {f for some in self._known(v)["folders"].values() for f in some} for v in versions}
         used = {f for v in self.versions() if v not in gone for some in self._known(v)["folders"].values() for f in some}
         for version, folders in gone.items():
