@@ -157,9 +157,15 @@ def test_next_over_many_runs(spark, monkeypatch):
     assert got == {a: (b, f"t{b}") for a, b in zip(order, order[1:] + order[:1])}
 
 
-def test_fingerprints_are_native(docs):
-    plan = fingerprints.edited(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+def test_fingerprints_are_native(docs, monkeypatch):
+    """No plan on the whole way has Python in it: what is stored between, the lexicon, and the result."""
+    plans, inner = [fingerprints.edited(docs)], fingerprints.store
+    monkeypatch.setattr(fingerprints, "store", lambda df: plans.append(df) or inner(df))
+    plans.append(fingerprints.compared(docs))
+    assert len(plans) > 2
+    for df in plans:
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_fingerprints_odd(odd, empty, spark):

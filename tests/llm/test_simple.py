@@ -272,6 +272,15 @@ def test_toxicity_generalises(spark):
     assert sum(r.predicted for r in held) - sum(r.predicted for r in toxic) <= 0.02 * len(held)
 
 
+def test_toxicity_of_the_given_labels(spark):
+    """On documents that were not learned from, most toxic ones are caught and few others are."""
+    where = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{where}/labels.parquet")
+    rows = toxicity.predictions(spark.read.parquet(f"{where}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    both = sum(r.predicted and r.toxic for r in rows)
+    assert both >= 0.8 * sum(r.toxic for r in rows) > 50 and both >= 0.8 * sum(r.predicted for r in rows)
+
+
 def test_toxicity_odd(spark, odd, empty, docs):
     none = spark.createDataFrame([], LABELS)
     assert [r.score for r in toxicity.predictions(odd, none).collect()] == [0.0] * 6
