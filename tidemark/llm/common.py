@@ -63,9 +63,10 @@ def dense_rank_ids(df: DataFrame, group: list[str], order: list[str], name: str,
     """Number the rows of each group from 0 in the given order of integers, without one task per group.
 
     The rows are cut into runs of about per_run rows in that order and numbered inside (group, run); the runs'
-    sizes, one row each, are summed up in front of them. Nulls come first. Ties get distinct numbers.
+    sizes, one row each, are summed up in front of them. Nulls come first. Ties get distinct numbers. The rows are stored
+    with the ids that tell ties apart, so that whatever is computed again finds the same.
     """
-    told = df.withColumn("_row_id", F.monotonically_increasing_id())
+    told = store(df.withColumn("_row_id", F.monotonically_increasing_id()))
     order = [*order, "_row_id"]
     rows = told.withColumn("_run", runs(told, order, per_run))
     inside = Window.partitionBy(*group, "_run").orderBy(*order)
