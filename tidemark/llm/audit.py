@@ -38,9 +38,9 @@ LABELS = ("documents", "good", "toxic")
 def failures(text: str = "text") -> Column:
     """The filters A to D that a text fails, as bits 0 to 3."""
     words = F.filter(F.split(text, r"[ \x09-\x0D]+"), lambda w: w != "")
-    many, distinct = F.size(words), F.size(F.array_distinct(words))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    fails = (many < WORDS, 100 * distinct < DISTINCT * many, 100 * capitals > CAPITALS * F.length(text), F.col(text).rlike(CODE))
+    many, distinct = F.size(words).cast("long"), F.size(F.array_distinct(words)).cast("long")
+    capitals, points = F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long"), F.length(text).cast("long")
+    fails = (many < WORDS, 100 * distinct < DISTINCT * many, 100 * capitals > CAPITALS * points, F.col(text).rlike(CODE))
     return sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(fails)), F.lit(0))
 
 
