@@ -90,3 +90,4 @@ def test_an_old_version_is_refused(spark, tmp_path):
     with pytest.raises(S.Conflict):
         state.change(written={"t": rows}, version=1)
     assert state.current() == 2 and state.read("t").count() == 4
+    assert len(list(tmp_path.glob("t-*"))) == 2  # what the refused change wrote is gone

@@ -82,7 +82,7 @@ def test_same_as_one_batch(records, spark, tmp_path):
     assert [r.batch_id for r in runs] == [0, 1, 2, 3] and sum(r.processed for r in runs) == 200 and all(r.duration_ms > 0 for r in runs)
 
 
-@pytest.mark.parametrize("at", [2, 4, 5])
+@pytest.mark.parametrize("at", [3, 5])
 def test_killed_between_any_two_writes(records, spark, tmp_path, at):
     """A run that breaks off at its nth write, then another writer, then the run again."""
     _, stream, want = records

@@ -155,25 +155,44 @@ class State:
         next version's number; all but the last few versions go. forget drops all notes but the given ones.
         """
         version = self.current() if version is None else version
-        known = self._known(version)
+        known, made = self._known(version), []
         folders = dict(known["folders"])
-        for name, rows in (written or {}).items():
-            folders[name] = [self._write(name, rows)]
-        for name, rows in (appended or {}).items():
-            before = folders.get(name, [])
-            if len(before) >= MOST:
-                rows, before = self.read(name, version).unionByName(rows), []
-            folders[name] = [*before, self._write(name, rows)]
-        for name, rows in (merged or {}).items():
-            folders[name] = [*folders.get(name, []), self._write(name, rows)]
-            if len(folders[name]) > DELTAS + 1:
-                delta, folders[name] = folders[name][-1], [self._write(name, self._overlaid(name, folders[name]))]
-                self._fs.delete(self._p(delta), True)  # no version names it
-        version += 1
-        self._publish(version, {"folders": folders, "notes": {**({} if forget else known["notes"]), **(notes or {})}})
+
+        def write(name: str, rows: DataFrame) -> str:
+            made.append(self._write(name, rows))
+            return made[-1]
+
+        try:
+            for name, rows in (written or {}).items():
+                folders[name] = [write(name, rows)]
+            for name, rows in (appended or {}).items():
+                before = folders.get(name, [])
+                if len(before) >= MOST:
+                    rows, before = self.read(name, version).unionByName(rows), []
+                folders[name] = [*before, write(name, rows)]
+            for name, rows in (merged or {}).items():
+                folders[name] = [*folders.get(name, []), write(name, rows)]
+                if len(folders[name]) > DELTAS + 1:
+                    folders[name] = [write(name, self._overlaid(name, folders[name]))]
+            version += 1
+            self._publish(version, {"folders": folders, "notes": {**({} if forget else known["notes"]), **(notes or {})}})
+        finally:  # of a change that broke off, or came second, nothing stays; nor does a delta that was folded at once
+            for folder in set(made) - self._used(self.versions()):
+                self._fs.delete(self._p(folder), True)
         self._drop(self.versions()[:-keep])
         return version
 
+    def _used(self, versions: list[int]) -> set[str]:
+        """The folders that some versions name; a version may be gone by now."""
+        out: set[str] = set()
+        for version in versions:
+            try:
+                out.update(f for some in self._known(version)["folders"].values() for f in some)
+            except Exception:  # noqa: BLE001  whatever the file system says of a file that is not there
+                if self._fs.exists(self._p(f"current-{version}")):
+                    raise
+        return out
+
     def _publish(self, version: int, known: dict) -> None:
         draft, place = self._p(f"next-{uuid.uuid4().hex}"), self._p(f"current-{version}")
         file = self._fs.create(draft, False)
@@ -222,8 +241,8 @@ class State:
         """Delete versions that are not pinned, and the folders that no other version names."""
         pins = self._pins()
         versions = [v for v in versions if v not in pins]
-        gone = {v: {f for some in self._known(v)["folders"].values() for f in some} for v in versions}
-        used = {f for v in self.versions() if v not in gone for some in self._known(v)["folders"].values() for f in some}
+        gone = {v: self._used([v]) for v in versions}
+        used = self._used([v for v in self.versions() if v not in gone])
         for version, folders in gone.items():
             self._fs.delete(self._p(f"current-{version}"), False)
             for folder in folders - used:
