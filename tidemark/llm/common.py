@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import store
 
-__all__ = ["dense_rank_ids", "runs", "sampled", "store", "table", "words"]
+__all__ = ["dense_rank_ids", "release", "runs", "sampled", "store", "table", "words"]
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans whose results are stored: it does so once the driver has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def runs(df: DataFrame, keys: list[str], size: int, most: int = 16_384) -> Column:
     """A number for each row that rises with the keys, about `size` rows having the same (more, where that takes over `most` runs).
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import release, store
 
 LENGTH = 100
 GRAM = 32
@@ -315,11 +315,13 @@ def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, copy and spans, the ranges of bytes to remove, of every text with such; docs has doc_id, COPY and text, none null."""
     many = store(anchors(docs))  # stored, so that the join knows its size, and can split the most frequent anchors if it shuffles
+    release(docs.sparkSession)
     asked = store(
         occurrences(docs).join(many, "anchor").groupBy("doc_id", "copy")
         .agg(F.collect_list(F.struct("span", "anchor", F.ceil(F.col("n") / group).cast("int").alias("salts"))).alias("_asked"))
         .select("doc_id", F.col("copy").alias(COPY), F.col("_asked.span").alias("spans"), F.col("_asked.anchor").alias("anchors"), F.col("_asked.salts").alias("salts"))
     )
+    release(docs.sparkSession)  # the shuffles of both, before texts are shuffled
     pieces = docs.join(asked, ["doc_id", COPY]).mapInPandas(taken, "key long, salt int, salts int, doc_id long, copy long, span long, bytes binary")
     found = pieces.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(compared, "doc_id long, copy long, span long, window binary")
     if not many.where(F.col("n") > group).isEmpty():
