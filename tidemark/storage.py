@@ -22,14 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Whether Spark removes the shuffle files of a query as soon as it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
-    Unlike a cached block, the files outlive any executor; they go when the driver's JVM ends.
+    Unlike a cached block, the files outlive any executor; they go when the driver's JVM ends. The shuffle files of the
+    write go with it, for nothing will read them any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_dir(spark)}/tm-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
