@@ -84,6 +84,38 @@ def test_tail_reads_only_the_end(spark, tmp_path):
     assert max(asked) <= 4
 
 
+def test_tail_of_a_write_in_parts(spark, tmp_path):
+    """Parts of one write are in the order of their numbers, whichever was done last, and between the writes before and after it."""
+    logs = str(tmp_path / "logs")
+    lines = lambda first, n: spark.range(first, first + n).select(F.format_string("line %05d", "id").alias("line"), "id")
+    for first, n, parts in ((0, 1, 1), (1, 3000, 12), (3001, 1, 1)):
+        before = set(os.listdir(logs)) if first else set()
+        files.append_logs(lines(first, n).repartitionByRange(parts, "id").sortWithinPartitions("id"), logs)
+        new = sorted(f for f in set(os.listdir(logs)) - before if f.startswith("part-"))
+        assert len(new) == parts
+        for i, f in enumerate(new):
+            os.utime(f"{logs}/{f}", (1_700_000_000 + 2 * first - i, 1_700_000_000 + 2 * first - i))
+    for n in (1, 2, 500, 3002, 0):
+        assert [r.text for r in tail.tail(spark, logs, n).collect()] == [f"line {i:05d}" for i in range(3002)][-n:]
+
+
+def test_log_in_order_in_bounded_files(spark, tmp_path, small, monkeypatch):
+    """No file, and so no task, has all lines of a larger log; the query still finds the last ones."""
+    from compare import duck_rows, spark_rows
+
+    from tidemark import catalog, oracle
+
+    asked, inner = [], tail.tail
+    monkeypatch.setattr(files, "LINES", 50)
+    monkeypatch.setattr(tail, "tail", lambda s, folder, n: asked.append(folder) or inner(s, folder, n))
+    got = catalog.log_files_tail(spark, small)
+    sizes = [r["count"] for r in spark.read.text(asked[0]).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == spark.read.parquet(f"{small}/events.parquet").count() and max(sizes) <= 4 * 50
+    assert spark_rows(got) == duck_rows(small, oracle.SQL["log_files_tail"])[1]
+    every = [r.text for r in inner(spark, asked[0], 0).collect()]
+    assert every == [r.line for r in catalog.log_format(spark, small).orderBy("event_id").collect()]
+
+
 def test_backup_and_restore(spark, tmp_path):
     """Backup, changes, restore: equal tables and notes; a change during the copy takes nothing away."""
     state = State(spark, str(tmp_path / "s"), {"t": "k STRING, n BIGINT", "u": "a BIGINT", "v": "a BIGINT"}, {"t": Keyed(("k",), 2)})

@@ -360,7 +360,7 @@ def queue_work(spark, sf_dir):
 def log_files_tail(spark, sf_dir):
     """The last lines of a log folder, read backwards."""
     folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
-    files.append_logs(_log_rows(spark, sf_dir).repartitionByRange(1, "event_id").sortWithinPartitions("event_id"), folder)
+    files.append_logs_in_order(_log_rows(spark, sf_dir), "event_id", folder)
     return tail.tail(spark, folder, 100).select(F.col("text").alias("line"))
 
 

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reports
 from ..schemas import LOG
 
+#: Lines in a file of a log that is written in order.
+LINES = 500_000
+
 
 def append_logs(lines: DataFrame, path: str) -> None:
     """Append JSON lines (column line) to a log folder."""
     lines.select("line").write.mode("append").text(path)
 
 
+def append_logs_in_order(lines: DataFrame, by: str, path: str) -> None:
+    """Append JSON lines in the order of a column, about LINES to a file, so that what a task sorts does not grow. The files' numbers tell their order."""
+    files = max(1, math.ceil(lines.count() / LINES))
+    append_logs(lines.repartitionByRange(files, by).sortWithinPartitions(by), path)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log events of a folder, with the fields that each line has."""
     return spark.read.schema(LOG).json(path)

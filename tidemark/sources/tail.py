@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import backup_files, exists
@@ -14,13 +14,18 @@ from .files import backup_files, exists
 #: Bytes that are read at a time; bits of a position that are the place in a file.
 BLOCK, PLACE = 1 << 20, 44
 LINES = "file string, block long, line long, position long, text string"
+#: The files of one Spark write: their number, and the name of the write.
+PART = r"/part-(\d+)-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*$"
 #: Fixed value: what is shown where there is no log.
 NONE = "Log file not initialized yet."
 
 
 def _blocks(spark: SparkSession, folder: str, block: int) -> list[tuple[str, int, int, int]]:
     """Path, number by age, size and blocks of the folder's files, the oldest first. Rotation keeps these few."""
-    rows = backup_files(spark, folder).where("length > 0").orderBy("modificationTime", "path").collect()
+    write = F.coalesce(F.nullif(F.regexp_extract("path", PART, 2), F.lit("")), F.col("path"))
+    told = backup_files(spark, folder).where("length > 0").select("path", "length", "modificationTime", write.alias("write"), F.regexp_extract("path", PART, 1).try_cast("long").alias("part"))
+    over = told.withColumn("written", F.max("modificationTime").over(Window.partitionBy("write")))
+    rows = over.orderBy("written", "write", "part", "path").collect()
     return [(r.path, i, r.length, -(-r.length // block)) for i, r in enumerate(rows)]
 
 
@@ -72,7 +77,8 @@ def _lines(spark: SparkSession, blocks: list[tuple[str, int, int, int]], block:
 def tail(spark: SparkSession, folder: str, n: int = 100, block: int = BLOCK) -> DataFrame:
     """The last n lines of all files of a folder, in order: file, block, line, position and text.
 
-    Files follow each other by the time of their last change. Blocks are read from the end on, twice as many each time, until
+    Files follow each other by the time of their last change; those of one Spark write, which tasks finish in any order, have
+    the last of their times and follow each other by their numbers. Blocks are read from the end on, twice as many each time, until
     they hold enough lines; all that lies before them is not read. 0 gives all lines, and a negative n leaves out that many
     from the start. A folder that is not there, or holds nothing, has one line that says so. Bytes that are no UTF-8 are left out.
     """
