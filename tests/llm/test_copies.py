@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 import xxhash
@@ -426,6 +427,34 @@ def test_repeats(docs, texts):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(data), gone.sum(), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_segments_depend_on_their_text_alone(texts):
+    """Texts are cut together, in sections that end anywhere, and each of them as if it were alone."""
+    some = [(t or "").encode() for t in texts] * 5
+    data, sizes = np.frombuffer(b"".join(some), "u1"), np.array([len(t) for t in some])
+    assert len(data) > 3 * repeats.SECTION
+    text, anchor, first, windows, _ = repeats.segments_of(data, sizes)
+    alone = [repeats.segments(np.frombuffer(t, "u1")) for t in some]
+    assert text.tolist() == np.repeat(np.arange(len(some)), [len(p[0]) for p in alone]).tolist()
+    assert all(got.tolist() == np.concatenate([p[i] for p in alone]).tolist() for i, got in ((0, anchor), (2, first), (3, windows)))
+    n = np.bincount(text, windows, len(some))
+    assert n.tolist() == np.maximum(0, sizes - 99).tolist() and windows.max() <= 69
+
+
+def test_ranges_known_to_repeat_are_joined():
+    """A copy in the same portion of texts goes on as one range, not as one row for each of its segments."""
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefgh ", k=5000)).encode()
+    anchor, _, first, windows = repeats.segments(np.frombuffer(text, "u1"))
+    part = {"text": text, "spans": (first << repeats.SPAN_BITS) + windows + 99, "anchors": anchor.view("int64"), "salts": np.ones(len(first), "int32")}
+    got = pd.concat(repeats.taken(iter([pd.DataFrame([{"doc_id": i, repeats.COPY: 7, **part} for i in (4, 2, 9)])])))
+    sent, known = got[got["bytes"].notna()], got[got["bytes"].isna()]
+    assert sent["doc_id"].tolist() == [2] * len(first) and len(first) > 50
+    assert sorted(zip(known["doc_id"], known["span"])) == [(4, 5000), (9, 5000)]
+    long = np.arange(0, 3 << repeats.SPAN_BITS, 50)
+    doc, _, span = repeats.merged(np.full(len(long), 3), np.full(len(long), 7), (long << repeats.SPAN_BITS) + 100)
+    assert len(doc) == 6 and repeats.covered(int(long[-1]) + 150, span).sum() == long[-1] + 100
+
+
 def test_repeats_of_hot_anchors(docs, texts):
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = known.withColumn(repeats.COPY, F.xxhash64("text"))

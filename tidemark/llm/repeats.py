@@ -37,16 +37,19 @@ from .common import store
 
 LENGTH = 100
 GRAM = 32
-SECTION = 1 << 22
-#: Characters of text that a task cuts into segments at a time.
+#: Windows that are cut into segments together.
+SECTION = 1 << 16
+#: Bytes of text that a task cuts into segments at a time.
 PORTION = 8_000_000
-#: Characters of text that a task takes repeated segments from at a time.
+#: Bytes of text that a task takes repeated segments from at a time.
 TAKEN = 2_000_000
 #: Segments of one anchor that a single task sorts, about.
 GROUP = 8192
 #: A range of bytes is one number: its start and, in the low bits, its length.
 SPAN_BITS = 20
 SPANS, COPY = "_repeated_spans", "_repeated_copy"
+#: Texts go to Python as the bytes that they are for Spark.
+BYTES = "CAST(text AS BINARY) AS text"
 _U = np.uint64
 
 
@@ -58,48 +61,76 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each position on, by doubling."""
-    h, span = data.astype("uint64") + _U(1), 1
+    """A 64-bit hash of the GRAM bytes from each position on: of its words of eight bytes, then of pairs of these."""
+    h = np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,)).astype("uint64")
+    h *= _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(32)
+    span = 8
     while span < GRAM:
-        h = h[:-span] * _U(0x9E3779B97F4A7C15 + 2 * span) + (h[span:] ^ (h[span:] >> _U(29)))
+        h = h[:-span] * _U(0xBF58476D1CE4E5B9 + 2 * span) + h[span:]
+        h ^= h >> _U(29)
         span *= 2
     return mixed(h)
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, hash of the bytes, first window and number of windows of each segment of a text's bytes."""
-    out: list[tuple[np.ndarray, ...]] = []
+def segments_of(data: np.ndarray, sizes: np.ndarray, hashed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of texts that stand one behind the other: text, anchor, first window in it, number of windows and hash of the bytes.
+
+    `sizes` are the texts' bytes. The hash is zero where it is not asked for. SECTION windows are looked at together, so that
+    they stay in a processor's cache; where a segment goes on in the next section it is put together again, so that a text's
+    segments depend on nothing but the text.
+    """
+    ends = np.cumsum(sizes)
+    begins, out = ends - sizes, []
     for at in range(0, max(0, len(data) - LENGTH + 1), SECTION):
         h = gram_hashes(data[at : at + SECTION + LENGTH - 1])
-        order = (h & ~_U(0xFFFFFF)) | np.arange(len(h), dtype="uint64")  # the leftmost of equals
-        least, span, width = order, 1, LENGTH - GRAM + 1
+        least = (h & ~_U(0xFFFFFF)) | np.arange(len(h), dtype="uint64")  # the leftmost of equals
+        span, width = 1, LENGTH - GRAM + 1
         while 2 * span <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if width > span:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        anchor, windows = (least[first] & _U(0xFFFFFF)).astype("int64"), np.diff(np.append(first, len(least)))
-        whole, last = ((anchor - first) * 128 + windows).astype("uint64"), first + windows + LENGTH - 1 - GRAM
-        for i in range(0, 2 * LENGTH, GRAM):
-            whole = mixed(whole * _U(0x9E3779B97F4A7C15) + h[np.minimum(first + i, last)])
-        out.append((h[anchor], whole, at + first, windows))
+        new = starts_of(least)
+        some = slice(*np.searchsorted(ends, [at, at + len(new) + LENGTH], side="right"))  # the texts that start or end here, and one more
+        edges = np.concatenate([begins[some.start : some.stop + 1], np.maximum(begins, ends - LENGTH + 1)[some]]) - at
+        new[edges[(edges >= 0) & (edges < len(new))]] = True  # windows do not go on from text to text
+        first = np.flatnonzero(new)
+        windows = np.diff(np.append(first, len(new)))
+        text = np.searchsorted(ends, at + first, side="right")
+        whole = at + first + LENGTH <= ends[text]
+        first, windows, text = first[whole], windows[whole], text[whole]
+        anchor, code = (least[first] & _U(0xFFFFFF)).astype("int64"), np.zeros(len(first), "uint64")
+        if hashed:
+            code, last = ((anchor - first) * 128 + windows).astype("uint64"), first + windows + LENGTH - 1 - GRAM
+            for i in range(0, 2 * LENGTH - GRAM, GRAM):
+                code = code * _U(0x9E3779B97F4A7C15) + h[np.minimum(first + i, last)]
+            code = mixed(code)
+        out.append((text, h[anchor], at + first - begins[text], windows, code, at + anchor))
     if not out:
-        return np.empty(0, "uint64"), np.empty(0, "uint64"), np.empty(0, "int64"), np.empty(0, "int64")
-    return tuple(np.concatenate(x) for x in zip(*out))
+        return np.empty(0, "int64"), np.empty(0, "uint64"), np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "uint64")
+    text, anchor, first, windows, code, place = (np.concatenate(x) for x in zip(*out))
+    one = np.flatnonzero(starts_of(place))
+    return text[one], anchor[one], first[one], np.add.reduceat(windows, one) if len(one) else windows, code[one]
+
+
+def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, hash of the bytes, first window and number of windows of each segment of one text's bytes."""
+    _, anchor, first, windows, whole = segments_of(data, np.array([len(data)]), hashed=True)
+    return anchor, whole, first, windows
 
 
 def portions(batches: Iterable[pd.DataFrame], size: int = PORTION) -> Iterator[pd.DataFrame]:
-    """The same rows with about `size` characters at a time (or one text)."""
+    """The same rows with about `size` bytes of text at a time (or one text)."""
     for batch in batches:
         part = batch["text"].str.len().cumsum().to_numpy() // size
         for _, some in batch.groupby(part, sort=False):
             yield some
 
 
-def raw(text: str) -> np.ndarray:
-    """The UTF-8 bytes of a text."""
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")
+def joined(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts one behind the other, and how many each has."""
+    return np.frombuffer(b"".join(texts), "u1"), texts.str.len().to_numpy("int64")
 
 
 def starts_of(values: np.ndarray) -> np.ndarray:
@@ -112,19 +143,24 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in portions(batches):
-            parts = [segments(raw(t)) for t in batch["text"]]
-            anchor, whole = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            _, anchor, _, _, whole = segments_of(*joined(batch["text"]), hashed=True)
             if not len(anchor):
                 continue
-            order = np.lexsort((whole, anchor))
+            order = np.argsort(anchor)
             anchor, whole = anchor[order], whole[order]
-            new = starts_of(anchor)
-            at = np.flatnonzero(new)
-            different = np.add.reduceat((new | starts_of(whole)).astype("int64"), at)
+            at = np.flatnonzero(starts_of(anchor))
             times = np.diff(np.append(at, len(anchor)))
-            yield pd.DataFrame({"anchor": anchor[at].view("int64"), "n": np.maximum(different, np.minimum(times, 2))})
+            n, many = np.minimum(times, 2), times > 2
+            if many.any():  # how many of them differ
+                some = np.repeat(many, times)
+                anchor_, whole_ = anchor[some], whole[some]
+                order = np.lexsort((whole_, anchor_))
+                anchor_, whole_ = anchor_[order], whole_[order]
+                new = starts_of(anchor_)
+                n[many] = np.maximum(2, np.add.reduceat((new | starts_of(whole_)).astype("int64"), np.flatnonzero(new)))
+            yield pd.DataFrame({"anchor": anchor[at].view("int64"), "n": n})
 
-    return docs.select("text").mapInPandas(rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    return docs.selectExpr(BYTES).mapInPandas(rows, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -132,31 +168,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in portions(batches):
-            parts = [segments(raw(t)) for t in batch["text"]]
-            anchor, _, start, windows = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            sizes = [len(p[0]) for p in parts]
+            text, anchor, start, windows, _ = segments_of(*joined(batch["text"]))
             yield pd.DataFrame({
-                "doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes), "copy": np.repeat(batch[COPY].to_numpy(), sizes),
+                "doc_id": batch["doc_id"].to_numpy()[text], "copy": batch[COPY].to_numpy()[text],
                 "anchor": anchor.view("int64"), "span": (start << SPAN_BITS) + windows + LENGTH - 1,
             })
 
-    return docs.select("doc_id", COPY, "text").mapInPandas(rows, "doc_id long, copy long, anchor long, span long")
+    return docs.selectExpr("doc_id", COPY, BYTES).mapInPandas(rows, "doc_id long, copy long, anchor long, span long")
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of a byte string in the order of their first `depth` bytes at least, by two-stage sorting."""
     n = len(text)
-    place = np.arange(n)
     change = np.flatnonzero(text[:-1] != text[1:])
-    after = np.searchsorted(change, place)  # the next place whose successor differs
-    rises = np.append(text[:-1] < text[1:], False)
-    smaller = np.where(after < len(change), rises[np.append(change, n - 1)[np.minimum(after, len(change))]], False)
-    word = eight(text)
+    ends = np.append(change, n - 1)[: len(change) + (n > 0)]  # of runs of one letter
+    smaller = np.repeat(np.append(text[change] < text[change + 1], False)[: len(ends)], np.diff(ends, prepend=-1))
+    word, wide = several(eight(text))
     order = np.flatnonzero(smaller)
-    order = order[np.argsort(word[order], kind="stable")]
+    order = order[np.argsort(word[order])]
     tied_at, group = np.arange(len(order)), word[order]
-    for far in range(8, depth, 8):  # sort on only what is still equal
-        new = np.append(True, group[1:] != group[:-1])[: len(group)]
+    for far in range(wide, depth, wide):  # sort on only what is still equal
+        new = starts_of(group)
         lone = new & np.append(new[1:], True)[: len(new)]
         number = np.cumsum(new)[~lone]
         tied_at = tied_at[~lone]
@@ -167,8 +199,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         by = np.lexsort((key, number))
         order[tied_at] = suffix[by]
         key, number = key[by], number[by]
-        step = np.append(True, (key[1:] != key[:-1]) | (number[1:] != number[:-1]))
-        group = np.cumsum(step)
+        group = np.cumsum(starts_of(key) | starts_of(number))
     size = np.bincount(text, minlength=256)
     late = np.bincount(text[order], minlength=256)
     start = np.cumsum(size) - size
@@ -198,6 +229,19 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def several(word: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers in the order of as many bytes from each place on as the ranks of its eights leave room for, and how many these are."""
+    order = np.argsort(word)
+    new = starts_of(word[order])
+    rank = np.empty(len(word), "uint64")
+    rank[order] = np.cumsum(new)
+    bits = int(new.sum()).bit_length()
+    out, last = rank.copy(), np.arange(len(word))
+    for i in range(1, 64 // bits):
+        out = (out << _U(bits)) | rank[np.minimum(last + 8 * i, len(word) - 1)]
+    return out, 8 * (64 // bits)
+
+
 def eight(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number (zeros behind the end), and one zero more."""
     word = np.concatenate([text, np.zeros(16, "u1")]).astype("uint64")
@@ -245,28 +289,34 @@ def repeated(part: pd.DataFrame) -> pd.DataFrame:
     Segments without bytes are known to repeat. A segment with several salts also gives each of its windows
     that nothing here repeats, for its anchor has segments elsewhere.
     """
-    known = part[part["bytes"].isna()]
-    part = part[part["bytes"].notna()].sort_values(["doc_id", "copy", "span"]).drop_duplicates(["doc_id", "copy", "span"])
-    same = part.duplicated(["key", "bytes"])
-    out = [x[["doc_id", "copy", "span"]].assign(window=None) for x in (known, part[same])]
+    found = part["bytes"].notna().to_numpy()
+    out = [part[~found]]
+    part = part[found].sort_values(["doc_id", "copy", "span"]).drop_duplicates(["doc_id", "copy", "span"])
+    same = part.duplicated(["key", "bytes"]).to_numpy()
+    out.append(part[same])
     part = part[~same]
     part = part[part.duplicated("key", keep=False) | (part["salts"] > 1)]  # a lone segment has nothing to repeat
+    places, windows = [tuple(x[c].to_numpy() for c in ("doc_id", "copy", "span")) for x in out], []
     if len(part):
         text, again, begins = sorted_windows(part)
         doc, copy, start = part["doc_id"].to_numpy(), part["copy"].to_numpy(), part["span"].to_numpy() >> SPAN_BITS
 
-        def placed(at: np.ndarray, size: np.ndarray | int, window: list[bytes] | None = None) -> pd.DataFrame:
+        def placed(at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             row = np.searchsorted(begins, at, side="right") - 1
-            return pd.DataFrame({"doc_id": doc[row], "copy": copy[row], "span": ((start[row] + at - begins[row]) << SPAN_BITS) + size}).assign(window=window)
+            return doc[row], copy[row], ((start[row] + at - begins[row]) << SPAN_BITS) + size
 
         edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype("int8"), [0]])))
-        out.append(placed(edge[::2], edge[1::2] - edge[::2] + LENGTH - 1))
+        places.append(placed(edge[::2], edge[1::2] - edge[::2] + LENGTH - 1))
         salted = np.flatnonzero(part["salts"].to_numpy() > 1)
         sizes = np.diff(np.append(begins, len(text)))[salted] - LENGTH  # windows of each
         at = np.repeat(begins[salted], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at, data = at[~again[at]], text.tobytes()
-        out.append(placed(at, LENGTH, [data[i : i + LENGTH] for i in at.tolist()]))
-    return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
+        places.append(placed(at, LENGTH))
+        windows = [data[i : i + LENGTH] for i in at.tolist()]
+    doc, copy, span = (np.concatenate(x) for x in zip(*places))
+    window = np.full(len(doc), None, object)
+    window[len(doc) - len(windows) :] = windows
+    return pd.DataFrame({"doc_id": doc, "copy": copy, "span": span, "window": window})
 
 
 def salted(doc: int, copy: int, salts: int) -> int:
@@ -274,26 +324,40 @@ def salted(doc: int, copy: int, salts: int) -> int:
     return (((doc ^ copy) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % salts
 
 
+def merged(doc: np.ndarray, copy: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same ranges with those of a text that overlap joined, in pieces that a span has bits for. Of a text's, one that starts later never ends earlier."""
+    order = np.lexsort((span, copy, doc))
+    doc, copy, start = doc[order], copy[order], span[order] >> SPAN_BITS
+    end = start + (span[order] & ((1 << SPAN_BITS) - 1))
+    new = starts_of(doc) | starts_of(copy) | starts_of(start >> (SPAN_BITS - 1))
+    new[1:] |= start[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    return doc[at], copy[at], (start[at] << SPAN_BITS) + end[np.append(at[1:], len(end))[: len(at)] - 1] - start[at]
+
+
 def taken(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of the segments asked for, once for those with equal bytes in a portion of texts; the others have null."""
+    """The bytes of the segments asked for, once for those with equal bytes in a portion of texts; the others' ranges, joined, have null."""
     for batch in portions(batches, TAKEN):
-        held, least = [], {}
-        for doc, copy, text, spans_, anchors_, salts in zip(*(batch[c] for c in ("doc_id", COPY, "text", "spans", "anchors", "salts"))):
-            data = text.encode("utf-8", "surrogatepass")
-            for span, anchor, many in zip(spans_.tolist(), anchors_.tolist(), salts.tolist()):
-                start = span >> SPAN_BITS
-                one, place = (anchor, data[start : start + (span & ((1 << SPAN_BITS) - 1))]), (doc, copy, span)
-                held.append((one, place, many))
-                if least.setdefault(one, place) > place:
-                    least[one] = place
-        out, sent = [], set()
-        for one, place, many in held:
-            if least[one] < place:  # known to repeat: it goes anywhere
-                out.append((hash(place) & 0x7FFFFFFFFFFFFFFF, 0, 1, *place, None))
-            elif place not in sent:
-                sent.add(place)
-                out.append((one[0], salted(*place[:2], many), many, *place, one[1]))
-        yield pd.DataFrame(out, columns=["key", "salt", "salts", "doc_id", "copy", "span", "bytes"])
+        sizes = [len(x) for x in batch["spans"]]
+        span, key, salts = (np.concatenate(batch[c].tolist()) for c in ("spans", "anchors", "salts"))
+        doc, copy = np.repeat(batch["doc_id"].to_numpy(), sizes), np.repeat(batch[COPY].to_numpy(), sizes)
+        pieces: list[bytes] = []
+        for text, spans_ in zip(batch["text"], batch["spans"]):
+            start = spans_ >> SPAN_BITS
+            pieces += [text[a:b] for a, b in zip(start.tolist(), (start + (spans_ & ((1 << SPAN_BITS) - 1))).tolist())]
+        data = np.empty(len(pieces), object)
+        data[:] = pieces
+        code = pd.factorize(data)[0]  # equal bytes have equal anchors
+        order = np.lexsort((span, copy, doc, code))
+        sent = order[starts_of(code[order])]
+        least = sent[code]
+        known = np.flatnonzero((doc != doc[least]) | (copy != copy[least]) | (span != span[least]))  # they repeat, and go anywhere
+        salt, many = np.zeros(len(sent), "int32"), np.flatnonzero(salts[sent] > 1)
+        salt[many] = [salted(*x) for x in zip(doc[sent[many]].tolist(), copy[sent[many]].tolist(), salts[sent[many]].tolist())]
+        yield pd.DataFrame({"key": key[sent], "salt": salt, "salts": salts[sent], "doc_id": doc[sent], "copy": copy[sent], "span": span[sent], "bytes": data[sent]})
+        doc, copy, span = merged(doc[known], copy[known], span[known])
+        where = mixed((doc ^ copy ^ span).view("uint64")).view("int64")
+        yield pd.DataFrame({"key": where, "salt": 0, "salts": 1, "doc_id": doc, "copy": copy, "span": span, "bytes": np.full(len(doc), None, object)})
 
 
 def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,9 +366,10 @@ def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        group = list(zip(batch["key"], batch["salt"]))
-        cut = group.index(group[-1])
-        if cut or (held and (held[0]["key"].iloc[0], held[0]["salt"].iloc[0]) != group[0]):
+        key, salt = batch["key"].to_numpy(), batch["salt"].to_numpy()
+        other = np.flatnonzero((key != key[-1]) | (salt != salt[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut or (held and (held[0]["key"].iloc[0], held[0]["salt"].iloc[0]) != (key[0], salt[0])):
             yield repeated(pd.concat([*held, batch.iloc[:cut]]))
             held = []
         held.append(batch.iloc[cut:])
@@ -320,7 +385,7 @@ def spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
         .agg(F.collect_list(F.struct("span", "anchor", F.ceil(F.col("n") / group).cast("int").alias("salts"))).alias("_asked"))
         .select("doc_id", F.col("copy").alias(COPY), F.col("_asked.span").alias("spans"), F.col("_asked.anchor").alias("anchors"), F.col("_asked.salts").alias("salts"))
     )
-    pieces = docs.join(asked, ["doc_id", COPY]).mapInPandas(taken, "key long, salt int, salts int, doc_id long, copy long, span long, bytes binary")
+    pieces = docs.join(asked, ["doc_id", COPY]).selectExpr("doc_id", COPY, BYTES, "spans", "anchors", "salts").mapInPandas(taken, "key long, salt int, salts int, doc_id long, copy long, span long, bytes binary")
     found = pieces.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(compared, "doc_id long, copy long, span long, window binary")
     if not many.where(F.col("n") > group).isEmpty():
         found = store(found)
@@ -377,11 +442,14 @@ def digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for text, ranges in zip(batch["text"], batch[SPANS]):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")
+                if ranges is None:
+                    out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
+                    continue
+                data = np.frombuffer(text, "u1")
                 gone = covered(len(data), ranges)
                 runs = int((np.diff(np.concatenate([[0], gone.view("int8")])) == 1).sum())
                 out.append((len(data), int(gone.sum()), runs, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             n, removed, runs, digest = zip(*out) if out else ((),) * 4
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": np.array(n, "int64"), "n_removed": np.array(removed, "int64"), "n_spans": np.array(runs, "int64"), "kept_sha256": digest})
 
-    return with_spans(docs.select("doc_id", "text")).mapInPandas(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select("doc_id", "text")).selectExpr("doc_id", BYTES, SPANS).mapInPandas(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
